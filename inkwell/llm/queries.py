@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("q_bpe",)
+_MODULES = ("q_bpe", "q_quality", "q_toxicity")
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 for _name in _MODULES:
