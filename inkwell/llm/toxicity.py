@@ -43,27 +43,29 @@ def _hashes(chars: np.ndarray) -> Iterator[np.ndarray]:
             yield ((total + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
-def _chunks(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(number of the first text, all characters with gaps between texts, where each text starts)."""
-    parts, starts, size, first = [], [], 0, 0
+def _chunks(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(number of the first text, all characters with gaps between texts, where each text starts and ends)."""
+    parts, starts, ends, size, first = [], [], [], 0, 0
     for i, text in enumerate(texts):
         chars = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
         starts.append(size)
+        ends.append(size + len(chars))
         parts += [chars, _GAP]
         size += len(chars) + len(_GAP)
         if size >= CHUNK or i + 1 == len(texts):
-            yield first, np.concatenate(parts), np.array(starts)
-            parts, starts, size, first = [], [], 0, i + 1
+            yield first, np.concatenate(parts), np.array(starts), np.array(ends)
+            parts, starts, ends, size, first = [], [], [], 0, i + 1
 
 
 def hits(texts: list[str], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text number, feature) pairs among the wanted features, by text."""
     found = []
-    for first, chars, starts in _chunks(texts):
-        for h in _hashes(chars):
+    for first, chars, starts, ends in _chunks(texts):
+        for n, h in zip(LENGTHS, _hashes(chars)):
             at = np.flatnonzero(wanted[h])
-            text = np.searchsorted(starts, at, "right") - 1 + first
-            found.append(text.astype(np.int64) << BITS | h[at])
+            text = np.searchsorted(starts, at, "right") - 1
+            inside = at + n <= ends[text]
+            found.append((text[inside] + first).astype(np.int64) << BITS | h[at[inside]])
     pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
