@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from inkwell.llm.common import text_bytes
 
 #: Bytes of text that are encoded together, and pre-tokens remembered between blocks.
-BLOCK_BYTES, CACHE_WORDS = 24 << 20, 400_000
+BLOCK_BYTES, CACHE_WORDS = 8 << 20, 200_000
 #: Bytes of a short batch that goes back to Spark.
-OUT_BYTES = 8 << 20
+OUT_BYTES = 4 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
