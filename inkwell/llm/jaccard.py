@@ -234,8 +234,9 @@ def _block_pairs(members: DataFrame) -> DataFrame:
 def components(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) for every row of documents.
 
-    A null or empty text has an empty set and links with nothing; a null key has a null component. Rows of one
-    key are one document. Other columns are not read; an empty table gives an empty result.
+    A null or empty text has an empty set and links with nothing; a null key has a null component. Rows of one key
+    are told apart by their texts; texts whose smallest key is the same count as linked. Other columns are not
+    read; an empty table gives an empty result.
     """
     spark = documents.sparkSession
     root = scratch_write(fingerprints(documents, key, text), "kind")
@@ -272,7 +273,7 @@ def components(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
         joined = materialize(connected_components(links.union(more)))
     named = classes.join(joined, classes.doc == joined.id, "left").select("b", "c", F.coalesce("component", "doc").alias("component_id"))
     out = rows.join(named, ["b", "c"], "left")
-    return out.select(F.col("a").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "a")).otherwise(F.col("a")).alias("component_id"))
+    return out.select(F.col("a").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("a").isNotNull() & (F.col("n") > 0), F.coalesce("component_id", "a")).otherwise(F.col("a")).alias("component_id"))
 
 
 def distinct_documents(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
