@@ -20,9 +20,9 @@ from inkwell.llm.common import mix
 #: n-gram lengths, bits of the feature table.
 LENGTHS, BITS = (3, 4, 5), 20
 #: The fit's bounds: labelled rows of each class, bytes of their texts, and features that get a weight.
-ROWS_TOXIC, ROWS_CLEAN, FIT_BYTES, FEATURES = 1500, 3000, 24 << 20, 1 << 14
-#: Characters that are hashed together.
-CHUNK = 1 << 18
+ROWS_TOXIC, ROWS_CLEAN, FIT_BYTES, FEATURES = 1200, 2400, 16 << 20, 1 << 14
+#: Characters that are hashed together, and rows that are held as text at once.
+CHUNK, PART = 1 << 16, 200
 _GAP = np.zeros(max(LENGTHS), np.uint32)
 
 
@@ -175,7 +175,8 @@ def score(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",
         table[packed[0]] = packed[1]
         whole = Model(table, packed[2])
         for batch in batches:
-            scores = score_texts(whole, batch.column("__text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(scores, pa.float64())], [*keep, out])
+            texts = batch.column("__text")
+            scores = [score_texts(whole, texts.slice(i, PART).to_pylist()) for i in range(0, len(texts), PART)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(np.concatenate(scores) if scores else [], pa.float64())], [*keep, out])
 
     return documents.select(*keep, F.coalesce("text", F.lit("")).alias("__text")).mapInArrow(run, schema)
