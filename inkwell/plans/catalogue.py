@@ -10,7 +10,7 @@ from inkwell.functions import model_json as J
 from inkwell.functions import text as T
 from inkwell.functions import urls as U
 from inkwell.operators import characters as C
-from inkwell.operators import classify, ledger, web
+from inkwell.operators import classify, ledger, requests, review, web
 from inkwell.operators import segments as S
 from inkwell.plans.inputs import DECORATED, LINE_KIND, SPEAKER
 from inkwell.sources import files, sinks
@@ -643,5 +643,76 @@ def pass_two(spark, sf_dir):
     return classify.applied(rows, replies, 20).select("chapter_id", "pos", "type", "llm_status")
 
 
+@query("review_rows", """
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS row, role AS type, role AS speaker, substring(text, 1, 80) AS preview, CAST(turn * 10 % 101 AS INTEGER) || '%' AS confidence, CASE WHEN turn % 2 = 0 THEN '!' ELSE '' END AS flag FROM conversations""")
+def review_rows(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("type"), F.col("role").alias("speaker"), "text", (F.col("turn") * 10 % 101 / 100).alias("speaker_confidence"), (F.col("turn") % 2 == 0).alias("needs_review"))
+    return review.review_rows(rows, "conv_id", order="turn")
+
+
+@query("positional_zip", """
+WITH a AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations), b AS (SELECT conv_id, length(text) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE turn % 2 = 0)
+SELECT a.conv_id, a.turn, CAST(b.size AS INTEGER) AS size FROM a JOIN b ON a.conv_id = b.conv_id AND a.n = b.n""")
+def positional_zip(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    return review.zipped(rows.select("conv_id", "turn"), rows.where("turn % 2 = 0").select("conv_id", "turn", F.length("text").alias("size")), "conv_id", order="turn")
+
+
+@query("selected_chapters", "SELECT page_id FROM pages WHERE page_id IN (SELECT doc_id FROM labels WHERE toxic = 0)")
+def selected_chapters(spark, sf_dir):
+    chosen = table(spark, sf_dir, "labels").where("toxic = 0").select(F.col("doc_id").alias("page_id"))
+    return review.selected(table(spark, sf_dir, "pages").select("page_id"), chosen, "page_id")
+
+
+@query("model_requests", """
+WITH b AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'http://127.0.0.1:11434/' WHEN 1 THEN 'http://m/api/chat' WHEN 2 THEN 'http://m/api/generate' ELSE 'https://cloud/v1//' END AS base, CASE page_id % 4 WHEN 3 THEN ' OpenAI' ELSE 'own' END AS provider FROM pages)
+SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'http://127.0.0.1:11434/api/chat' WHEN 3 THEN 'https://cloud/v1' ELSE base END AS url, CASE page_id % 4 WHEN 3 THEN 'cloud' WHEN 2 THEN 'prompt' ELSE 'chat' END AS style FROM b""")
+def model_requests(spark, sf_dir):
+    k = F.col("page_id") % 4
+    base = F.when(k == 0, "http://127.0.0.1:11434/").when(k == 1, "http://m/api/chat").when(k == 2, "http://m/api/generate").otherwise("https://cloud/v1//")
+    return table(spark, sf_dir, "pages").select("page_id", requests.endpoint(base, F.when(k == 3, " OpenAI").otherwise("own")).alias("e")).select("page_id", "e.url", "e.style")
+
+
+@query("translation_prompts", """
+SELECT doc_id, md5('Translate from ' || lang || ' to en.' || chr(10) || chr(10) || CASE WHEN lang = 'fr' THEN 'Use this glossary:' || chr(10) || 'de = of' || chr(10) || 'la = the' || chr(10) || chr(10) ELSE '' END || 'Text:' || chr(10) || text || chr(10) || chr(10) || 'Reply with JSON: {"translation": "..."}') AS digest FROM documents WHERE lang <> 'en'""")
+def translation_prompts(spark, sf_dir):
+    m = F.create_map(F.lit("la"), F.lit("the"), F.lit("de"), F.lit("of"))
+    glossary = F.when(F.col("lang") == "fr", m).otherwise(F.create_map().cast("map<string,string>"))
+    return table(spark, sf_dir, "documents").where("lang <> 'en'").select("doc_id", F.md5(requests.translation_prompt(F.col("text"), F.col("lang"), F.lit("en"), glossary)).alias("digest"))
+
+
+@query("speaker_search", "SELECT s_suppkey FROM supplier WHERE contains(lower(s_name || ' al' || s_suppkey), '#00000001') OR contains(lower(s_name || ' al' || s_suppkey), 'al7') ")
+def speaker_search(spark, sf_dir):
+    people = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("name"), F.array(F.concat(F.lit("al"), "s_suppkey")).alias("aliases"))
+    return C.search(people, "#00000001").union(C.search(people, "AL7")).select("s_suppkey").distinct()
+
+
+@query("character_context", """
+SELECT s_nationkey, md5(string_agg(s_name || ' | aliases=' || CASE WHEN s_suppkey % 2 = 0 THEN 'a, b' ELSE '-' END || ' | gender=unknown | description=', chr(10) ORDER BY s_suppkey)) AS digest FROM supplier GROUP BY 1""")
+def character_context(spark, sf_dir):
+    none = F.array().cast("array<string>")
+    rows = table(spark, sf_dir, "supplier").select("s_nationkey", F.col("s_suppkey").alias("pos"), F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(none).alias("aliases"), F.lit(None).cast("string").alias("gender"), F.lit(None).cast("string").alias("description"))
+    return C.context_lines(rows, "s_nationkey").select("s_nationkey", F.md5("context").alias("digest"))
+
+
+@query("alias_tidy", "SELECT s_suppkey, 'Zed|a b|ab' AS aliases FROM supplier")
+def alias_tidy(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(C.tidy_aliases(F.array(F.lit(" ab "), F.lit(""), F.lit("Zed"), F.lit("a b"))), "|").alias("aliases"))
+
+
+@query("overlays", """
+WITH s AS (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, length(text) AS d FROM conversations)
+SELECT conv_id, md5('<?xml version="1.0" encoding="utf-8"?>' || chr(10) || '<smil xmlns="http://www.w3.org/ns/SMIL" version="3.0">' || chr(10) || '<body><seq>' || chr(10) || string_agg('<par id="par_p' || turn || '"><text src="c.xhtml#p' || turn || '"/><audio src="c.wav" clipBegin="' || CAST(coalesce(b, 0) AS BIGINT) || '.000s" clipEnd="' || CAST(coalesce(b, 0) + d AS BIGINT) || '.000s"/></par>', chr(10) ORDER BY turn) || chr(10) || '</seq></body>' || chr(10) || '</smil>') AS digest FROM s GROUP BY 1""")
+def overlays(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("pos"), F.concat(F.lit("p"), "turn").alias("paragraph_id"), F.length("text").cast("double").alias("seconds"), F.lit("c.xhtml").alias("page"), F.lit("c.wav").alias("audio"))
+    return sinks.overlays(S.timed(rows, "conv_id"), "conv_id").select("conv_id", F.md5("smil").alias("digest"))
+
+
+@query("flattened_audio", "SELECT name, max(path) AS path FROM (SELECT 'c' || (page_id % 7) || '.wav' AS name, page_id || '/c' || (page_id % 7) || '.wav' AS path FROM pages) GROUP BY 1")
+def flattened_audio(spark, sf_dir):
+    k = F.col("page_id")
+    return review.flattened(table(spark, sf_dir, "pages").select(F.concat(k.cast("string"), F.lit("/c"), (k % 7).cast("string"), F.lit(".wav")).alias("path")))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment_counts(spark, sf_dir)
