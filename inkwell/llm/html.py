@@ -193,7 +193,7 @@ def best_container(root: Node) -> tuple[Node, float] | None:
     """The container with the highest score, and the score: characters of paragraph text, links discounted.
 
     A paragraph scores its container in full and the one above by half; an article or main element around the
-    winner takes its place.
+    winner takes its place, and else the nearest container that adds a heading and little other text.
     """
     scores: dict[Node, float] = {}
     stack = [root]
@@ -222,10 +222,21 @@ def best_container(root: Node) -> tuple[Node, float] | None:
     score, up = scores[best], best
     while up is not None:
         if up.tag in ("article", "main"):
-            best = up
+            return up, score
+        up = up.parent
+    return (best if best.heading else _with_heading(best)), score
+
+
+def _with_heading(best: Node) -> Node:
+    size = sum(map(len, blocks(best)))
+    up = best.parent
+    while up is not None and up.tag not in ("", "html", "body"):
+        if sum(map(len, blocks(up))) > 1.3 * size + 200:
             break
+        if up.heading:
+            return up
         up = up.parent
-    return best, score
+    return best
 
 
 def _on_path(root: Node, path: str) -> list[Node]:

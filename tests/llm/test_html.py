@@ -46,3 +46,9 @@ def test_a_large_table_of_paths_is_joined_without_a_broadcast(spark, monkeypatch
     monkeypatch.setattr(html, "BROADCAST_BYTES", -1)
     pages = [(i, "https://host.example/", SITE % (i, i)) for i in range(3)]
     assert {r.text for r in html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()} == {WANT}
+
+
+def test_a_title_above_the_text_belongs_to_the_article():
+    text = "<p>" + "word " * 100 + "</p>"
+    page = f"<body><div class=post><h1>Title</h1><div class=entry>{text}{text}</div></div><div class=related>{text}</div></body>"
+    assert html.vote(page)[0] == "div.post" and html.extract(page, None).startswith("Title\n\nword")
