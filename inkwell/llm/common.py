@@ -55,7 +55,7 @@ def ascii_words(data: bytes) -> list[bytes]:
 class WordHash(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
-    def __init__(self, bound: int = 400_000):
+    def __init__(self, bound: int = 200_000):
         from xxhash import xxh3_64_intdigest
 
         self.digest, self.bound = xxh3_64_intdigest, bound
@@ -143,7 +143,7 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
     Batches of links are first contracted to star forests, then large-star and small-star steps
     alternate until nothing changes. Each step reads the table that the one before wrote, so a lost
-    executor costs one step; the joins are on exchanges that AQE can split where a hub is hot.
+    executor costs one step. Least neighbours are aggregated before they are shuffled.
     """
     spark = links.sparkSession
     edges = links.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a <> b")
@@ -156,15 +156,14 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
             break
         seen = state
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = scratch_write(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        large = both.join(spark.read.parquet(least), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         middle = scratch_write(large)
         down = spark.read.parquet(middle)
-        lower = scratch_write(down.groupBy("a").agg(F.min("b").alias("m")))
-        small = down.join(spark.read.parquet(lower), "a").select("b", "m", "a")
+        small = down.join(down.groupBy("a").agg(F.min("b").alias("m")), "a").select("b", "m", "a")
         small = small.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         after = scratch_write(small)
-        discard(spark, path, least, middle, lower)
+        discard(spark, path, middle)
         path = after
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")

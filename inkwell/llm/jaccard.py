@@ -18,6 +18,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +27,11 @@ from inkwell.llm.common import SHINGLE_WORDS, Forest, WordHash, ascii_words, con
 #: Bits of the table of shingle counts, and of the table that marks documents whose sets are needed.
 COUNT_BITS, MARK_BITS = 20, 24
 #: Documents and shingles of a block, of which a tree holds two at most.
-BLOCK_DOCS, BLOCK_SHINGLES = 64, 1 << 19
+BLOCK_DOCS, BLOCK_SHINGLES = 64, 1 << 18
+#: Rows whose sets are held at once.
+PART = 1000
+#: How often the members of a hub follow it to another, and documents with a shingle that are a crowd.
+FOLLOWED, CROWD = 3, 16
 
 
 def _bucket(shingles: np.ndarray) -> np.ndarray:
@@ -42,9 +47,11 @@ def prefix_length(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1
 
 
-def _sets(batches: Iterator, words: WordHash) -> Iterator[tuple[list, list[np.ndarray]]]:
-    for batch in batches:
-        yield batch.column("__id").to_pylist(), [shingle_set(words.of(ascii_words(t))) for t in batch.column("__text").to_pylist()]
+def _sets(batches: Iterator, words: WordHash) -> Iterator[tuple[object, list, list[np.ndarray]]]:
+    for whole in batches:
+        for begin in range(0, whole.num_rows, PART):
+            batch = whole.slice(begin, PART)
+            yield batch, batch.column("__id").to_pylist(), [shingle_set(words.of(ascii_words(t))) for t in batch.column("__text").to_pylist()]
 
 
 def _read(documents: DataFrame, key: str, text: str) -> DataFrame:
@@ -52,7 +59,7 @@ def _read(documents: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def fingerprints(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """kind 0: a document's id (a), 128-bit fingerprint of its set (b, c) and set size (n). kind 1: a bucket (a) and its count (n).
+    """kind 0: a document's id (a), 128-bit fingerprint of its set (b, c), set size (n) and text hash (h). kind 1: a bucket (a) and its count (n).
 
     A task reports buckets whose count is over twice its mean and over 2; the others count as rare.
     """
@@ -61,36 +68,35 @@ def fingerprints(documents: DataFrame, key: str, text: str) -> DataFrame:
         import pyarrow as pa
 
         counts, words = np.zeros(1 << COUNT_BITS, np.int64), WordHash()
-        schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("n", pa.int64())])
-        for ids, sets in _sets(batches, words):
+        schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("h", pa.int64())])
+        for batch, ids, sets in _sets(batches, words):
             prints = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
             if sets:
                 counts += np.bincount(_bucket(np.concatenate(sets)), minlength=len(counts))
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), pa.array(ids, pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array([len(s) for s in sets], pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), pa.array(ids, pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array([len(s) for s in sets], pa.int64()), batch.column("__h")], schema=schema)
         heavy = np.flatnonzero(counts > max(2.0, 2 * counts.mean()))
         zeros = pa.array(np.zeros(len(heavy), np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(heavy), np.int32)), pa.array(heavy), zeros, zeros, pa.array(counts[heavy])], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(heavy), np.int32)), pa.array(heavy), zeros, zeros, pa.array(counts[heavy]), zeros], schema=schema)
 
-    return _read(documents, key, text).mapInArrow(run, "kind int, a long, b long, c long, n long")
+    return _read(documents, key, text).withColumn("__h", F.xxhash64("__text")).mapInArrow(run, "kind int, a long, b long, c long, n long, h long")
 
 
-def _heavy(counted: DataFrame) -> np.ndarray:
-    """Counts of the reported buckets: at most 2 ** COUNT_BITS rows, whatever the input's size."""
-    table = counted.groupBy("a").agg(F.sum("n").alias("n")).toPandas()
-    heavy = np.zeros(1 << COUNT_BITS, np.int64)
-    heavy[table["a"].to_numpy(np.int64)] = table["n"].to_numpy(np.int64)
-    return heavy
+def _heavy(counted: DataFrame) -> Broadcast:
+    """Counts of the reported buckets, sent to all tasks once: at most 2 ** COUNT_BITS rows, whatever the input's size."""
+    table = counted.groupBy("a").agg(F.least(F.sum("n"), F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
+    heavy = np.zeros(1 << COUNT_BITS, np.int32)
+    heavy[table.column("a").to_numpy()] = table.column("n").to_numpy()
+    return counted.sparkSession.sparkContext.broadcast(heavy)
 
 
-def prefixes(documents: DataFrame, heavy: np.ndarray, key: str, text: str) -> DataFrame:
-    """(token, doc, n): the prefix shingles of each set; of equal sets in a batch, those of the smallest id."""
-    shared = documents.sparkSession.sparkContext.broadcast(heavy)
+def prefixes(documents: DataFrame, shared: Broadcast, key: str, text: str) -> DataFrame:
+    """(token, doc, n): the prefix shingles of each set; of equal sets in a part of a batch, those of the smallest id."""
 
     def run(batches: Iterator):
         import pyarrow as pa
 
         words = WordHash()
-        for ids, sets in _sets(batches, words):
+        for _, ids, sets in _sets(batches, words):
             least: dict[bytes, int] = {}
             for i, s in enumerate(sets):
                 if len(s) and ids[i] is not None:
@@ -106,29 +112,29 @@ def prefixes(documents: DataFrame, heavy: np.ndarray, key: str, text: str) -> Da
     return _read(documents, key, text).mapInArrow(run, "token long, doc long, n long")
 
 
-def _marked_sets(documents: DataFrame, wanted: DataFrame, heavy: np.ndarray, key: str, text: str) -> DataFrame:
+def _marked_sets(documents: DataFrame, wanted: DataFrame, heavy: Broadcast, key: str, text: str) -> DataFrame:
     """(doc, set): ordered sets (binary) of at least the wanted documents.
 
     wanted(doc) becomes a bit table of fixed size; a false mark costs a set that the next join drops.
     """
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << MARK_BITS))
-    bits = wanted.select(slot(F.col("doc").cast("long")).alias("s")).groupBy(F.shiftright("s", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias("bits")).toPandas()
+    bits = wanted.select(slot(F.col("doc").cast("long")).alias("s")).groupBy(F.shiftright("s", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias("bits")).toArrow()
     marks = np.zeros(1 << MARK_BITS - 6, np.int64)
-    marks[bits["word"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64)
-    shared = documents.sparkSession.sparkContext.broadcast((heavy, marks.view(np.uint64)))
+    marks[bits.column("word").to_numpy()] = bits.column("bits").to_numpy()
+    shared = documents.sparkSession.sparkContext.broadcast(marks.view(np.uint64))
 
     def run(batches: Iterator):
         import pyarrow as pa
 
         words = WordHash()
         for batch in batches:
-            heavy, marks = shared.value
+            marks = shared.value
             slots = batch.column("__slot").to_numpy()
             keep = np.flatnonzero((marks[slots >> 6] >> (slots & 63).astype(np.uint64)) & np.uint64(1))
             texts, ids = batch.column("__text"), batch.column("__id")
             for begin in range(0, len(keep), 500):
                 some = keep[begin : begin + 500]
-                sets = [ordered(shingle_set(words.of(ascii_words(texts[int(i)].as_py()))), heavy).tobytes() for i in some]
+                sets = [ordered(shingle_set(words.of(ascii_words(texts[int(i)].as_py()))), heavy.value).tobytes() for i in some]
                 yield pa.RecordBatch.from_arrays([pa.array([ids[int(i)].as_py() for i in some], pa.int64()), pa.array(sets, pa.binary())], ["doc", "set"])
 
     source = _read(documents, key, text).where("__id is not null").withColumn("__slot", slot(F.col("__id")))
@@ -208,18 +214,18 @@ def tree_links(docs: list[int], sides: list[int], sets: list[np.ndarray], heavy:
     return links
 
 
-def _links_of_blocks(blocks: DataFrame, sets: DataFrame, heavy: np.ndarray) -> DataFrame:
+def _links_of_blocks(blocks: DataFrame, sets: DataFrame, heavy: Broadcast) -> DataFrame:
     """blocks(g, h, i, doc, side): each (g, h, i) is one tree. Links (a, b)."""
-    shared = blocks.sparkSession.sparkContext.broadcast(heavy)
 
     def run(table):
         import pyarrow as pa
 
         sets = [np.frombuffer(s, np.uint64) for s in table.column("set").to_pylist()]
-        links = tree_links(table.column("doc").to_pylist(), table.column("side").to_pylist(), sets, shared.value)
+        links = tree_links(table.column("doc").to_pylist(), table.column("side").to_pylist(), sets, heavy.value)
         return pa.table([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
 
-    return blocks.join(sets.dropDuplicates(["doc"]), "doc").groupBy("g", "h", "i").applyInArrow(run, "a long, b long")
+    # One plan at every size: a broadcast of small inputs would only hide what large ones shuffle.
+    return blocks.join(sets.hint("merge"), "doc").groupBy("g", "h", "i").applyInArrow(run, "a long, b long")
 
 
 def _block_pairs(members: DataFrame) -> DataFrame:
@@ -231,19 +237,21 @@ def _block_pairs(members: DataFrame) -> DataFrame:
     return paired.select("g", F.least("own", "other").alias("h"), F.greatest("own", "other").alias("i"), "doc", (F.col("own") > F.col("other")).cast("int").alias("side"))
 
 
-def components(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id) for every row of documents.
+def components(documents: DataFrame, key: str = "doc_id", text: str = "text", hashed: bool = False) -> DataFrame:
+    """(key, n_shingles, component_id) for every row of documents; if hashed, also __h, its text's hash.
 
     A null or empty text has an empty set and links with nothing; a null key has a null component. Rows of one key
-    are told apart by their texts; texts whose smallest key is the same count as linked. Other columns are not
-    read; an empty table gives an empty result.
+    are one document: what links one of them links all. Other columns are not read; an empty table gives an empty
+    result.
     """
     spark = documents.sparkSession
     root = scratch_write(fingerprints(documents, key, text), "kind")
-    table = spark.read.schema("kind int, a long, b long, c long, n long").parquet(root)
-    rows = table.where("kind = 0").select("a", "b", "c", "n")
+    table = spark.read.schema("kind int, a long, b long, c long, n long, h long").parquet(root)
+    rows = table.where("kind = 0").select("a", "b", "c", "n", "h")
     heavy = _heavy(table.where("kind = 1"))
     classes = materialize(rows.where("n > 0 and a is not null").groupBy("b", "c").agg(F.min("a").alias("doc"), F.first("n").alias("n")))
+    # A key that several classes have, as it was given with several texts, links them.
+    repeated = rows.join(classes.select("b", "c", "doc"), ["b", "c"]).where("a <> doc").join(classes.select(F.col("doc").alias("a")), "a", "left_semi").select("a", F.col("doc").alias("b"))
     # Prefix shingles that at least two classes have.
     first = prefixes(documents, heavy, key, text).withColumn("m", F.count("*").over(Window.partitionBy("token"))).where("m > 1").drop("m")
     first = materialize(first.join(classes.select("doc").distinct(), "doc", "left_semi"))
@@ -251,9 +259,17 @@ def components(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
     tokens = materialize(first.select("*", F.count("*").over(by_token).alias("m"), F.min("doc").over(by_token).alias("hub"), F.sum(F.xxhash64("doc").cast("decimal(20,0)")).over(by_token).cast("string").alias("sign")).where("m > 1"))
     # Each class joins the hub that most of its shared shingles have.
     votes = tokens.groupBy("doc", "n", "hub").agg(F.count("*").alias("v"))
-    clusters = materialize(votes.groupBy("doc", "n").agg(F.max_by("hub", F.struct("v", -F.col("hub"))).alias("g")))
+    ranked = F.max(F.struct("v", (-F.col("hub")).alias("minus")))
+    votes = materialize(votes.groupBy("doc", "n").agg(ranked.alias("b")).select("doc", "n", (-F.col("b.minus")).alias("g"), "b.v"))
+    # A hub that shares a fifth of its prefix with a hub of its own takes its members there: families of copies
+    # gather in one cluster, chance meetings of a shingle or two do not.
+    follow = votes.where((F.col("g") < F.col("doc")) & (5 * F.col("v") >= F.expr("n div 5 + 1"))).select(F.col("doc").alias("g"), F.col("g").alias("next"))
+    clusters = votes.select("doc", "n", "g")
+    for _ in range(FOLLOWED):
+        clusters = clusters.join(follow, "g", "left").select("doc", "n", F.coalesce("next", "g").alias("g"))
+    clusters = materialize(clusters)
     inner = materialize(_block_pairs(clusters))
-    links = materialize(_links_of_blocks(inner, _marked_sets(documents, inner.select("doc"), heavy, key, text), heavy))
+    links = materialize(repeated.union(_links_of_blocks(inner, _marked_sets(documents, inner.select("doc"), heavy, key, text), heavy)))
     joined = materialize(connected_components(links))
     # Candidates of two clusters that are not connected yet; shingles with the same classes count together.
     placed = clusters.join(joined.select(F.col("id").alias("doc"), "component"), "doc", "left").select("doc", "g", F.coalesce("component", "doc").alias("component"))
@@ -261,8 +277,20 @@ def components(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
     mixed = groups.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.first("m").alias("m"), F.first("hub").alias("hub"), F.first("sign").alias("sign")).where("g0 < g1 and c0 < c1")
     alike = mixed.groupBy("m", "hub", "sign").agg(F.min("token").alias("token"), F.count("*").alias("weight")).select("token", "weight")
     sparse = materialize(groups.join(alike, "token").select("token", "weight", "doc", "n", "g", "component"))
-    left, right = (sparse.select("token", *(["weight"] if s == "a" else []), *(F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "g", "component"))) for s in "ab")
-    pairs = left.join(right, (left.token == right.token) & (F.col("doc_a") < F.col("doc_b")) & (F.col("g_a") != F.col("g_b")) & (F.col("component_a") != F.col("component_b")) & (5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b")))
+    # Families of copies that lie across clusters gather once more, around the hubs of their large shared groups;
+    # documents that share less than a tenth of their prefix there are no family.
+    crowds = sparse.withColumn("crowd", F.count("*").over(by_token)).withColumn("hub", F.min("doc").over(by_token)).where(F.col("crowd") >= CROWD)
+    again = crowds.groupBy("doc", "n", "hub").agg(F.sum("weight").alias("v")).groupBy("doc", "n").agg(F.max(F.struct("v", (-F.col("hub")).alias("minus"))).alias("b"))
+    again = materialize(again.where(10 * F.col("b.v") >= F.expr("n div 5 + 1")).select("doc", "n", (-F.col("b.minus")).alias("g")))
+    across = materialize(_block_pairs(again))
+    if not across.isEmpty():
+        links = materialize(links.union(_links_of_blocks(across, _marked_sets(documents, across.select("doc"), heavy, key, text), heavy)))
+        joined = materialize(connected_components(links))
+    sparse = sparse.drop("component").join(joined.select(F.col("id").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    sparse = materialize(sparse.join(again.select("doc", F.col("g").alias("again")), "doc", "left"))
+    left, right = (sparse.select("token", *(["weight"] if s == "a" else []), *(F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "g", "component", "again"))) for s in "ab")
+    met = (F.col("g_a") == F.col("g_b")) | (F.col("component_a") == F.col("component_b")) | F.coalesce(F.col("again_a") == F.col("again_b"), F.lit(False))
+    pairs = left.join(right, (left.token == right.token) & (F.col("doc_a") < F.col("doc_b")) & ~met & (5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b")))
     rest = lambda s: F.expr(f"ceil(4 * n_{s} / 5) - 1")  # noqa: E731  shingles behind the prefix
     pairs = pairs.groupBy("doc_a", "doc_b", "n_a", "n_b").agg(F.sum("weight").alias("shared")).where(9 * (F.col("shared") + F.greatest(rest("a"), rest("b"))) >= 4 * (F.col("n_a") + F.col("n_b")))
     pairs = materialize(pairs.select("doc_a", "doc_b"))
@@ -273,10 +301,13 @@ def components(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
         joined = materialize(connected_components(links.union(more)))
     named = classes.join(joined, classes.doc == joined.id, "left").select("b", "c", F.coalesce("component", "doc").alias("component_id"))
     out = rows.join(named, ["b", "c"], "left")
-    return out.select(F.col("a").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("a").isNotNull() & (F.col("n") > 0), F.coalesce("component_id", "a")).otherwise(F.col("a")).alias("component_id"))
+    return out.select(F.col("a").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("a").isNotNull() & (F.col("n") > 0), F.coalesce("component_id", "a")).otherwise(F.col("a")).alias("component_id"), *([F.col("h").alias("__h")] if hashed else []))
 
 
 def distinct_documents(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of documents whose key is the smallest of its component, and those without a key; of equal keys, all rows."""
-    keep = components(documents, key, text).where(F.col(key) == F.col("component_id")).select(F.col(key)).distinct()
-    return documents.join(keep, key, "left_semi").unionByName(documents.where(F.col(key).isNull()))
+    """One row of each component: that whose key is the component's id. Of repeated rows one stays; rows without a key all stay."""
+    keep = components(documents, key, text, hashed=True).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__key"), "__h").distinct()
+    marked = documents.withColumn("__own", F.xxhash64(text_bytes(text)))
+    joined = marked.join(keep, (F.col(key) == F.col("__key")) & (F.col("__own") == F.col("__h")), "left_semi")
+    one = joined.withColumn("__n", F.row_number().over(Window.partitionBy(key, "__own").orderBy(key, "__own"))).where("__n = 1")
+    return one.drop("__n", "__own").unionByName(documents.where(F.col(key).isNull()))
