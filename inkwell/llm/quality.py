@@ -20,7 +20,7 @@ from inkwell.llm.common import text_bytes
 from inkwell.llm.toxicity import labelled_sample
 
 #: The fit's bounds: labelled rows of each class and bytes of their texts.
-ROWS_GOOD, ROWS_BAD, FIT_BYTES = 6000, 4000, 48 << 20
+ROWS_GOOD, ROWS_BAD, FIT_BYTES = 3000, 2000, 20 << 20
 #: Statistics, in the order that `statistics` returns them.
 STATISTICS = ("log_bytes", "log_words", "word_length", "distinct_share", "top_word_share", "repeat_share", "upper_share", "digit_share", "symbol_share", "pipe_share", "bang_share", "marked_share", "log_lines", "repeated_line_share", "ascii_letter_share", "other_byte_share")
 _UPPER, _LOWER, _DIGIT = np.arange(65, 91), np.arange(97, 123), np.arange(48, 58)
