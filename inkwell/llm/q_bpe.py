@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 from inkwell.llm import bpe
 
 
-def digests(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), tokens: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
+def digests(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), tokens: str = "byte_bpe_multi_50k.tiktoken", with_ids: bool = False) -> DataFrame:
+    """Columns keep, n_tokens, digests of the ids and of what they decode to, and if asked for the ids themselves."""
     import public_tokenizers
 
     path = public_tokenizers.path(tokens)
     encoded = bpe.encode(documents, path, public_tokenizers.PATTERN, keep=keep)
     encoded = encoded.withColumn("ids_sha256", F.sha2("ids", 256))
-    kept = (*keep, "n_tokens", "ids_sha256")
+    kept = (*keep, "n_tokens", *(["ids"] if with_ids else []), "ids_sha256")
     return bpe.decode(encoded, path, keep=kept).select(*kept, F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
