@@ -36,8 +36,10 @@ _SCOPE = frozenset("html body table ul ol dl article section main div td th asid
 # Elements and words of class names or ids that are not part of an article.
 _OUT = frozenset("nav aside footer form button select dialog menu object audio video canvas head script style textarea title noscript template iframe svg math xmp".split())
 _OUT_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies disqus disclaimer footer gdpr hidden login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup popular promo promoted promotion rail recommended related replies reply respond share sharing sidebar signup skip skyscraper social sponsor sponsored sponsors subscribe subscription tagcloud tags teaser toc toolbar widget widgets".split()
+    "ad ads adsbygoogle advert adverts advertisement advertising alert announcement banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus disclaimer footer gdpr hidden login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup popular promo promoted promotion rail recommended related replies reply respond search share sharing sidebar signup skip skyscraper social sponsor sponsored sponsors subscribe subscription tagcloud tags toc toolbar topbar widget widgets".split()
 )
+# A class or id with "header" is the site's unless one of these words tells that it is the article's.
+_ARTICLE_WORDS = frozenset("article content entry post story title".split())
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?][^>]*>)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -74,7 +76,7 @@ def _is_out(tag: str, attributes: dict[str, str]) -> bool:
         return False
     for name in (attributes.get("class", "") + " " + attributes.get("id", "")).split():
         words = [w.lower() for w in _WORD.findall(name)]
-        if words and words[0] not in ("has", "no", "with", "without", "js") and not _OUT_WORDS.isdisjoint(words):
+        if words and words[0] not in ("has", "no", "with", "without", "js") and (not _OUT_WORDS.isdisjoint(words) or "header" in words and _ARTICLE_WORDS.isdisjoint(words)):
             return True
     return False
 

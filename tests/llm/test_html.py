@@ -52,3 +52,10 @@ def test_a_title_above_the_text_belongs_to_the_article():
     text = "<p>" + "word " * 100 + "</p>"
     page = f"<body><div class=post><h1>Title</h1><div class=entry>{text}{text}</div></div><div class=related>{text}</div></body>"
     assert html.vote(page)[0] == "div.post" and html.extract(page, None).startswith("Title\n\nword")
+
+
+def test_parts_that_are_not_the_article():
+    text = "<p>" + "word " * 40 + "</p>"
+    inside = "".join(f'<div {a}><p>unwanted text</p></div>' for a in ('class="site-header"', 'id="header"', 'class="alert alert-info"', 'class="ad-slot"', 'id="disqus_thread"', 'class="adsbygoogle"', 'class="userComments"', 'role="search"', 'style="display:none"', "hidden"))
+    page = f'<body><div class="container with-sidebar"><div class="content"><div class="entry-header"><h1>Title</h1></div>{inside}{text}<ol class="commentlist"><li>unwanted</li></ol></div><div class="sidebar">{text}</div></div></body>'
+    assert html.extract(page, None) == "Title\n\n" + ("word " * 40).strip()
