@@ -47,6 +47,23 @@ def text_bytes(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary")
 
 
+def with_text(documents: DataFrame, keep: tuple[str, ...], text: str) -> DataFrame:
+    """Columns keep, and the text as __text unless it is among them: a text travels to Python once."""
+    return documents.select(*keep) if text in keep else documents.select(*keep, F.col(text).alias("__text"))
+
+
+def parts(batches: Iterator, rows: int = 500) -> Iterator:
+    """Short slices of Arrow batches, so that what is worked on and sent back at once stays small."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+
+
+def texts_of(batch, keep: tuple[str, ...], text: str) -> list[str]:
+    """A slice's texts; null counts as empty."""
+    return [t or "" for t in batch.column(text if text in keep else "__text").to_pylist()]
+
+
 def ascii_words(data: bytes) -> list[bytes]:
     """Words between ASCII white space (0x20, 0x09-0x0D), with A-Z lower-cased: bytes methods touch ASCII only."""
     return data.lower().split()

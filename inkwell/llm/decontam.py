@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import ascii_words, mix, text_bytes
+from inkwell.llm.common import ascii_words, mix, parts, text_bytes, texts_of, with_text
 
 #: Words of the shortest tile, the share of an item's words that counts, and bytes of benchmark text in a block.
 TILE_WORDS, COVERAGE, BLOCK_BYTES = 5, 0.4, 8 << 20
@@ -177,26 +177,25 @@ def matches(documents: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     placed = benchmark.select("item_id", text_bytes("text").alias("__t"), F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).alias("__b"))
-    df = documents.select(*keep, text_bytes(text).alias("__text"), F.array().cast(_MATCH.format(key=kind)).alias("__matches"))
+    df = with_text(documents, keep, text).withColumn("__matches", F.array().cast(_MATCH.format(key=kind)))
     for number in range(blocks):
         rows = sorted(((r[0], bytes(r[1])) for r in placed.where(F.col("__b") == number).select("item_id", "__t").collect()), key=lambda r: (r[0] is not None, r[0], r[1]))
         shared = spark.sparkContext.broadcast(Block.of(rows))
         last = number + 1 == blocks
         schema = StructType([StructField(f.name, f.dataType) for f in df.schema if not (last and f.name == "__text")])
 
-        def run(batches: Iterator, shared=shared, last=last):
+        def run(batches: Iterator, shared=shared, names=tuple(schema.names)):
             import pyarrow as pa
 
             block = shared.value
-            for batch in batches:
-                old, texts = batch.column("__matches"), batch.column("__text")
-                new = []
-                for i in range(batch.num_rows):
-                    found = block.matches(texts[i].as_py(), coverage)
+            for batch in parts(batches):
+                old, new = batch.column("__matches"), []
+                for i, document in enumerate(texts_of(batch, keep, text)):
+                    found = block.matches(document.encode("utf-8", "surrogatepass"), coverage)
                     new.append((old[i].as_py() or []) + [{"item_id": k, "item_words": n, "covered_words": c, "tiles": [dict(zip(("item_at", "doc_at", "words"), t)) for t in ts]} for k, n, c, ts in found])
-                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *([] if last else [texts]), pa.array(new, old.type)], [*keep, *([] if last else ["__text"]), "__matches"])
+                yield pa.RecordBatch.from_arrays([pa.array(new, old.type) if n == "__matches" else batch.column(n) for n in names], list(names))
 
-        df = df.select(*keep, "__text", "__matches").mapInArrow(run, schema)
+        df = df.mapInArrow(run, schema)
     return df.select(*keep, "__matches")
 
 

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import text_bytes
+from inkwell.llm.common import parts, texts_of, with_text
 from inkwell.llm.toxicity import labelled_sample
 
 #: The fit's bounds: labelled rows of each class and bytes of their texts.
@@ -69,11 +69,11 @@ def with_statistics(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), t
     def run(batches: Iterator):
         import pyarrow as pa
 
-        for batch in batches:
-            table = np.array([statistics(t) for t in batch.column("__text").to_pylist()]).reshape(-1, len(STATISTICS))
+        for batch in parts(batches):
+            table = np.array([statistics(t.encode("utf-8", "surrogatepass")) for t in texts_of(batch, keep, text)]).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *(pa.array(table[:, i]) for i in range(len(STATISTICS)))], schema.names)
 
-    return documents.select(*keep, text_bytes(text).alias("__text")).mapInArrow(run, schema)
+    return with_text(documents, keep, text).mapInArrow(run, schema)
 
 
 @dataclass(frozen=True)

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import mix
+from inkwell.llm.common import parts, texts_of, with_text
 
 #: n-gram lengths, bits of the feature table.
 LENGTHS, BITS = (3, 4, 5), 20
@@ -174,9 +174,8 @@ def score(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",
         table = np.zeros(1 << BITS, np.float32)
         table[packed[0]] = packed[1]
         whole = Model(table, packed[2])
-        for batch in batches:
-            texts = batch.column("__text")
-            scores = [score_texts(whole, texts.slice(i, PART).to_pylist()) for i in range(0, len(texts), PART)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(np.concatenate(scores) if scores else [], pa.float64())], [*keep, out])
+        for batch in parts(batches, PART):
+            scores = score_texts(whole, texts_of(batch, keep, "text"))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(scores, pa.float64())], [*keep, out])
 
-    return documents.select(*keep, F.coalesce("text", F.lit("")).alias("__text")).mapInArrow(run, schema)
+    return with_text(documents, keep, "text").mapInArrow(run, schema)
