@@ -17,12 +17,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import text_bytes
+from inkwell.llm.common import parts, text_bytes
 
 #: Bytes of text that are encoded together, and pre-tokens remembered between blocks.
-BLOCK_BYTES, CACHE_WORDS = 8 << 20, 200_000
+BLOCK_BYTES, CACHE_WORDS = 4 << 20, 150_000
 #: Bytes of a short batch that goes back to Spark.
-OUT_BYTES = 4 << 20
+OUT_BYTES = 2 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -184,26 +184,39 @@ class Encoder:
         return out
 
 
+class Decoder:
+    """The bytes that ids stand for."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.token = {rank: word for word, rank in ranks.items()}.__getitem__
+
+    def __call__(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.token, ids.tolist()))
+
+
 class _Numbered(dict):
     def __missing__(self, word):
         value = self[word] = len(self)
         return value
 
 
-def encode(documents: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def encode(documents: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), block_bytes: int = BLOCK_BYTES, with_decoded: bool = False) -> DataFrame:
     """Columns `keep`, n_tokens (long) and ids (binary: little-endian unsigned 32-bit integers) of each row.
 
+    with_decoded adds decoded (binary), what the ids decode to, from the same Python worker.
+
     ranks_path is read by each Python worker, so it names a file that every executor has (an installed
     package's file). Each match of pattern is encoded by itself; there are no special tokens. A null or
     empty text has no tokens; repeated rows stay repeated; no length is too long.
     """
     fields = [documents.schema[k] for k in keep]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_tokens long", "ids binary"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_tokens long", "ids binary", *(["decoded binary"] if with_decoded else [])])
 
     def run(batches: Iterator):
         import pyarrow as pa
 
-        encoder = Encoder(load_ranks(ranks_path), pattern)
+        ranks = load_ranks(ranks_path)
+        encoder, decoded = Encoder(ranks, pattern), Decoder(ranks) if with_decoded else None
 
         def emit(kept, texts):
             ids = encoder.block([t.decode("utf-8", "replace") for t in texts])
@@ -215,11 +228,13 @@ def encode(documents: DataFrame, ranks_path: str, pattern: str, text: str = "tex
                     end += 1
                 part = pa.Table.from_batches(kept).slice(begin, end - begin)
                 columns = [part.column(f.name) for f in fields]
-                yield from pa.table([*columns, pa.array([len(x) for x in ids[begin:end]], pa.int64()), pa.array([x.tobytes() for x in ids[begin:end]], pa.binary())], names=[*keep, "n_tokens", "ids"]).combine_chunks().to_batches()
+                columns += [pa.array([len(x) for x in ids[begin:end]], pa.int64()), pa.array([x.tobytes() for x in ids[begin:end]], pa.binary())]
+                columns += [pa.array([decoded(x) for x in ids[begin:end]], pa.binary())] if with_decoded else []
+                yield from pa.table(columns, names=[*keep, "n_tokens", "ids", *(["decoded"] if with_decoded else [])]).combine_chunks().to_batches()
                 begin = end
 
         kept, texts, size = [], [], 0
-        for batch in batches:
+        for batch in parts(batches):
             values = batch.column("__text").to_pylist()
             begin = 0
             for i, value in enumerate(values):
@@ -246,9 +261,9 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", keep: tuple[st
     def run(batches: Iterator):
         import pyarrow as pa
 
-        token = {rank: word for word, rank in load_ranks(ranks_path).items()}.__getitem__
-        for batch in batches:
-            texts = [b"".join(map(token, np.frombuffer(x or b"", "<u4").tolist())) for x in batch.column("__ids").to_pylist()]
+        decoded = Decoder(load_ranks(ranks_path))
+        for batch in parts(batches):
+            texts = [decoded(np.frombuffer(x or b"", "<u4")) for x in batch.column("__ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(texts, pa.binary())], [*keep, "decoded"])
 
     return encoded.select(*keep, F.col(ids).alias("__ids")).mapInArrow(run, schema)

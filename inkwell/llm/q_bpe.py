@@ -11,10 +11,8 @@ def digests(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), tokens: s
     import public_tokenizers
 
     path = public_tokenizers.path(tokens)
-    encoded = bpe.encode(documents, path, public_tokenizers.PATTERN, keep=keep)
-    encoded = encoded.withColumn("ids_sha256", F.sha2("ids", 256))
-    kept = (*keep, "n_tokens", *(["ids"] if with_ids else []), "ids_sha256")
-    return bpe.decode(encoded, path, keep=kept).select(*kept, F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = bpe.encode(documents, path, public_tokenizers.PATTERN, keep=keep, with_decoded=True)
+    return coded.select(*keep, "n_tokens", *(["ids"] if with_ids else []), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,3 +58,9 @@ def test_blocks_do_not_change_the_ids(library):
     for text in ("one two three four", "two three five", "six seven", "one"):
         assert encoder.block([text])[0].tolist() == library.encode_ordinary(text)
     assert base64.b64decode(b"YQ==") == b"a"
+
+
+def test_decode_is_the_way_back(spark):
+    df = spark.createDataFrame([(1, "Hello, wörld"), (2, None), (3, "")], "doc_id long, text string")
+    back = bpe.decode(bpe.encode(df, TOKENS, P.PATTERN), TOKENS)
+    assert {r.doc_id: bytes(r.decoded).decode() for r in back.collect()} == {1: "Hello, wörld", 2: "", 3: ""}
