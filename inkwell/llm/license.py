@@ -2,7 +2,7 @@
 
 A text is normalised to its lower-case words. Rules are regular expressions over that form, each with a
 keyword, a priority and a label. A first filter passes only texts with a licence word, a second one only the
-rules whose keyword stands in the text. Each detection is an interval of characters; one that lies inside another
+rules whose keyword begins a word of the text. Each detection is an interval of characters; one that lies inside another
 of the same or a higher priority is suppressed. All of it happens within the row: no shuffle, no explosion.
 """
 
@@ -112,7 +112,7 @@ FORMS = (
 # The phrases that always count, with their labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 #: A text without any of these words has no detection: every rule and base phrase contains one.
-GATE = r" (?:licen[cs]e[ds]?|unlicense|identifier|under|cc0?|zero|a?gpl|lgpl|gnu|bsd|cddl|cecill|epl|eupl|gfdl|mpl|odbl|ofl|public|wtfpl|apache|sspl|agpl ?v?3|lgpl ?v?[23]|gpl ?v?[123]|affero|attribution|reserved|confidential|granted|permitted|permission|redistribute|warranty|warranties|waived|misrepresented|artistic) "
+GATE = r" (?:licen[cs]e[ds]?|unlicense|identifier|under|cc0?|zero|a?gpl|lgpl|gnu|bsd|cddl|cecill|epl|eupl|gfdl|mpl|odbl|ofl|public|wtfpl|apache|sspl(?: ?v?1)?|agpl ?v?3|lgpl ?v?[23]|gpl ?v?[123]|affero|attribution|reserved|confidential|granted|permitted|permission|redistribute|warranty|warranties|waived|misrepresented|artistic) "
 
 
 def rules() -> list[tuple[str, str, int, float, str]]:
@@ -138,7 +138,7 @@ def _rule_table() -> Column:
 
 
 def _detections(words: Column) -> Column:
-    """Every match of the rules whose keyword stands in the words: begin and end (characters), rule fields."""
+    """Every match of the rules whose keyword begins one of the words: begin and end (characters), rule fields."""
 
     def of_rule(rule: Column) -> Column:
         matches = F.regexp_extract_all(words, rule["expression"], F.lit(0))
@@ -152,7 +152,7 @@ def _detections(words: Column) -> Column:
 
         return F.when(F.size(matches) > 0, F.aggregate(F.sequence(F.lit(1), F.size(matches)), start, step, lambda acc: acc["found"])).otherwise(start["found"])
 
-    table = F.filter(_rule_table(), lambda r: F.contains(words, F.concat(F.lit(" "), r["keyword"], F.lit(" "))))
+    table = F.filter(_rule_table(), lambda r: F.contains(words, F.concat(F.lit(" "), r["keyword"])))
     return F.flatten(F.transform(table, of_rule))
 
 

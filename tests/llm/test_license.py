@@ -54,3 +54,21 @@ def test_hundreds_of_rules_and_the_gate_passes_all():
 
 def test_empty_table(spark):
     assert license.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def _scan(spark, texts):
+    out = license.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) for r in out}
+
+
+def test_versions_glued_to_the_name_are_found(spark):
+    names = ["GPLv3", "GPL3", "GPLv2 or later", "LGPLv2.1", "LGPL3", "AGPLv3", "AGPL3", "SSPLv1", "SSPL1"]
+    texts = [form % name for name in names for form in ("%s", "released under %s today", "SPDX-License-Identifier: %s")]
+    got = _scan(spark, texts)
+    for i, text in enumerate(texts):
+        assert got[i] == _brute(text) and got[i][5], text
+
+
+def test_every_match_begins_a_word_with_its_keyword():
+    for label, keyword, *_, expression in license.rules():
+        assert re.search(rf"(?:^|[ )?:(|]){keyword}", expression), (label, keyword)
