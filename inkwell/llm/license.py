@@ -187,8 +187,8 @@ def scan(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str =
         *keep,
         F.when(words == "  ", 0).otherwise(_spaces(words) - 1).cast("long").alias("n_words"),
         F.when(base, F.regexp_count(words, F.lit(places))).otherwise(0).cast("long").alias("n_base"),
-        F.when(base, _spaces(F.regexp_extract(words, rf"^( (?:.*? )??)(?:{phrases}) ", 1)) - 1).cast("long").alias("first_word"),
-        F.when(base, _spaces(F.regexp_extract(words, rf"^(.* )(?:{phrases}) ", 1)) - 1).cast("long").alias("last_word"),
+        F.when(base, _spaces(F.regexp_extract(words, rf"(?s)^( (?:.*? )??)(?:{phrases}) ", 1)) - 1).cast("long").alias("first_word"),
+        F.when(base, _spaces(F.regexp_extract(words, rf"(?s)^(.* )(?:{phrases}) ", 1)) - 1).cast("long").alias("last_word"),
         F.when(base, F.array_compact(F.array(*(F.when(F.contains(words, F.lit(f" {p} ")), F.lit(label)) for p, label in sorted(BASE, key=lambda b: b[1]))))).otherwise(F.array().cast("array<string>")).alias("__base"),
         F.when(F.col("__gate"), _survivors(_detections(words))).otherwise(F.array().cast("array<struct<begin:int,end:int,label:string,priority:int,weight:double>>")).alias("spans"),
     )

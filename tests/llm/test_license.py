@@ -72,3 +72,11 @@ def test_versions_glued_to_the_name_are_found(spark):
 def test_every_match_begins_a_word_with_its_keyword():
     for label, keyword, *_, expression in license.rules():
         assert re.search(rf"(?:^|[ )?:(|]){keyword}", expression), (label, keyword)
+
+
+def test_line_separators_do_not_hide_phrases(spark):
+    ends = ["\u2028", "\u2029", "\x85"]
+    texts = [text for e in ends for text in (f"a{e}b mit license", f"mit license c{e}d apache license", f"mit license {e} apache license {e} cc by {e}")]
+    got = _scan(spark, texts)
+    for i, text in enumerate(texts):
+        assert got[i] == _brute(text), ascii(text)
