@@ -4,7 +4,7 @@ Every page is read into a light tree. Paragraph text scores the containers aroun
 with its generalised tag-class path (digits become #), for the path of its host. Votes are summed in Spark, each
 host's strongest path is joined back, and the page is read again: containers on the winning path are the article,
 and a page without one falls back to its own best container. Menus, notices, comments and the like are left out
-inside containers too.
+inside containers too, but not an element marked like that around most of the page's text.
 
 Winning paths are as many as hosts. They are broadcast only while their measured size is within a bound; beyond
 it the join shuffles by host, which Spark splits where a host is hot.
@@ -38,6 +38,10 @@ _OUT = frozenset("nav aside footer form button select dialog menu object audio v
 _OUT_WORDS = frozenset(
     "ad ads adsbygoogle advert adverts advertisement advertising alert announcement banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus disclaimer footer gdpr hidden login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup popular promo promoted promotion rail recommended related replies reply respond search share sharing sidebar signup skip skyscraper social sponsor sponsored sponsors subscribe subscription tagcloud tags toc toolbar topbar widget widgets".split()
 )
+# Words of class names that also stand at an element around the whole page, to tell how it is laid out.
+_LAYOUT_WORDS = frozenset("ad ads advert adverts advertising banner breadcrumb breadcrumbs header footer menu nav navbar navigation notice notices pager pagination promo rail search share sharing sidebar social tags toc toolbar topbar widget widgets".split())
+# Why an element is left out: for good, by its class or id, or by a mark that an element around the whole page may have too.
+_FIRM, _CLASS, _LAYOUT = 1, 2, 3
 # A class or id with "header" is the site's unless one of these words tells that it is the article's.
 _ARTICLE_WORDS = frozenset("article content entry post story title".split())
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?][^>]*>)", re.S)
@@ -49,7 +53,7 @@ _DIGITS = re.compile(r"\d+")
 class Node:
     __slots__ = ("tag", "label", "parent", "parts", "out", "link", "heading", "depth")
 
-    def __init__(self, tag: str, label: str, parent: Node | None, out: bool, link: bool):
+    def __init__(self, tag: str, label: str, parent: Node | None, out: int, link: bool):
         self.tag, self.label, self.parent, self.out, self.link = tag, label, parent, out, link
         self.parts: list = []
         self.heading = False
@@ -63,27 +67,31 @@ class Node:
         return ">".join(reversed(labels))
 
 
-def _is_out(tag: str, attributes: dict[str, str]) -> bool:
-    if tag in _OUT:
-        return True
+def _is_out(tag: str, attributes: dict[str, str]) -> int:
+    """Why an element is left out, 0 if it is not."""
+    if tag in _OUT and tag != "form":
+        return _FIRM
+    out = _LAYOUT if tag == "form" else 0
     if not attributes:
-        return False
+        return out
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role") in ("navigation", "banner", "complementary", "contentinfo", "search", "dialog", "alert"):
-        return True
+        return _FIRM
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")):
-        return True
+        return _FIRM
     if tag in ("html", "body", "main"):
-        return False
+        return 0
     for name in (attributes.get("class", "") + " " + attributes.get("id", "")).split():
         words = [w.lower() for w in _WORD.findall(name)]
         if words and words[0] not in ("has", "no", "with", "without", "js") and (not _OUT_WORDS.isdisjoint(words) or "header" in words and _ARTICLE_WORDS.isdisjoint(words)):
-            return True
-    return False
+            if not _LAYOUT_WORDS.issuperset(_OUT_WORDS.intersection(words)):
+                return _CLASS
+            out = _LAYOUT
+    return out
 
 
 def parse(page: str) -> Node:
     """The page's tree. Tags that are not closed end where HTML lets them end; stray end tags are ignored."""
-    root = Node("", "", None, False, False)
+    root = Node("", "", None, 0, False)
     node, at = root, 0
     lower = None
     while True:
@@ -92,6 +100,7 @@ def parse(page: str) -> Node:
         if text:
             node.parts.append(text)
         if tag is None:
+            _keep_wrappers(root)
             return root
         at = tag.end()
         name = tag[2]
@@ -139,11 +148,46 @@ def parse(page: str) -> Node:
                 up = up.parent
 
 
+def _keep_wrappers(root: Node) -> None:
+    """Unmarks elements that hold more than half of the page's unlinked text by their layout mark, unless an article is marked up."""
+    order, stack, layout = [], [root], False
+    while stack:
+        node = stack.pop()
+        if node.out in (_FIRM, _CLASS) or node.tag == "header":
+            continue
+        if node.tag in ("article", "main") and not node.out:
+            return
+        layout = layout or node.out == _LAYOUT
+        order.append(node)
+        stack += [p for p in node.parts if isinstance(p, Node)]
+    if not layout:
+        return
+    sizes: dict[Node, int] = {}
+    for node in reversed(order):
+        own = 0 if node.link else sum(len(p.strip()) for p in node.parts if isinstance(p, str))
+        sizes[node] = sizes.get(node, 0) + own
+        if node.parent is not None:
+            sizes[node.parent] = sizes.get(node.parent, 0) + sizes[node]
+    for node in order:
+        if node.out == _LAYOUT and 2 * sizes[node] > sizes[root]:
+            node.out = 0
+
+
+def _keep_classes(root: Node) -> None:
+    """Unmarks forms and all elements that are left out by class or id."""
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if node.out != _FIRM:
+            node.out = 0
+        stack += [p for p in node.parts if isinstance(p, Node)]
+
+
 def _left_out(node: Node, within: bool) -> bool:
     """A header is kept where it stands within an article and has a heading; an element that holds an article is never left out."""
     if node.tag == "header":
-        return node.out or not (within and node.heading)
-    return node.out
+        return bool(node.out) or not (within and node.heading)
+    return bool(node.out)
 
 
 def blocks(node: Node, within: bool = False) -> list[str]:
@@ -269,7 +313,10 @@ def vote(page: str) -> tuple[str, float] | None:
 
 
 def extract(page: str, path: str | None) -> str:
-    """The article of a page: its containers on the host's path, or its own best container."""
+    """The article of a page: its containers on the host's path, or its own best container.
+
+    Where nothing is left, forms and what is left out by class or id count too.
+    """
     if not page:
         return ""
     root = parse(page)
@@ -277,6 +324,10 @@ def extract(page: str, path: str | None) -> str:
     if not found:
         best = best_container(root)
         found = blocks(best[0]) if best else []
+    if not found:
+        _keep_classes(root)
+        best = best_container(root)
+        found = blocks(best[0]) if best else []
     return "\n\n".join(found)
 
 

@@ -59,3 +59,28 @@ def test_parts_that_are_not_the_article():
     inside = "".join(f'<div {a}><p>unwanted text</p></div>' for a in ('class="site-header"', 'id="header"', 'class="alert alert-info"', 'class="ad-slot"', 'id="disqus_thread"', 'class="adsbygoogle"', 'class="userComments"', 'role="search"', 'style="display:none"', "hidden"))
     page = f'<body><div class="container with-sidebar"><div class="content"><div class="entry-header"><h1>Title</h1></div>{inside}{text}<ol class="commentlist"><li>unwanted</li></ol></div><div class="sidebar">{text}</div></div></body>'
     assert html.extract(page, None) == "Title\n\n" + ("word " * 40).strip()
+
+
+def test_an_element_around_the_whole_page_is_not_left_out():
+    text = "<p>" + "word " * 60 + "</p>"
+    side = '<div class="sidebar"><p>Popular posts of other days.</p></div>'
+    want = "Title\n\n" + ("word " * 60).strip()
+    for wrapper in ('form id="aspnetForm"', 'div class="layout sidebar-right"', 'div class="two-column-sidebar"', 'div id="page-nav-top"'):
+        page = f'<body><{wrapper}><div class="post"><h1>Title</h1>{text}<form><p>Subscribe to our letter</p></form></div>{side}</{wrapper.split()[0]}></body>'
+        assert html.extract(page, None) == want, wrapper
+        assert html.vote(page) is not None, wrapper
+        assert html.extract(page, html.vote(page)[0]) == want, wrapper
+    nested = f'<body><form id="f"><div class="layout sidebar-right"><div class="post"><h1>Title</h1>{text}</div>{side}</div></form><div>Site name</div></body>'
+    assert html.extract(nested, None) == want
+
+
+def test_a_page_without_anything_left_is_read_without_class_and_form_filters():
+    text = "<p>" + "word " * 60 + "</p>"
+    assert html.extract(f'<body><div class="popup-open modal">{text}</div><nav>Menu of the site</nav></body>', None) == ("word " * 60).strip()
+    assert html.extract("<body><nav>Menu of the site</nav><div hidden>secret</div></body>", None) == ""
+
+
+def test_comments_stay_out_however_long():
+    text = "<p>" + "word " * 100 + "</p>"
+    page = f'<body><div class="post"><h1>Title</h1><p>A short text.</p></div><div id="comments">{text}{text}</div></body>'
+    assert html.extract(page, None) == "Title\n\nA short text."
