@@ -3,36 +3,36 @@
 Word counts are gathered over the whole training corpus. The most frequent words (a bounded table) travel with
 the tasks; the counts of all others reach the documents by a shuffle join, so no vocabulary is held in one place
 and no frequent word is a hot key. The model predicts each token from hashed features of the two words before it:
-a bias, the previous word, the one before that alone (a skip), and the pair. Its softmax is factored by word
-classes. It knows the most frequent words; any other is one outcome, times the smoothed share of the word among
-all such words, so probabilities of all words sum to one.
+a bias, the previous word, the one before that alone (a skip), and the pair. Its softmax is factored into the
+yes-no choices of a Huffman tree; each feature has a hashed weight at each choice. Leaves are the frequent words
+and buckets of all others by hash, whose number grows with the words. A word of a bucket has the bucket's
+probability times its smoothed share in it, so probabilities of all words sum to one.
 
 Training runs in rounds over disjoint parts of the training rows. In a round every task starts from the shared
-weights and takes gradient steps on its own rows; the updates, cut into blocks, are summed in Spark, level by
-level, and averaged by tokens. Weights have a fixed size, whatever the input's.
+weights and takes gradient steps on its own rows; the updates, cut into blocks, are averaged in Spark, each weight
+by the evidence that the tasks saw for it. The number of weights grows with the root of the training tokens.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import repeat
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import ascii_words, materialize, text_bytes
+from inkwell.llm.common import ascii_words, materialize, mix, text_bytes
 
-#: Words that the tasks know by themselves; outcomes of the model (the others together are outcome 0); classes.
-HEAD_WORDS, OUTCOMES, CLASSES = 1 << 17, 512, 16
-PER_CLASS = OUTCOMES // CLASSES
-#: Rows of weights: bias, previous word, skip, and hashed pairs.
-PAIR_ROWS = 1024
-ROWS = 1 + 2 * OUTCOMES + PAIR_ROWS
-#: Training rounds, distinct events of a step, step size, blocks of an update, and words counted at once.
-ROUNDS, STEP_TOKENS, RATE, BLOCKS, COUNTED = 2, 60_000, 0.15, 32, 300_000
+#: Words that the tasks know by themselves; bound of outcome numbers (0 is none); most buckets of all other words.
+HEAD_WORDS, OUTCOMES, MOST_BUCKETS = 1 << 17, 1 << 20, 1 << 19
+#: Words to a bucket, and hashed weights of a corpus of a million tokens (2^20).
+BUCKET_WORDS, WEIGHT_BITS = 4, 19
+#: Training rounds, tokens of a step, step size, blocks of an update, and words counted at once.
+ROUNDS, STEP_TOKENS, RATE, BLOCKS, COUNTED = 2, 60_000, 0.3, 512, 300_000
 #: The end of a text: words are not empty.
 END = b""
 
@@ -62,22 +62,77 @@ def word_counts(documents: DataFrame, text: str = "text") -> DataFrame:
     return documents.select(text_bytes(text)).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+@dataclass
+class Tree:
+    """A canonical Huffman code: code and length of each outcome (length -1: not an outcome), and where the nodes of a depth begin."""
+
+    code: np.ndarray
+    length: np.ndarray
+    base: np.ndarray  # node number = base[depth] + prefix of the code
+    nodes: int
+
+    def paths(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For every choice on the paths to the outcomes: how many each has, the node and the way taken (0 or 1)."""
+        length = np.maximum(self.length[own], 0).astype(np.int32)
+        ends = np.cumsum(length, dtype=np.int32)
+        left = np.repeat(ends, length) - np.arange(1, (ends[-1] if len(ends) else 0) + 1, dtype=np.int32)
+        rest = np.repeat(self.code[own], length) >> left
+        depth = np.repeat(length - 1, length) - left
+        return length, self.base[depth] + (rest >> 1), rest & 1
+
+
+def huffman(mass: np.ndarray) -> tuple[Tree, np.ndarray]:
+    """The tree over outcomes 1, 2, ... with these masses, and each node's log odds of way 1."""
+    n = len(mass)
+    order = np.argsort(mass, kind="stable")
+    weight, parent = [*mass[order].tolist(), *[0.0] * (n - 1)], [0] * (2 * n - 1)
+    leaf, inner = 0, n
+    for new in range(n, 2 * n - 1):
+        for _ in range(2):
+            if leaf < n and (inner >= new or weight[leaf] <= weight[inner]):
+                least, leaf = leaf, leaf + 1
+            else:
+                least, inner = inner, inner + 1
+            weight[new] += weight[least]
+            parent[least] = new
+    depth = [0] * (2 * n - 1)
+    for i in range(2 * n - 3, -1, -1):
+        depth[i] = depth[parent[i]] + 1
+    length = np.empty(n, np.int64)
+    length[order] = depth[:n]
+    canonical = np.argsort(length, kind="stable")
+    deepest = int(length.max())
+    count = np.bincount(length, minlength=deepest + 1)
+    first, base, begin, nodes = 0, np.zeros(deepest + 1, np.int64), 0, 0
+    code, levels = np.zeros(n, np.int64), []
+    for d in range(deepest + 1):
+        here = canonical[begin : begin + count[d]]
+        begin += int(count[d])
+        code[here] = first + np.arange(len(here))
+        base[d] = nodes - (first + len(here))
+        inner = (1 << d) - first - len(here)
+        levels.append((here, nodes, inner))
+        nodes += inner
+        first = (first + len(here)) << 1
+    odds, below = np.zeros(nodes), np.zeros(0)
+    for here, begin, inner in reversed(levels):
+        pairs = below.reshape(-1, 2)
+        odds[begin : begin + inner] = np.log(pairs[:, 1]) - np.log(pairs[:, 0])
+        below = np.concatenate([mass[here], pairs.sum(1)])
+    return Tree(np.append(0, code), np.append(-1, length).astype(np.int8), base, nodes), odds
+
+
 @dataclass
 class Model:
-    head: dict[bytes, int]  # word -> number by falling count; the first OUTCOMES - 1 are outcomes 1, 2, ...
+    head: dict[bytes, int]  # word -> number by falling count; word i is outcome i + 1
     counts: np.ndarray
     total: int  # training tokens
     distinct: int  # training words
-    classes: np.ndarray | None = None  # ROWS x CLASSES
-    words: np.ndarray | None = None  # ROWS x OUTCOMES
-
-    @property
-    def other_total(self) -> int:
-        return self.total - int(self.counts[: OUTCOMES - 1].sum())
-
-    @property
-    def other_distinct(self) -> int:
-        return self.distinct - len(self.counts[: OUTCOMES - 1])
+    buckets: int  # a power of two; bucket b is outcome len(head) + b + 1
+    bucket_log: np.ndarray  # log10 of each bucket's smoothed total
+    tree: Tree
+    bits: int
+    weights: np.ndarray  # 2^bits hashed weights, then the bias of each node
 
 
 def start(counts: DataFrame) -> Model:
@@ -91,26 +146,32 @@ def start(counts: DataFrame) -> Model:
         if size > HEAD_WORDS:
             break
         cut = row.c
-    top = counts.where(F.col("c") >= cut if cut is not None else F.lit(False)).toPandas().sort_values(["c", "word"], ascending=[False, True])
-    model = Model({bytes(w): i for i, w in enumerate(top["word"])}, top["c"].to_numpy(np.int64), int(sums["n"]), int(sums["v"]))
-    share = np.full(OUTCOMES, 0.5)
-    share[0] += model.other_total
-    known = model.counts[: OUTCOMES - 1]
-    share[1 : 1 + len(known)] += known
-    by_class = share.reshape(CLASSES, PER_CLASS)
-    model.classes, model.words = np.zeros((ROWS, CLASSES), np.float32), np.zeros((ROWS, OUTCOMES), np.float32)
-    model.classes[0] = np.log(by_class.sum(1) / share.sum())
-    model.words[0] = np.log(by_class / by_class.sum(1, keepdims=True)).ravel()
-    return model
+    in_head = F.col("c") >= cut if cut is not None else F.lit(False)
+    top = counts.where(in_head).toPandas().sort_values(["c", "word"], ascending=[False, True])
+    known = top["c"].to_numpy(np.int64)
+    buckets = 1
+    while buckets < MOST_BUCKETS and buckets * BUCKET_WORDS < int(sums["v"]) - len(known):
+        buckets *= 2
+    tail = counts.where(~in_head).groupBy((F.crc32("word") % buckets).alias("b")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).toPandas()
+    c, v = np.zeros(buckets), np.zeros(buckets)
+    c[tail["b"].to_numpy(np.int64)], v[tail["b"].to_numpy(np.int64)] = tail["c"].to_numpy(float), tail["v"].to_numpy(float)
+    tree, odds = huffman(np.concatenate([known, c]) + 0.5)
+    total = int(sums["n"])
+    bits = max(18, WEIGHT_BITS + (max(1, total) >> 20).bit_length() // 2)
+    weights = np.concatenate([np.zeros(1 << bits, np.float32), odds.astype(np.float32)])
+    return Model({bytes(w): i for i, w in enumerate(top["word"])}, known, total, int(sums["v"]), buckets, np.log10(c + 0.5 * (v + 1)), tree, bits, weights)
 
 
 def outcomes(model: Model, words: list[bytes]) -> np.ndarray:
-    """Numbers in the head of a text's words and its end, -1 for others."""
-    return np.fromiter(map(model.head.get, [*words, END], repeat(-1)), np.int64, len(words) + 1)
+    """Numbers of a text's words and its end: places in the head, then buckets of all other words."""
+    numbers = np.fromiter(map(model.head.get, [*words, END], repeat(-1)), np.int64, len(words) + 1)
+    for i in np.flatnonzero(numbers < 0).tolist():
+        numbers[i] = len(model.head) + (crc32(words[i] if i < len(words) else END) & (model.buckets - 1))
+    return numbers
 
 
 def events(numbers: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """One integer for each token: outcome, previous outcome, the one before it. Before a text stand unknown words."""
+    """One integer for each token: outcome, previous outcome, the one before it. Before a text stands outcome 0."""
     own = np.where(numbers < OUTCOMES - 1, numbers + 1, 0)
     first = np.concatenate([[0], own[:-1]])
     second = np.concatenate([[0, 0], own[:-2]])[: len(own)]
@@ -122,40 +183,43 @@ def events(numbers: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def features(keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Outcomes and, for each kind of feature but the bias, its row."""
+    """Outcomes and, for each kind of feature but the bias, its hash."""
     own = keys % OUTCOMES
-    first = keys // OUTCOMES % OUTCOMES
-    second = keys // (OUTCOMES * OUTCOMES)
-    pair = (second * OUTCOMES + first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
-    return own, [1 + first, 1 + OUTCOMES + second, 1 + 2 * OUTCOMES + (pair % np.uint64(PAIR_ROWS)).astype(np.int64)]
-
-
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(1, keepdims=True)
-    return logits
-
-
-def probabilities(model: Model, keys: np.ndarray):
-    """Of each event: class distribution, distribution within its class, its class and its place in the class."""
-    own, rows = features(keys)
-    group, place = own // PER_CLASS, own % PER_CLASS
-    by_class = model.words.reshape(ROWS * CLASSES, PER_CLASS)
-    c = np.repeat(model.classes[:1], len(keys), 0)
-    w = by_class[group]
-    for r in rows:
-        c += model.classes[r]
-        w += by_class[r * CLASSES + group]
-    return _softmax(c), _softmax(w), group, place, rows
+    pair = keys // OUTCOMES
+    first, second = pair % OUTCOMES, pair // OUTCOMES
+    return own, [mix(((kind << 60) + what).astype(np.uint64)) for kind, what in ((1, first), (2, second), (3, pair))]
+
+
+def _logits(model: Model, keys: np.ndarray):
+    """Outcomes, choices of each event, and of every choice the way taken, the logit of way 1 and the weights' places."""
+    own, hashes = features(keys)
+    own = np.where(own < len(model.tree.length), own, 0)
+    length, node, way = model.tree.paths(own)
+    mixed = node.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    shift = np.uint64(64 - model.bits)
+    places = [node + (1 << model.bits)]
+    logit = model.weights.take(places[0])
+    for h in hashes:
+        at = np.repeat(h, length)
+        at ^= mixed
+        at *= np.uint64(0xBF58476D1CE4E5B9)
+        at >>= shift
+        at = at.view(np.int64)
+        logit += model.weights.take(at)
+        places.append(at)
+    return own, length, way, logit, places
 
 
 def log10_probability(model: Model, keys: np.ndarray) -> np.ndarray:
+    """Of outcomes; those without a leaf have none (-300)."""
     out = np.empty(len(keys))
-    for begin in range(0, len(keys), 1 << 15):
-        c, w, group, place, _ = probabilities(model, keys[begin : begin + (1 << 15)])
-        at = np.arange(len(group))
-        out[begin : begin + len(at)] = np.log10(np.maximum(c[at, group], 1e-30).astype(float)) + np.log10(np.maximum(w[at, place], 1e-30).astype(float))
+    for begin in range(0, len(keys), 1 << 12):
+        own, length, way, logit, _ = _logits(model, keys[begin : begin + (1 << 12)])
+        logs = np.where(way == 1, -logit, logit)
+        logs = np.maximum(logs, 0) + np.log(1 + np.exp(-np.abs(logs)))
+        sums = np.append(0, np.cumsum(logs, dtype=np.float64))
+        ends = np.cumsum(length)
+        out[begin : begin + len(own)] = np.where(model.tree.length[own] < 0, -300, (sums[ends - length] - sums[ends]) / np.log(10))
     return out
 
 
@@ -163,34 +227,28 @@ class Trainer:
     """Gradient steps with per-weight step sizes on one task's own copy of the weights."""
 
     def __init__(self, model: Model):
-        self.model = Model(model.head, model.counts, model.total, model.distinct, model.classes.copy(), model.words.copy())
-        self.squares = [np.full(t.shape, 1e-4, np.float32) for t in (model.classes, model.words)]
+        self.model = replace(model, weights=model.weights.copy())
+        self.squares = np.ones(len(model.weights), np.float32)
         self.tokens = 0
 
     def step(self, keys: np.ndarray) -> None:
         self.tokens += len(keys)
         keys, counts = np.unique(keys, return_counts=True)
-        c, w, group, place, rows = probabilities(self.model, keys)
-        at, share = np.arange(len(keys)), (counts / counts.sum()).astype(np.float32)
-        c[at, group] -= 1
-        w[at, place] -= 1
-        c *= share[:, None]
-        w *= share[:, None]
-        zero = np.zeros(len(keys), np.int64)
-        for table, square, grad, column in ((self.model.classes, self.squares[0], c, None), (self.model.words, self.squares[1], w, group)):
-            flat = table if column is None else table.reshape(ROWS * CLASSES, PER_CLASS)
-            flat_square = square if column is None else square.reshape(ROWS * CLASSES, PER_CLASS)
-            for r in [zero, *rows]:
-                index = r if column is None else r * CLASSES + column
-                touched, local = np.unique(index, return_inverse=True)
-                total = np.stack([np.bincount(local, grad[:, i], len(touched)) for i in range(grad.shape[1])], 1).astype(np.float32)
-                flat_square[touched] += total**2
-                flat[touched] -= RATE * total / np.sqrt(flat_square[touched])
+        total = np.zeros(len(self.squares), np.float32)
+        for begin in range(0, len(keys), 1 << 12):
+            _, length, way, logit, places = _logits(self.model, keys[begin : begin + (1 << 12)])
+            miss = (1 / (1 + np.exp(-logit)) - way.astype(np.float32)) * np.repeat(counts[begin : begin + (1 << 12)].astype(np.float32), length)
+            for at in places:
+                np.add.at(total, at, miss)
+        for begin in range(0, len(total), 1 << 18):  # temporary arrays stay small
+            part = slice(begin, begin + (1 << 18))
+            self.squares[part] += total[part] ** 2
+            self.model.weights[part] -= np.float32(RATE) * total[part] / np.sqrt(self.squares[part])
 
 
 def _batches_of_events(model: Model, batches: Iterator) -> Iterator[tuple[list, list[int], np.ndarray, np.ndarray, np.ndarray]]:
     """Texts in groups of about STEP_TOKENS tokens: the rows' places in the batch, their words, numbers, starts and events."""
-    for number, batch in enumerate(batches):
+    for batch in batches:
         texts = batch.column("__text")
         places, words, numbers, size = [], [], [], 0
         for i in range(len(texts)):
@@ -209,43 +267,52 @@ def train(documents: DataFrame, model: Model, text: str = "text", part: Column |
     """The model after `rounds` rounds over the rows of documents; part (an integer column) deals rows to rounds."""
     sc = documents.sparkSession.sparkContext
     part = F.lit(0) if part is None else part
-    width = CLASSES + OUTCOMES
     for number in range(rounds):
         shared = sc.broadcast(model)
 
         def run(batches: Iterator, shared=shared):
             import pyarrow as pa
-            from pyspark import TaskContext
 
             base = shared.value
             trainer = Trainer(base)
             for _, _, _, flat, starts in _batches_of_events(base, batches):
                 trainer.step(events(flat, starts))
             if trainer.tokens:
-                update = np.concatenate([trainer.model.classes - base.classes, trainer.model.words - base.words], 1) * np.float32(trainer.tokens)
-                cut = np.array_split(update, BLOCKS)
-                task = TaskContext.get().partitionId()
-                yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([task] * BLOCKS, pa.int32()), pa.array([trainer.tokens] * BLOCKS, pa.int64()), pa.array([u.tobytes() for u in cut], pa.binary())], ["block", "task", "tokens", "sum"])
+                moved, seen = (np.array_split(x, BLOCKS) for x in _pack(trainer.model.weights - base.weights, trainer.squares))
+                yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([m.tobytes() for m in moved], pa.binary()), pa.array([s.tobytes() for s in seen], pa.binary())], ["block", "moved", "seen"])
 
         rows = documents.where(F.pmod(part, F.lit(rounds)) == number) if rounds > 1 else documents
-        updates = rows.select(text_bytes(text).alias("__text")).mapInArrow(run, "block int, task int, tokens long, sum binary")
-        for fan in (256, 16, 1):  # sums of at most a few updates in one task, level by level
-            updates = updates.withColumn("task", F.pmod("task", F.lit(fan))).groupBy("block", "task").applyInArrow(_sum_updates, "block int, task int, tokens long, sum binary")
-        summed = sorted(updates.collect(), key=lambda r: r.block)
+        updates = rows.select(text_bytes(text).alias("__text")).mapInArrow(run, "block int, moved binary, seen binary")
+        summed = updates.groupBy("block").applyInArrow(_mean_update, "block int, moved binary").collect()
         if summed:
-            step = np.concatenate([np.frombuffer(bytes(r["sum"]), np.float32).reshape(-1, width) for r in summed]) / np.float32(summed[0].tokens)
-            model = Model(model.head, model.counts, model.total, model.distinct, model.classes + step[:, :CLASSES], model.words + step[:, CLASSES:])
+            step = np.concatenate([np.frombuffer(r["moved"], np.float32) for r in sorted(summed, key=lambda r: r.block)])
+            model = replace(model, weights=model.weights + step)
+        shared.unpersist()
     return model
 
 
-def _sum_updates(key, table):
+def _pack(moved: np.ndarray, squares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A task's update in steps of its root, and the evidence (root of the squares) in steps of its logarithm, 0 for none."""
+    steps = np.clip(np.rint(np.sqrt(np.abs(moved) / 8) * 127), 0, 127) * np.sign(moved)
+    logs = 64 + 6 * np.log2(np.maximum(squares - 1, 1e-9))
+    return steps.astype(np.int8), np.where(squares > 1, np.clip(np.rint(logs), 1, 255), 0).astype(np.uint8)
+
+
+def _unpack(moved: bytes, seen: bytes) -> tuple[np.ndarray, np.ndarray]:
+    steps, logs = np.frombuffer(moved, np.int8).astype(np.float32), np.frombuffer(seen, np.uint8).astype(np.float32)
+    return np.sign(steps) * (steps / 127) ** 2 * 8, np.where(logs > 0, np.exp2((logs - 64) / 12), np.float32(0))
+
+
+def _mean_update(key, table):
+    """The mean of the tasks' updates of a block, each weight's by the evidence seen for it."""
     import pyarrow as pa
 
-    total = np.zeros(0, np.float32)
-    for blob in table.column("sum"):
-        values = np.frombuffer(blob.as_buffer(), np.float32)
-        total = total + values if len(total) else values
-    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([sum(table.column("tokens").to_pylist())], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["block", "task", "tokens", "sum"])
+    total = weight = None
+    for moved, seen in zip(table.column("moved"), table.column("seen")):
+        moved, seen = _unpack(moved.as_buffer(), seen.as_buffer())
+        total, weight = (moved * seen, seen) if total is None else (total + moved * seen, weight + seen)
+    mean = total / np.maximum(weight, np.float32(1e-9))
+    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([mean.tobytes()], pa.binary())], names=["block", "moved"])
 
 
 def score(documents: DataFrame, counts: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -260,7 +327,7 @@ def score(documents: DataFrame, counts: DataFrame, model: Model, keep: tuple[str
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(model)
     schema = StructType([documents.schema[k] for k in keep])
-    for name, kind in (("__row", "long"), ("__tokens", "long"), ("__head", "long"), ("__other", "long"), ("__log_head", "double"), ("__log_other", "double"), ("__model", "double"), ("__words", ArrayType(BinaryType())), ("__ns", ArrayType(IntegerType()))):
+    for name, kind in (("__row", "long"), ("__tokens", "long"), ("__head", "long"), ("__log_head", "double"), ("__log_buckets", "double"), ("__model", "double"), ("__words", ArrayType(BinaryType())), ("__ns", ArrayType(IntegerType()))):
         schema = schema.add(name, kind)
 
     def run(batches: Iterator):
@@ -268,20 +335,22 @@ def score(documents: DataFrame, counts: DataFrame, model: Model, keep: tuple[str
         from pyspark import TaskContext
 
         model = shared.value
+        size = len(model.head)
         log = np.append(np.log10(model.counts + 0.5), 0.0)
         row = TaskContext.get().partitionId() << 40
         for batch, places, words, flat, starts in _batches_of_events(model, batches):
             keys, back = np.unique(events(flat, starts), return_inverse=True)
             sums = lambda v: np.add.reduceat(v, starts)
-            other = (flat < 0) | (flat >= OUTCOMES - 1)
-            logs = log[flat]
+            tail = flat >= size
+            logs = log[np.minimum(flat, size)]
+            shares = np.where(tail, model.bucket_log[np.maximum(flat - size, 0)], 0)
             tails = []
             for w, begin in zip(words, starts.tolist()):
-                unknown = np.flatnonzero(flat[begin : begin + len(w)] < 0)
+                unknown = np.flatnonzero(tail[begin : begin + len(w)])
                 tails.append(Counter([w[i] for i in unknown.tolist()]))
             n = len(places)
             sliced = batch.slice(places[0], n)
-            columns = [np.arange(row, row + n), np.diff(np.append(starts, len(flat))), sums((flat >= 0).astype(np.int64)), sums(other.astype(np.int64)), sums(logs), sums(np.where(other, logs, 0)), sums(log10_probability(model, keys)[back])]
+            columns = [np.arange(row, row + n), np.diff(np.append(starts, len(flat))), sums((~tail).astype(np.int64)), sums(logs), sums(shares), sums(log10_probability(model, keys)[back])]
             row += n
             yield pa.RecordBatch.from_arrays([*(sliced.column(k) for k in keep), *map(pa.array, columns), pa.array([list(t) for t in tails], pa.list_(pa.binary())), pa.array([list(t.values()) for t in tails], pa.list_(pa.int32()))], schema.names)
 
@@ -293,14 +362,13 @@ def score(documents: DataFrame, counts: DataFrame, model: Model, keep: tuple[str
     out = passed.drop("__words", "__ns").join(found, "__row", "left")
     tail_log = F.coalesce("__log_tail", F.lit(0.0))
     base = float(np.log10(model.total + 0.5 * (model.distinct + 1)))
-    other = float(np.log10(model.other_total + 0.5 * (model.other_distinct + 1)))
     return out.select(
         *keep,
         F.col("__tokens").alias("n_tokens"),
         (F.col("__head") + F.coalesce("__tail_known", F.lit(0))).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),
         (F.col("__log_head") + tail_log - base * F.col("__tokens")).alias("base_score"),
-        (F.col("__model") + F.col("__log_other") + tail_log - other * F.col("__other")).alias("score"),
+        (F.col("__model") + tail_log - F.col("__log_buckets")).alias("score"),
     )
 
 

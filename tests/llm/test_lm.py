@@ -60,3 +60,28 @@ def test_a_step_raises_the_probability_of_what_it_saw(spark):
 
 def test_empty_table(spark):
     assert lm.fit_and_score(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_every_word_is_a_context_and_an_outcome_of_its_own(spark):
+    rng = np.random.default_rng(3)
+    follow = rng.permutation(3000)
+    rows = [(i, " ".join(f"a{k} b{follow[k]}" for k in rng.integers(0, 3000, 100))) for i in range(400)]
+    out = lm.fit_and_score(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    held = [r for r in out if zlib.crc32(str(r.doc_id).encode()) % 5 == 1]
+    # Half of the words follow from the word before them, which none of 3000 pairs of rare words hides.
+    assert sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held) > 0.3
+
+
+def test_outcomes_grow_with_the_words_and_probabilities_of_all_sum_to_one(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HEAD_WORDS", 20)
+    counts = lm.word_counts(spark.createDataFrame([(i, f"the cat sat w{i} v{i} v{i} the") for i in range(300)], "doc_id long, text string")).cache()
+    model = lm.start(counts)
+    assert model.buckets > 20
+    words = {bytes(r.word): r.c for r in counts.collect()}
+    number = {w: int(lm.outcomes(model, [w])[0]) for w in words}
+    of = lambda w: len(model.head) + (zlib.crc32(w) & (model.buckets - 1)) if w not in model.head else model.head[w]
+    assert all(number[w] == of(w) for w in words)
+    chance = 10 ** lm.log10_probability(model, np.array([number[w] + 1 for w in words]))
+    share = [1 if w in model.head else (c + 0.5) / 10 ** model.bucket_log[number[w] - len(model.head)] for w, c in words.items()]
+    unseen = 10 ** lm.log10_probability(model, len(model.head) + 1 + np.arange(model.buckets)) * 0.5 / 10**model.bucket_log
+    assert abs((chance * share).sum() + unseen.sum() - 1) < 1e-5
