@@ -138,7 +138,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows: d
     """Texts and labels of at most rows[value] labelled, not held-out rows of each value, and total_bytes in all.
 
     Which labelled rows: those whose hashed doc_id is smallest. Several labels of one doc_id count as the
-    largest, null labels and ids as none. The chosen ids are a bounded table and so are broadcast.
+    largest, null labels and ids as none; of several texts of one doc_id the one that sorts first counts. A text
+    that does not fit is passed over. The chosen ids are a bounded table and so are broadcast.
     """
     clean = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).cast("int").alias("__label"))
     parts = [clean.where(F.col("__label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for value, n in rows.items()]
@@ -146,11 +147,12 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows: d
     for part in parts[1:]:
         chosen = chosen.union(part)
     found = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("__text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "__label", "__text")
-    texts, marks, size, limit = [], [], 0, 2 * sum(rows.values())
-    for row in sorted(found.limit(limit).collect(), key=lambda r: (r[0] * 0x9E3779B1 & 0xFFFFFFFF, r[0], r[2])):
+    fits = found.where(F.length("__text") <= total_bytes).groupBy("doc_id").agg(F.first("__label").alias("__label"), F.min("__text").alias("__text"))
+    texts, marks, size = [], [], 0
+    for row in sorted(fits.collect(), key=lambda r: (r[0] * 0x9E3779B1 & 0xFFFFFFFF, r[0])):
+        if size + len(row[2]) > total_bytes:
+            continue
         size += len(row[2])
-        if size > total_bytes and texts:
-            break
         texts.append(row[2])
         marks.append(row[1])
     return texts, np.array(marks, int)

@@ -48,3 +48,15 @@ def test_held_out_is_a_remainder_of_crc32(spark):
 
     rows = spark.range(200).select("id", toxicity.held_out("id").alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in rows)
+
+
+def test_sample_passes_over_what_does_not_fit_and_takes_each_id_once(spark):
+    rows = _rows(60)
+    limit = 2 * sum(len(t) for _, t, _ in rows)
+    docs = [(i, t) for i, t, _ in rows] + [(i, "x" * limit + "y") for i in range(60, 70)] + [(61, "x" * limit)] + [(7, rows[7][1])] * 500
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(i, 1) for i in range(60, 70)], "doc_id long, toxic int")
+    texts, marks = toxicity.labelled_sample(spark.createDataFrame(docs, "doc_id long, text string"), labels, "toxic", {1: 60, 0: 60}, limit)
+    import zlib
+
+    want = sorted((t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5)
+    assert sorted((t, y) for t, y in zip(texts, marks.tolist()) if len(t) < limit) == want
