@@ -10,14 +10,14 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm.common import parts, texts_of, with_text
-from inkwell.llm.toxicity import labelled_sample
+from inkwell.llm.toxicity import labelled_sample, training_labels
 
 #: The fit's bounds: labelled rows of each class and bytes of their texts.
 ROWS_GOOD, ROWS_BAD, FIT_BYTES = 3000, 2000, 20 << 20
@@ -206,8 +206,14 @@ def fit(table: np.ndarray, label: np.ndarray, penalty: float = 0.002) -> Model:
 
 
 def train(documents: DataFrame, labels: DataFrame) -> Model:
+    """A fit on the bounded sample, its bias shifted from the sample's odds of the classes to those of all training labels."""
     texts, marks = labelled_sample(documents, labels, "quality", {1: ROWS_GOOD, 0: ROWS_BAD}, FIT_BYTES)
-    return fit(np.array([statistics(t.encode("utf-8", "surrogatepass")) for t in texts]).reshape(-1, len(STATISTICS)), marks)
+    model = fit(np.array([statistics(t.encode("utf-8", "surrogatepass")) for t in texts]).reshape(-1, len(STATISTICS)), marks)
+    counts = {r["__label"]: r["n"] for r in training_labels(labels, "quality").groupBy("__label").agg(F.count("*").alias("n")).collect()}
+    good, bad = int((marks == 1).sum()), int((marks == 0).sum())
+    if not (model.rules and good and bad):
+        return model
+    return replace(model, bias=model.bias + float(np.log(counts[1] / counts[0]) - np.log(good / bad)))
 
 
 def score(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), out: str = "score") -> DataFrame:

@@ -134,6 +134,11 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id) % 5 == 0, F.lit(False))
 
 
+def training_labels(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, __label) of ids that are not held out: the largest of several labels, null labels and ids as none."""
+    return labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).cast("int").alias("__label"))
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows: dict[int, int], total_bytes: int) -> tuple[list[str], np.ndarray]:
     """Texts and labels of at most rows[value] labelled, not held-out rows of each value, and total_bytes in all.
 
@@ -141,7 +146,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows: d
     largest, null labels and ids as none; of several texts of one doc_id the one that sorts first counts. A text
     that does not fit is passed over. The chosen ids are a bounded table and so are broadcast.
     """
-    clean = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).cast("int").alias("__label"))
+    clean = training_labels(labels, label)
     parts = [clean.where(F.col("__label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for value, n in rows.items()]
     chosen = parts[0]
     for part in parts[1:]:

@@ -53,3 +53,15 @@ def test_statistics_of_small_texts():
     assert len(quality.statistics(b"")) == len(quality.STATISTICS)
     s = dict(zip(quality.STATISTICS, quality.statistics(b"AB ab ab 12!")))
     assert s["repeat_share"] == 0.25 and s["upper_share"] == 2 / 6 and s["bang_share"] == 1 / 12
+
+
+def test_the_bias_is_that_of_all_labels_whatever_the_sample(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(["word%d" % k for k in rng.integers(0, 50, 30)] + ["!!!"] * int(rng.random() < (0.3 if i % 10 else 0.7))), int(i % 10 != 0)) for i in range(3000)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "ROWS_GOOD", 200)
+    monkeypatch.setattr(quality, "ROWS_BAD", 200)
+    model = quality.train(docs, labels)
+    table = np.array([quality.statistics(t.encode()) for _, t, _ in rows])
+    assert model.rules and abs(model.scores(table).mean() - 0.9) < 0.06
