@@ -44,8 +44,10 @@ _LAYOUT_WORDS = frozenset("ad ads advert adverts advertising banner breadcrumb b
 _FIRM, _CLASS, _LAYOUT = 1, 2, 3
 # A class or id with "header" is the site's unless one of these words tells that it is the article's.
 _ARTICLE_WORDS = frozenset("article content entry post story title".split())
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?][^>]*>)", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_SPACE, _TAG_NAME = re.compile(r"[ \t\n\r\f/]*+"), re.compile(r"[^ \t\n\r\f/>]++")
+_ATTRIBUTE_NAME, _EQUALS, _BARE_VALUE = re.compile(r"=?[^ \t\n\r\f/>=]*+"), re.compile(r"[ \t\n\r\f]*+=[ \t\n\r\f]*+"), re.compile(r"[^ \t\n\r\f>]*+")
+_COMMENT_END = re.compile(r"--!?>")
+_RAW_END = {name: re.compile(rf"</{name}(?=[ \t\n\r\f/>])", re.I | re.A) for name in _RAW}
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _DIGITS = re.compile(r"\d+")
 
@@ -89,33 +91,95 @@ def _is_out(tag: str, attributes: dict[str, str]) -> int:
     return out
 
 
+def tokens(page: str) -> Iterator[tuple[str, str, dict[str, str], bool]]:
+    """("text", text), ("start", name, attributes, whether it closes itself) and ("end", name) of a page, in one pass forward.
+
+    The states are those of the HTML standard: a quote opens only a value, and an unfinished tag or comment at the
+    page's end is dropped. Only a quote that is never closed ends at the next >, so that no text is lost behind it.
+    Contents of raw elements are left out.
+    """
+    at, n, unclosed = 0, len(page), set()
+    while at < n:
+        begin = page.find("<", at)
+        if begin < 0:
+            yield "text", page[at:], {}, False
+            return
+        if begin > at:
+            yield "text", page[at:begin], {}, False
+        head = page[begin + 1 : begin + 2]
+        closing = head == "/"
+        letter = page[begin + 2 : begin + 3] if closing else head
+        if letter.isascii() and letter.isalpha():
+            name = _TAG_NAME.match(page, begin + 1 + closing)
+            at = name.end()
+            attributes: dict[str, str] = {}
+            while True:
+                at = _SPACE.match(page, at).end()
+                if at >= n:
+                    return
+                if page[at] == ">":
+                    break
+                key = _ATTRIBUTE_NAME.match(page, at)
+                at, value = key.end(), ""
+                equals = _EQUALS.match(page, at)
+                if equals:
+                    at = equals.end()
+                    quote = page[at : at + 1]
+                    if quote and quote in "\"'":
+                        end = -1 if quote in unclosed else page.find(quote, at + 1)
+                        if end < 0:
+                            unclosed.add(quote)
+                            end = page.find(">", at)
+                            if end < 0:
+                                return
+                            value, at = page[at + 1 : end], end
+                        else:
+                            value, at = page[at + 1 : end], end + 1
+                    else:
+                        bare = _BARE_VALUE.match(page, at)
+                        value, at = bare[0], bare.end()
+                attributes.setdefault(key[0].lower(), value)
+            low = name[0].lower()
+            yield ("end" if closing else "start"), low, attributes, page[at - 1] == "/"
+            at += 1
+            if not closing and low in _RAW:
+                end = _RAW_END[low].search(page, at)
+                if end is None:
+                    return
+                at = end.start()
+        elif page.startswith("!--", begin + 1):
+            if page.startswith((">", "->"), begin + 4):
+                at = page.find(">", begin) + 1
+                continue
+            end = _COMMENT_END.search(page, begin + 4)
+            if end is None:
+                return
+            at = end.end()
+        elif head and head in "!?/":
+            end = page.find(">", begin)
+            if end < 0:
+                return
+            at = end + 1
+        else:
+            yield "text", "<", {}, False
+            at = begin + 1
+
+
 def parse(page: str) -> Node:
     """The page's tree. Tags that are not closed end where HTML lets them end; stray end tags are ignored."""
     root = Node("", "", None, 0, False)
-    node, at = root, 0
-    lower = None
-    while True:
-        tag = _TAG.search(page, at)
-        text = page[at : tag.start() if tag else len(page)]
-        if text:
-            node.parts.append(text)
-        if tag is None:
-            _keep_wrappers(root)
-            return root
-        at = tag.end()
-        name = tag[2]
-        if name is None:
+    node = root
+    for kind, name, attributes, alone in tokens(page):
+        if kind == "text":
+            node.parts.append(name)
             continue
-        name = name.lower()
-        if tag[1]:
+        if kind == "end":
             up = node
             while up.parent is not None and up.tag != name and not (up.tag in _SCOPE and name not in _BLOCK):
                 up = up.parent
             if up.parent is not None and up.tag == name:
                 node = up.parent
             continue
-        raw = tag[3]
-        attributes = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(raw)} if raw and not raw.isspace() else {}
         closes = _CLOSED_BY.get(name, ())
         if name in _CLOSES_P:
             closes = (*closes, "p")
@@ -133,19 +197,15 @@ def parse(page: str) -> Node:
             label = ".".join([name, *sorted(_DIGITS.sub("#", c) for c in attributes["class"].split())])
         child = Node(name, label, node, _is_out(name, attributes), name == "a" or node.link)
         node.parts.append(child)
-        if name in _RAW:
-            if lower is None:
-                lower = page.lower()
-            end = lower.find(f"</{name}", at)
-            at = len(page) if end < 0 else (page.find(">", end) + 1 or len(page))
-            continue
-        if not raw.rstrip().endswith("/") and child.depth < DEPTH:
+        if not alone and child.depth < DEPTH:
             node = child
         if name in ("h1", "h2", "h3"):
             up = child
             while up is not None and not up.heading:
                 up.heading = True
                 up = up.parent
+    _keep_wrappers(root)
+    return root
 
 
 def _keep_wrappers(root: Node) -> None:

@@ -1,3 +1,6 @@
+import random
+import time
+
 from inkwell.llm import html
 
 SITE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="has-sidebar">
@@ -84,3 +87,114 @@ def test_comments_stay_out_however_long():
     text = "<p>" + "word " * 100 + "</p>"
     page = f'<body><div class="post"><h1>Title</h1><p>A short text.</p></div><div id="comments">{text}{text}</div></body>'
     assert html.extract(page, None) == "Title\n\nA short text."
+
+
+def _plain_tokens(page):
+    """The same tokens, sign by sign."""
+    blank, out, i, n = " \t\n\r\f", [], 0, len(page)
+
+    def text(t):
+        if out and out[-1][0] == "text":
+            t = out.pop()[1] + t
+        out.append(("text", t, {}, False))
+
+    while i < n:
+        if page[i] != "<":
+            text(page[i])
+            i += 1
+            continue
+        closing = page[i + 1 : i + 2] == "/"
+        j = i + 1 + closing
+        if j < n and page[j] in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ":
+            name = ""
+            while j < n and page[j] not in blank + "/>":
+                name += page[j]
+                j += 1
+            attributes = {}
+            while True:
+                while j < n and page[j] in blank + "/":
+                    j += 1
+                if j >= n:
+                    return out
+                if page[j] == ">":
+                    break
+                key, value = page[j], ""
+                j += 1
+                while j < n and page[j] not in blank + "/>=":
+                    key += page[j]
+                    j += 1
+                k = j
+                while k < n and page[k] in blank:
+                    k += 1
+                if k < n and page[k] == "=":
+                    k += 1
+                    while k < n and page[k] in blank:
+                        k += 1
+                    j = k
+                    if j < n and page[j] in "\"'":
+                        rest = page[j + 1 :]
+                        if page[j] in rest:
+                            value = rest[: rest.index(page[j])]
+                            j += len(value) + 2
+                        elif ">" in rest:
+                            value = rest[: rest.index(">")]
+                            j += len(value) + 1
+                        else:
+                            return out
+                    else:
+                        while j < n and page[j] not in blank + ">":
+                            value += page[j]
+                            j += 1
+                attributes.setdefault(key.lower(), value)
+            out.append(("end" if closing else "start", name.lower(), attributes, page[j - 1] == "/"))
+            i = j + 1
+            if not closing and name.lower() in html._RAW:
+                while i < n:
+                    tail = page[i:].lower() if page[i:].isascii() else "".join(c.lower() if c.isascii() else c for c in page[i:])
+                    if tail.startswith("</" + name.lower()) and tail[len(name) + 2 : len(name) + 3] in [*blank, "/", ">"]:
+                        break
+                    i += 1
+        elif page[i + 1 : i + 4] == "!--":
+            rest = page[i + 4 :]
+            if rest[:1] == ">" or rest[:2] == "->":
+                i += 4 + rest.index(">") + 1
+                continue
+            ends = [rest.index(e) + len(e) for e in ("-->", "--!>") if e in rest]
+            if not ends:
+                return out
+            i += 4 + min(ends)
+        elif page[i + 1 : i + 2] in ("!", "?", "/"):
+            if ">" not in page[i:]:
+                return out
+            i = page.index(">", i) + 1
+        else:
+            text("<")
+            i += 1
+    return out
+
+
+def test_tokens_equal_a_plain_reader_on_random_pages():
+    rng = random.Random(11)
+    bits = ["<", "</", ">", "/>", "<p", "<div class=", "<script>", "</script>", "</SCRIPT x", "<!--", "-->", "--!>", "<!-->", "<?x", '"', "'", "=", " ", "\n", "a", "İ", "title", "<title>", "</title >", "text", "&amp;", "<b/>", "x=y", 'id="q"', "/"]
+    for _ in range(4000):
+        page = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 25)))
+        got = []
+        for token in html.tokens(page):
+            if token[0] == "text" and got and got[-1][0] == "text":
+                token = ("text", got.pop()[1] + token[1], {}, False)
+            got.append(token)
+        assert got == _plain_tokens(page), page
+
+
+def test_letters_that_grow_when_lowered_lose_nothing():
+    text = "İstanbul " * 20
+    page = f"<body><article><p>{text}</p><script>if (a < b) x();</script><p>Next paragraph.</p><style>İ</style><p>Last one.</p></article></body>"
+    assert html.extract(page, None) == f"{text.strip()}\n\nNext paragraph.\n\nLast one."
+
+
+def test_unclosed_tags_and_quotes_take_linear_time():
+    for page in ("<i a " * 200_000, "<i a='" * 100_000, "<i a=\"'>x" * 50_000, "<!-- " * 200_000, "<script>" * 100_000, "</" * 200_000, "<p>" * 50_000, "<a href='x>y" * 50_001):
+        began = time.perf_counter()
+        list(html.tokens(page))
+        assert time.perf_counter() - began < 3, page[:20]
+    assert html.extract('<body><article><p>One <a href="x>two</a> three.</p><p>Four words stand here.</p></article></body>', None) == "One two three.\n\nFour words stand here."
