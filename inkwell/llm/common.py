@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,9 +16,11 @@ SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir. In local mode, where it may be unset, a temporary one; on a cluster it must be set."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="inkwell-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -42,6 +45,14 @@ def discard(spark: SparkSession, *paths: str) -> None:
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def unused(stem: str, columns) -> str:
+    """A column name that begins with stem and that none of columns begins with, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while any(c.startswith(stem.lower()) for c in taken):
+        stem = "_" + stem
+    return stem
+
+
 def text_bytes(text: str | Column = "text") -> Column:
     """A text's UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary")

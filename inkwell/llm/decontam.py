@@ -10,7 +10,6 @@ A document is contaminated where tiles cover the threshold's share of an item.
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -19,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import ascii_words, mix, parts, text_bytes, texts_of, with_text
+from inkwell.llm.common import ascii_words, discard, mix, parts, scratch_write, text_bytes, texts_of, unused, with_text
 
 #: Words of the shortest tile, the share of an item's words that counts, and bytes of benchmark text in a block.
 TILE_WORDS, COVERAGE, BLOCK_BYTES = 5, 0.4, 8 << 20
@@ -49,25 +48,23 @@ def tiles(item: np.ndarray, document: np.ndarray, shortest: int = TILE_WORDS) ->
     free_item, free_doc = np.ones(len(item), bool), document >= 0
     found, search = [], max(shortest, min(len(item), 32))
     while True:
-        by_hash = defaultdict(list)
-        for begin, end in _runs(free_doc):
-            if end - begin >= search:
-                for at, h in enumerate(_rolling(document[begin:end], search).tolist(), begin):
-                    by_hash[h].append(at)
+        spots, hashes = _free_hashes(document, free_doc, search)
+        order = np.argsort(hashes, kind="stable")
+        spots, hashes = spots[order], hashes[order]
         matches, longest = [], 0
-        for begin, end in _runs(free_item):
-            if end - begin < search or not by_hash:
-                continue
-            for at, h in enumerate(_rolling(item[begin:end], search).tolist(), begin):
-                for there in by_hash.get(h, ()):
-                    if at and there and free_item[at - 1] and free_doc[there - 1] and item[at - 1] == document[there - 1]:
-                        continue  # part of a match that begins earlier
-                    n = 0
-                    while at + n < len(item) and there + n < len(document) and free_item[at + n] and free_doc[there + n] and item[at + n] == document[there + n]:
-                        n += 1
-                    if n >= search:
-                        matches.append((-n, at, there))
-                        longest = max(longest, n)
+        places, wanted = _free_hashes(item, free_item, search)
+        low, high = np.searchsorted(hashes, wanted, "left"), np.searchsorted(hashes, wanted, "right")
+        for i in np.flatnonzero(low < high).tolist():
+            at, there = int(places[i]), spots[low[i] : high[i]]
+            if at and free_item[at - 1]:  # not those that are part of a match that begins earlier
+                there = there[(there == 0) | ~free_doc[there - 1] | (document[there - 1] != item[at - 1])]
+            for spot in there.tolist():
+                size = min(len(item) - at, len(document) - spot)
+                same = free_item[at : at + size] & free_doc[spot : spot + size] & (item[at : at + size] == document[spot : spot + size])
+                n = size if same.all() else int(np.argmin(same))
+                if n >= search:
+                    matches.append((-n, at, spot))
+                    longest = max(longest, n)
         if longest > 2 * search:
             search = longest
             continue
@@ -88,6 +85,15 @@ def tiles(item: np.ndarray, document: np.ndarray, shortest: int = TILE_WORDS) ->
         search = max(shortest, search // 2)
 
 
+def _free_hashes(ids: np.ndarray, free: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all runs of `size` free ids, and their hashes."""
+    if len(ids) < size:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    taken = np.concatenate([[0], np.cumsum(~free)])
+    places = np.flatnonzero(taken[size:] == taken[:-size])
+    return places, _rolling(ids, size)[places]
+
+
 @dataclass
 class Block:
     """Items of a part of the benchmark, with their seeds."""
@@ -120,67 +126,67 @@ class Block:
         ids = np.fromiter(map(self.words.get, tokens, repeat(-1)), np.int64, len(tokens))
         if len(ids) and ids.max() < 0:
             return []
-        shared = defaultdict(list)
+        out = []
+        known = np.concatenate([[0], np.cumsum(ids >= 0)])
         for size, (hashes, number, place) in self.seeds.items():
             if len(ids) < size:
                 continue
-            known = (ids >= 0).astype(np.int32)
-            whole = np.concatenate([[0], np.cumsum(known)])
-            at = np.flatnonzero(whole[size:] - whole[:-size] == size)
-            if not len(at):
-                continue
+            at = np.flatnonzero(known[size:] - known[:-size] == size)
             mine = _rolling(ids, size)[at]
-            low = np.searchsorted(hashes, mine, "left")
-            hit = np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == mine)
-            if not len(hit):
-                continue
-            high = np.searchsorted(hashes, mine[hit], "right")
-            for doc_at, a, b in zip(at[hit].tolist(), low[hit].tolist(), high.tolist()):
-                for n, p in zip(number[a:b].tolist(), place[a:b].tolist()):
-                    shared[n].append((doc_at, p, size))
-        out = []
-        for n, seeds in sorted(shared.items()):
-            key, item = self.items[n]
-            size = seeds[0][2]
-            table = np.array(seeds)
-            step = np.arange(size)
-            reach = np.zeros(len(item), bool)
-            reach[(table[:, 1, None] + step).ravel()] = True
-            if reach.sum() < coverage * len(item):
-                continue  # tiles lie within the seeds: they cannot cover enough
-            near = np.unique((table[:, 0, None] + step).ravel())
-            inside = np.full(len(near) + np.count_nonzero(np.diff(near) > 1), -1, np.int64)
-            spot = np.arange(len(near)) + np.concatenate([[0], np.cumsum(np.diff(near) > 1)])
-            inside[spot] = ids[near]
-            back = np.zeros(len(inside), np.int64)
-            back[spot] = near
-            found = tiles(item, inside, size)
-            covered = sum(t[2] for t in found)
-            if covered >= coverage * len(item):
-                out.append((key, len(item), covered, [(int(a), int(back[d]), int(m)) for a, d, m in found]))
-        return out
+            distinct = np.unique(mine)
+            low, high = np.searchsorted(hashes, distinct, "left"), np.searchsorted(hashes, distinct, "right")
+            runs = high - low
+            hits = np.repeat(low - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())  # the seeds that the text has, each once
+            hits = hits[np.argsort(number[hits], kind="stable")]
+            for begin, end in zip(*_groups(number[hits])):
+                key, item = self.items[number[hits[begin]]]
+                reach = np.zeros(len(item) + 1, np.int64)
+                np.add.at(reach, place[hits[begin:end]], 1)
+                np.add.at(reach, place[hits[begin:end]] + size, -1)
+                if np.count_nonzero(np.cumsum(reach)) < coverage * len(item):
+                    continue  # tiles lie within the seeds: they cannot cover enough
+                spots = at[np.isin(mine, hashes[hits[begin:end]])]
+                near = np.unique((spots[:, None] + np.arange(size)).ravel())
+                gaps = np.concatenate([[0], np.cumsum(np.diff(near) > 1)])
+                inside, back = np.full(len(near) + int(gaps[-1]), -1, np.int64), np.zeros(len(near) + int(gaps[-1]), np.int64)
+                inside[np.arange(len(near)) + gaps], back[np.arange(len(near)) + gaps] = ids[near], near
+                found = tiles(item, inside, size)
+                covered = sum(t[2] for t in found)
+                if covered >= coverage * len(item):
+                    out.append((int(number[hits[begin]]), key, len(item), covered, [(int(a), int(back[d]), int(m)) for a, d, m in found]))
+        return [x[1:] for x in sorted(out, key=lambda x: x[0])]
+
+
+def _groups(values: np.ndarray) -> tuple[list[int], list[int]]:
+    """Where runs of equal values begin and end."""
+    cuts = np.flatnonzero(np.diff(values)) + 1
+    return ([0, *cuts.tolist()], [*cuts.tolist(), len(values)]) if len(values) else ([], [])
 
 
 _MATCH = "array<struct<item_id:{key},item_words:bigint,covered_words:bigint,tiles:array<struct<item_at:bigint,doc_at:bigint,words:bigint>>>>"
 
 
-def matches(documents: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Columns `keep` and __matches, the items that each row contains (an array of structs, empty if none).
+def matches(documents: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES, out: str = "__matches") -> DataFrame:
+    """Columns `keep` and `out`, the items that each row contains (an array of structs, empty if none).
 
     A null or empty text, like an item without words, matches nothing; items shorter than a tile must stand
-    whole. Items with the same or a null id are separate items. Each block is one more pass over documents.
+    whole. Items with the same or a null id are separate items, repeated ones match as often as they stand there.
+    Repeated documents stay. An item's tiles that could be placed in several ways lie as early as they can. Each
+    block is one more pass over documents, written before the next begins. `out` must not be in `keep`.
     """
     from pyspark.sql.types import StructField, StructType
 
-    spark = documents.sparkSession
+    if out in keep:
+        raise ValueError(f"{out} is a column of the documents")
     kind = benchmark.schema["item_id"].dataType.simpleString()
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    items = benchmark.groupBy("item_id", text_bytes("text").alias("__t")).agg(F.count("*").alias("__n"))
+    size = items.agg(F.sum(F.octet_length("__t"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    placed = benchmark.select("item_id", text_bytes("text").alias("__t"), F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).alias("__b"))
-    df = with_text(documents, keep, text).withColumn("__matches", F.array().cast(_MATCH.format(key=kind)))
+    placed = items.withColumn("__b", F.pmod(F.xxhash64("item_id", "__t"), F.lit(blocks)))
+    df, before = with_text(documents, keep, text).withColumn(out, F.array().cast(_MATCH.format(key=kind))), None
     for number in range(blocks):
-        rows = sorted(((r[0], bytes(r[1])) for r in placed.where(F.col("__b") == number).select("item_id", "__t").collect()), key=lambda r: (r[0] is not None, r[0], r[1]))
-        shared = spark.sparkContext.broadcast(Block.of(rows))
+        rows = sorted(((r[0], bytes(r[1]), r[2]) for r in placed.where(F.col("__b") == number).select("item_id", "__t", "__n").collect()), key=lambda r: (r[0] is not None, r[0], r[1]))
+        shared = df.sparkSession.sparkContext.broadcast((Block.of([((r[0], r[2]), r[1]) for r in rows])))
         last = number + 1 == blocks
         schema = StructType([StructField(f.name, f.dataType) for f in df.schema if not (last and f.name == "__text")])
 
@@ -189,16 +195,23 @@ def matches(documents: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
 
             block = shared.value
             for batch in parts(batches):
-                old, new = batch.column("__matches"), []
+                old, new = batch.column(out), []
                 for i, document in enumerate(texts_of(batch, keep, text)):
                     found = block.matches(document.encode("utf-8", "surrogatepass"), coverage)
-                    new.append((old[i].as_py() or []) + [{"item_id": k, "item_words": n, "covered_words": c, "tiles": [dict(zip(("item_at", "doc_at", "words"), t)) for t in ts]} for k, n, c, ts in found])
-                yield pa.RecordBatch.from_arrays([pa.array(new, old.type) if n == "__matches" else batch.column(n) for n in names], list(names))
+                    new.append((old[i].as_py() or []) + [{"item_id": k, "item_words": n, "covered_words": c, "tiles": [dict(zip(("item_at", "doc_at", "words"), t)) for t in ts]} for (k, times), n, c, ts in found for _ in range(times)])
+                yield pa.RecordBatch.from_arrays([pa.array(new, old.type) if n == out else batch.column(n) for n in names], list(names))
 
         df = df.mapInArrow(run, schema)
-    return df.select(*keep, "__matches")
+        if not last:
+            path = scratch_write(df)
+            df = df.sparkSession.read.parquet(path)
+            if before:
+                discard(df.sparkSession, before)
+            before = path
+    return df.select(*keep, out)
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of documents that contain no benchmark item."""
-    return matches(documents, benchmark, tuple(documents.columns), text).where(F.size("__matches") == 0).drop("__matches")
+    """The rows of documents that contain no benchmark item, with all their columns."""
+    name = unused("__matches", documents.columns)
+    return matches(documents, benchmark, tuple(documents.columns), text, out=name).where(F.size(name) == 0).drop(name)
