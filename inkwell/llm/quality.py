@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import parts, texts_of, with_text
+from inkwell.llm.common import parts, texts_of, unused, with_text
 from inkwell.llm.toxicity import labelled_sample, training_labels
 
 #: The fit's bounds: labelled rows of each class and bytes of their texts.
@@ -58,13 +58,13 @@ def statistics(data: bytes) -> list[float]:
     ]
 
 
-def with_statistics(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """Columns `keep` and one double column s_<name> for each statistic; null counts as the empty text."""
+def with_statistics(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", prefix: str = "s_") -> DataFrame:
+    """Columns `keep` and one double column <prefix><name> for each statistic; null counts as the empty text."""
     from pyspark.sql.types import DoubleType, StructType
 
     schema = StructType([documents.schema[k] for k in keep])
     for name in STATISTICS:
-        schema = schema.add(f"s_{name}", DoubleType())
+        schema = schema.add(f"{prefix}{name}", DoubleType())
 
     def run(batches: Iterator):
         import pyarrow as pa
@@ -88,10 +88,10 @@ class Rule:
             out &= (table[:, i] > limit) == above
         return out
 
-    def column(self) -> Column:
+    def column(self, prefix: str = "s_") -> Column:
         out = F.lit(True)
         for i, above, limit in self.terms:
-            value = F.col(f"s_{STATISTICS[i]}")
+            value = F.col(f"{prefix}{STATISTICS[i]}")
             out = out & (value > F.lit(limit) if above else value <= F.lit(limit))
         return out
 
@@ -107,10 +107,10 @@ class Model:
             logit += weight * rule.holds(table)
         return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
-    def column(self) -> Column:
+    def column(self, prefix: str = "s_") -> Column:
         logit = F.lit(float(self.bias))
         for rule, weight in self.rules:
-            logit = logit + F.when(rule.column(), F.lit(float(weight))).otherwise(F.lit(0.0))
+            logit = logit + F.when(rule.column(prefix), F.lit(float(weight))).otherwise(F.lit(0.0))
         return 1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), logit))))
 
 
@@ -206,7 +206,10 @@ def fit(table: np.ndarray, label: np.ndarray, penalty: float = 0.002) -> Model:
 
 
 def train(documents: DataFrame, labels: DataFrame) -> Model:
-    """A fit on the bounded sample, its bias shifted from the sample's odds of the classes to those of all training labels."""
+    """A fit on the bounded sample, its bias shifted from the sample's odds of the classes to those of all training labels.
+
+    `labelled_sample` says what nulls and repeated rows count as. Of other columns none is read.
+    """
     texts, marks = labelled_sample(documents, labels, "quality", {1: ROWS_GOOD, 0: ROWS_BAD}, FIT_BYTES)
     model = fit(np.array([statistics(t.encode("utf-8", "surrogatepass")) for t in texts]).reshape(-1, len(STATISTICS)), marks)
     counts = {r["__label"]: r["n"] for r in training_labels(labels, "quality").groupBy("__label").agg(F.count("*").alias("n")).collect()}
@@ -217,5 +220,12 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
 
 
 def score(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), out: str = "score") -> DataFrame:
-    """Columns `keep` and the quality score (double, 0 to 1) of each row's whole text, empty texts too."""
-    return with_statistics(documents, keep).select(*keep, model.column().alias(out))
+    """Columns `keep` and the quality score (double, 0 to 1) of each row's whole text, empty texts too.
+
+    A null text counts as empty. Equal texts have equal scores, repeated rows stay, and a table without rows gives
+    none. Columns of any name may be kept; `out` must not be among them.
+    """
+    if out in keep:
+        raise ValueError(f"{out} is a column of the documents")
+    prefix = unused("s_", keep)
+    return with_statistics(documents, keep, prefix=prefix).select(*keep, model.column(prefix).alias(out))

@@ -15,12 +15,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import parts, texts_of, with_text
+from inkwell.llm.common import discard, parts, scratch_write, texts_of, with_text
 
 #: n-gram lengths, bits of the feature table.
 LENGTHS, BITS = (3, 4, 5), 20
-#: The fit's bounds: labelled rows of each class, bytes of their texts, and features that get a weight.
-ROWS_TOXIC, ROWS_CLEAN, FIT_BYTES, FEATURES = 1200, 2400, 16 << 20, 1 << 14
+#: The fit's bounds: labelled rows of each class, and bytes of their texts.
+ROWS_TOXIC, ROWS_CLEAN, FIT_BYTES = 1200, 2400, 16 << 20
+#: A feature gets a weight if it stands in so many texts of the sample and its ratio is so many standard errors from 0.
+LEAST_TEXTS, EVIDENCE = 4, 3.0
 #: Characters that are hashed together, and rows that are held as text at once.
 CHUNK, PART = 1 << 16, 200
 _GAP = np.zeros(max(LENGTHS), np.uint32)
@@ -70,8 +72,8 @@ def hits(texts: list[str], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
-def fit(texts: list[str], toxic: np.ndarray, features: int = FEATURES, penalty: float = 1e-3, steps: int = 400) -> Model:
-    """Ratios, the features of strongest evidence, and logistic weights by accelerated gradient steps.
+def fit(texts: list[str], toxic: np.ndarray, penalty: float = 1e-3, steps: int = 400) -> Model:
+    """Ratios, the features of enough evidence, and logistic weights by accelerated gradient steps.
 
     With no text of one class there is no evidence: the model gives that class's complement a score of 0 or 1/2.
     """
@@ -90,11 +92,7 @@ def fit(texts: list[str], toxic: np.ndarray, features: int = FEATURES, penalty:
     share = (counts + 0.5) / (n[:, None] + 1)
     ratio = np.log(share[1]) - np.log(share[0])
     error = np.sqrt((1 - share[0]) / (share[0] * n[0]) + (1 - share[1]) / (share[1] * n[1]))
-    strength = np.abs(ratio) / np.maximum(error, 1e-9) * (counts.sum(0) >= 4)
-    chosen = np.argsort(-strength, kind="stable")[:features]
-    chosen = chosen[strength[chosen] > 3]
-    wanted = np.zeros(size, bool)
-    wanted[chosen] = True
+    wanted = (counts.sum(0) >= LEAST_TEXTS) & (np.abs(ratio) > EVIDENCE * error)
     rows, columns = [], []
     for begin in range(0, len(texts), 64):
         text, feature = hits(texts[begin : begin + 64], wanted)
@@ -143,32 +141,44 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows: d
     """Texts and labels of at most rows[value] labelled, not held-out rows of each value, and total_bytes in all.
 
     Which labelled rows: those whose hashed doc_id is smallest. Several labels of one doc_id count as the
-    largest, null labels and ids as none; of several texts of one doc_id the one that sorts first counts. A text
-    that does not fit is passed over. The chosen ids are a bounded table and so are broadcast.
+    largest, null labels and ids as none; of several texts of one doc_id the one that sorts first counts. Texts are
+    taken in the order of another hash as long as they fit, and one that does not fit is passed over: only the sizes
+    of the chosen rows are collected first, then no more than total_bytes of text. The chosen ids are a bounded
+    table and so are broadcast.
     """
+    spark = documents.sparkSession
     clean = training_labels(labels, label)
     parts = [clean.where(F.col("__label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for value, n in rows.items()]
     chosen = parts[0]
     for part in parts[1:]:
         chosen = chosen.union(part)
-    found = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("__text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "__label", "__text")
-    fits = found.where(F.length("__text") <= total_bytes).groupBy("doc_id").agg(F.first("__label").alias("__label"), F.min("__text").alias("__text"))
-    texts, marks, size = [], [], 0
-    for row in sorted(fits.collect(), key=lambda r: (r[0] * 0x9E3779B1 & 0xFFFFFFFF, r[0])):
-        if size + len(row[2]) > total_bytes:
-            continue
-        size += len(row[2])
-        texts.append(row[2])
-        marks.append(row[1])
-    return texts, np.array(marks, int)
+    found = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("__text")).join(F.broadcast(chosen), "doc_id").where(F.octet_length("__text") <= total_bytes)
+    path = scratch_write(found.groupBy("doc_id").agg(F.first("__label").alias("__label"), F.min("__text").alias("__text")))
+    sample = spark.read.parquet(path)
+    order = lambda key: (key * 0x9E3779B1 & 0xFFFFFFFF, key)
+    taken, size = [], 0
+    for row in sorted(sample.select("doc_id", F.octet_length("__text").alias("bytes")).collect(), key=lambda r: order(r.doc_id)):
+        if size + row.bytes <= total_bytes:
+            size += row.bytes
+            taken.append((row.doc_id,))
+    fits = sample.join(F.broadcast(spark.createDataFrame(taken, sample.select("doc_id").schema)), "doc_id").select("doc_id", "__label", "__text")
+    texts = sorted(fits.collect(), key=lambda r: order(r.doc_id))
+    discard(spark, path)
+    return [r["__text"] for r in texts], np.array([r["__label"] for r in texts], int)
 
 
 def train(documents: DataFrame, labels: DataFrame) -> Model:
+    """A fit on `labelled_sample`, which says what nulls and repeated rows count as. Of other columns none is read."""
     return fit(*labelled_sample(documents, labels, "toxic", {1: ROWS_TOXIC, 0: ROWS_CLEAN}, FIT_BYTES))
 
 
 def score(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), out: str = "score") -> DataFrame:
-    """Columns `keep` and the toxicity score (double, 0 to 1) of each row's whole text; null and empty texts get the bias alone."""
+    """Columns `keep` and the toxicity score (double, 0 to 1) of each row's whole text; null and empty texts get the bias alone.
+
+    Equal texts have equal scores, repeated rows stay, and a table without rows gives none. `out` must not be in `keep`.
+    """
+    if out in keep:
+        raise ValueError(f"{out} is a column of the documents")
     from pyspark.sql.types import DoubleType, StructType
 
     schema = StructType([documents.schema[k] for k in keep]).add(out, DoubleType())

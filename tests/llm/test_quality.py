@@ -36,6 +36,44 @@ def test_a_rule_is_the_conjunction_of_its_path():
     assert any(len(r.terms) > 1 for r, _ in model.rules)
 
 
+def test_columns_of_any_name_are_kept(spark):
+    rows = _rows(120)
+    docs = spark.createDataFrame([(i, t, 1.0, "x") for i, t, _ in rows], "doc_id long, text string, s_log_bytes double, S_x string")
+    model = quality.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int"))
+    out = quality.score(docs, model, tuple(docs.columns), "__score")
+    assert out.columns == [*docs.columns, "__score"] and {r.s_log_bytes for r in out.collect()} == {1.0}
+
+
+def _plain_statistics(text):
+    data = text.encode()
+    words, lines = text.split(), text.split("\n")
+    letters = [c for c in text if c.isascii() and c.isalpha()]
+    n, size = max(1, len(words)), max(1, len(data))
+    marks = [w for w in words if len(w) > 1 and w[-2:].isascii() and not w[-2].isalnum()]
+    return [np.log1p(len(data)), np.log1p(len(words)), sum(len(w.encode()) for w in words) / n, len(set(words)) / n, max((words.count(w) for w in words), default=0) / n, sum(a == b for a, b in zip(words, words[1:])) / n, sum(c.isupper() for c in letters) / max(1, len(letters)), sum(c in "0123456789" for c in text) / size, sum(c in "#$%&*+/<=>@\\^_`{|}~" for c in text) / size, text.count("|") / size, text.count("!") / size, len(marks) / n, np.log1p(len(lines)), 1 - len(set(lines)) / len(lines), len(letters) / size, sum(b >= 128 for b in data) / size]
+
+
+def test_statistics_equal_plain_ones():
+    rng = np.random.default_rng(4)
+    signs = list("abcXYZ019 .,!|#%&\n\t-") + ["é", "ß", "!!", "the ", "the "]
+    for _ in range(300):
+        text = "".join(rng.choice(signs, rng.integers(0, 80)))
+        assert np.allclose(quality.statistics(text.encode()), _plain_statistics(text)), repr(text)
+
+
+def test_paths_of_a_tree_split_where_the_squared_error_falls_most():
+    rng = np.random.default_rng(9)
+    table = rng.random((200, 3)).round(2)
+    label = (table[:, 1] > 0.4) * 1.0 + rng.normal(0, 0.1, 200)
+    edges = [np.unique(np.quantile(table[:, i], np.linspace(0.02, 0.98, 49))) for i in range(3)]
+    bins = np.stack([np.searchsorted(e, table[:, i], "left") for i, e in enumerate(edges)], 1)
+    found, leaves = [], []
+    quality._grow(table, edges, bins, label, np.arange(200), 1, [], found, leaves)
+    best = min(((sum(((p - p.mean()) ** 2).sum() for p in (label[table[:, i] <= e], label[table[:, i] > e])), i, e) for i in range(3) for e in edges[i] if min((table[:, i] <= e).sum(), (table[:, i] > e).sum()) >= 10))
+    assert {r.terms for r in found} == {((best[1], above, float(best[2])),) for above in (False, True)}
+    assert sorted(np.concatenate([rows for rows, _ in leaves]).tolist()) == list(range(200))
+
+
 def test_lasso_zeroes_a_useless_feature():
     rng = np.random.default_rng(1)
     x = (rng.random((800, 2)) > 0.5).astype(float)

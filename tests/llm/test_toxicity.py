@@ -60,3 +60,8 @@ def test_sample_passes_over_what_does_not_fit_and_takes_each_id_once(spark):
 
     want = sorted((t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5)
     assert sorted((t, y) for t, y in zip(texts, marks.tolist()) if len(t) < limit) == want
+
+
+def test_a_feature_needs_evidence_only():
+    texts, label = [t for _, t, _ in _rows(300)], np.array([y for *_, y in _rows(300)])
+    assert np.count_nonzero(toxicity.fit(texts, label).table) >= len({"gnarfblat"[i : i + n] for n in toxicity.LENGTHS for i in range(10 - n)})
