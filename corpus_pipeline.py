@@ -5,22 +5,25 @@ A table without rows passes through; nulls, empty and repeated rows are treated
 """
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from inkwell.llm import decontam, jaccard, q_quality, q_toxicity, quality, toxicity
-from inkwell.llm.common import materialize
+from inkwell.llm.common import materialize, unused
 from inkwell.llm.q_bpe import digests
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold; the classifier learns from the rows at hand."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, tuple(docs.columns), "__score").where(f"__score < {q_toxicity.THRESHOLD}").drop("__score")
+    score = unused("__score", docs.columns)
+    return toxicity.score(docs, model, tuple(docs.columns), score).where(F.col(score) < q_toxicity.THRESHOLD).drop(score)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold; the rules are learnt from the rows at hand."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model, tuple(docs.columns), "__score").where(f"__score >= {q_quality.THRESHOLD}").drop("__score")
+    score = unused("__score", docs.columns)
+    return quality.score(docs, model, tuple(docs.columns), score).where(F.col(score) >= q_quality.THRESHOLD).drop(score)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
