@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import materialize
+from inkwell.llm.common import materialize, unused
 
 #: Bits of a row's hash, bits that one round adds, and a shard's bytes.
 HASH_BITS, ROUND_BITS, LIMIT_BYTES = 60, 12, 1 << 20
@@ -60,16 +60,36 @@ def shards(documents: DataFrame, limit_bytes: int = LIMIT_BYTES, key: str = "doc
     hash and stay together; where they, or one row alone, exceed the limit, fits is false. An empty table gives
     an empty result, and other columns, whatever their names, are not read.
     """
-    slim = materialize(documents.select(F.col(key).alias("key"), F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("bytes"), row_hash(key, text).alias("h")))
+    slim = materialize(_slim(documents, key, text))
+    out = _placed(slim, directory(slim, limit_bytes, round_bits), "h")
+    return out.select(F.col("key").alias(key), "bytes", "shard", F.col("depth").cast("int").alias("depth"), "shard_bytes", (F.col("shard_bytes") <= limit_bytes).alias("fits"))
+
+
+def _slim(documents: DataFrame, key: str, text: str) -> DataFrame:
+    return documents.select(F.col(key).alias("key"), F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("bytes"), row_hash(key, text).alias("h"))
+
+
+def _placed(rows: DataFrame, rounds: list[tuple[int, DataFrame]], own: str, prefix: str = "") -> DataFrame:
+    """Rows whose hash is the column `own`, with <prefix>shard, depth and shard_bytes: each lies in one closed cell of one round."""
     out = None
-    for bits, closed in directory(slim, limit_bytes, round_bits):
-        part = slim.withColumn("cell", _prefix(bits)).join(closed, "cell").drop("cell")
+    for bits, closed in rounds:
+        shard = F.when(F.col("depth") == 0, "").otherwise(F.expr(f"lpad(bin(shiftright(cell, {bits} - depth)), depth, '0')"))
+        cells = closed.select(*(value.alias(prefix + name) for name, value in (("cell", F.col("cell")), ("shard", shard), ("depth", F.col("depth")), ("shard_bytes", F.col("shard_bytes")))))
+        part = rows.withColumn(f"{prefix}cell", F.shiftright(own, HASH_BITS - bits)).join(cells, f"{prefix}cell").drop(f"{prefix}cell")
         out = part if out is None else out.union(part)
-    shard = F.when(F.col("depth") == 0, "").otherwise(F.expr(f"lpad(bin(shiftright(h, {HASH_BITS} - depth)), depth, '0')"))
-    return out.select(F.col("key").alias(key), "bytes", shard.alias("shard"), F.col("depth").cast("int").alias("depth"), "shard_bytes", (F.col("shard_bytes") <= limit_bytes).alias("fits"))
+    return out
+
 
+def write_shards(documents: DataFrame, path: str, limit_bytes: int = LIMIT_BYTES, key: str = "doc_id", text: str = "text", folder: str = "shard") -> None:
+    """Writes all rows and columns of documents to one folder <folder>=s<bits> for each shard.
 
-def write_shards(documents: DataFrame, assigned: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Writes documents, whose key is unique, as one folder for each shard; each folder is written by one task."""
-    joined = documents.join(assigned.select(key, "shard"), key)
-    joined.repartition("shard").write.partitionBy("shard").parquet(path)
+    Each row carries its own hash to its shard, so rows without a key stay and repeated rows stay as often as they
+    are. A folder is written by one task: a shard is within the limit or cannot be split. `folder` must not be a column.
+    """
+    if folder.lower() in (c.lower() for c in documents.columns):
+        raise ValueError(f"{folder} is a column of the documents")
+    slim = materialize(_slim(documents, key, text))
+    prefix = unused("__shard", documents.columns)
+    rows = _placed(documents.withColumn(f"{prefix}h", row_hash(key, text)), directory(slim, limit_bytes), f"{prefix}h", prefix)
+    rows = rows.select(*documents.columns, F.concat(F.lit("s"), F.col(f"{prefix}shard")).alias(folder))
+    rows.repartition(folder).write.partitionBy(folder).parquet(path)

@@ -37,8 +37,13 @@ def test_empty_table(spark):
 
 
 def test_shards_are_written_whole(spark, tmp_path):
-    df = spark.createDataFrame(ROWS[:300], "doc_id long, text string")
-    out = sharding.shards(df, 3000)
-    sharding.write_shards(df, out, f"file://{tmp_path}/s")
-    back = spark.read.option("basePath", f"file://{tmp_path}/s").schema("doc_id long, text string, shard string").parquet(f"file://{tmp_path}/s")
-    assert sorted((r.doc_id, r.shard) for r in back.collect()) == sorted((r.doc_id, r.shard) for r in out.collect())
+    df = spark.createDataFrame([(*r, i % 3, "c") for i, r in enumerate(ROWS)], "doc_id long, text string, bytes int, cell string")
+    sharding.write_shards(df, f"file://{tmp_path}/s", 3000)
+    back = spark.read.option("basePath", f"file://{tmp_path}/s").schema("doc_id long, text string, bytes int, cell string, shard string").parquet(f"file://{tmp_path}/s").collect()
+    assert Counter((r.doc_id, r.text, r.bytes, r.cell) for r in back) == Counter(tuple(r) for r in df.collect())
+    shards = sharding.shards(df, 3000).collect()
+    assert Counter((r.doc_id, r.shard) for r in back) == Counter((r.doc_id, "s" + r.shard) for r in shards)
+    sizes = Counter()
+    for r in back:
+        sizes[r.shard] += len((r.text or "").encode())
+    assert sizes == {"s" + r.shard: r.shard_bytes for r in shards} and len(sizes) > 5
