@@ -19,10 +19,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import Forest, connected_components, materialize, scratch_write
+from inkwell.llm.common import connected_components, materialize, scratch_write
 
 #: Vectors that the axes are fitted on, axes that order and skip, vectors of a block.
 FIT_ROWS, AXES, BLOCK_ROWS = 4096, 6, 1024
+#: Parts of the sequence that one task joins to all that follow.
+SPAN = 8
 
 
 def _matrix(blobs: list[bytes], dtype: str, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,15 +120,15 @@ def apart(lo_a, hi_a, lo_b, hi_b, epsilon: float) -> bool:
     return float((gap**2).sum()) > epsilon**2 * (1 + 1e-9)
 
 
-def interval_pairs(parts: list[int], lo: np.ndarray, hi: np.ndarray, epsilon: float) -> list[tuple[int, int]]:
-    """Pairs (a <= b) of sequence parts that are not provably apart, by halving intervals of the sequence."""
-    found, stack = [], [((0, len(parts)), (0, len(parts)))] if parts else []
+def interval_pairs(lo: np.ndarray, hi: np.ndarray, epsilon: float, begin: int, end: int) -> Iterator[tuple[int, int]]:
+    """Pairs (a <= b) of sequence parts, a within [begin, end), that are not provably apart, by halving intervals of the sequence."""
+    stack = [((begin, end), (begin, end)), ((begin, end), (end, len(lo)))]
     while stack:
         (a, b), (c, d) = stack.pop()
-        if apart(lo[a:b].min(0), hi[a:b].max(0), lo[c:d].min(0), hi[c:d].max(0), epsilon):
+        if a == b or c == d or apart(lo[a:b].min(0), hi[a:b].max(0), lo[c:d].min(0), hi[c:d].max(0), epsilon):
             continue
         if b - a == 1 and d - c == 1:
-            found.append((parts[a], parts[c]))
+            yield a, c
         elif (a, b) == (c, d):
             m = (a + b) // 2
             stack += [((a, m), (a, m)), ((a, m), (m, b)), ((m, b), (m, b))]
@@ -136,7 +138,42 @@ def interval_pairs(parts: list[int], lo: np.ndarray, hi: np.ndarray, epsilon: fl
         else:
             m = (c + d) // 2
             stack += [((a, b), (c, m)), ((a, b), (m, d))]
-    return found
+
+
+def _near_parts(spark, parts: list[int], lo: np.ndarray, hi: np.ndarray, epsilon: float) -> DataFrame:
+    """(part_a, part_b): each task joins one interval of the sequence to all that follow; boxes are as many as parts."""
+    shared = spark.sparkContext.broadcast((np.array(parts, np.int32), lo, hi))
+
+    def run(batches: Iterator):
+        import pyarrow as pa
+
+        numbers, lo, hi = shared.value
+        for batch in batches:
+            for at in batch.column(0).to_pylist():
+                found = np.array(list(interval_pairs(lo, hi, epsilon, at, min(at + SPAN, len(lo)))), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(numbers[found[:, 0]]), pa.array(numbers[found[:, 1]])], ["part_a", "part_b"])
+
+    return spark.range(0, len(parts), SPAN).mapInArrow(run, "part_a int, part_b int")
+
+
+def labels(near: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and each column of a matrix of links the smallest row that it reaches; len(near) for columns without links.
+
+    Labels travel over all links at once and then to what their own label says, until nothing changes. If same, rows
+    and columns are the same vectors.
+    """
+    none = len(near)
+    rows = np.arange(none)
+    while True:
+        columns = np.where(near, rows[:, None], none).min(0, initial=none)
+        if same:
+            new = np.minimum(rows, columns)
+        else:
+            new = np.minimum(rows, np.where(near, columns[None, :], none).min(1, initial=none))
+        new = new[new]
+        if (new == rows).all():
+            return rows, columns
+        rows = new
 
 
 def _join_blocks(pairs: DataFrame, dtype: str, width: int, cosine: float) -> DataFrame:
@@ -152,19 +189,17 @@ def _join_blocks(pairs: DataFrame, dtype: str, width: int, cosine: float) -> Dat
                 b, b_size = (a, a_size) if same else _matrix(row["blobs_b"], dtype, width)
                 ids_a, n_a = np.array(row["ids_a"]), np.array(row["counts_a"])
                 ids_b, n_b = (ids_a, n_a) if same else (np.array(row["ids_b"]), np.array(row["counts_b"]))
-                forest, links = Forest(), []
-                sum_a, sum_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+                near = np.zeros((len(a), len(b)), bool)
                 for begin in range(0, len(a), 256):
-                    near = (a[begin : begin + 256] @ b.T >= cosine) & (a_size[begin : begin + 256, None] == b_size)
-                    if same:
-                        near[np.arange(len(near)), np.arange(begin, begin + len(near))] = False
-                    sum_a[begin : begin + 256] += near @ n_b
-                    if not same:
-                        sum_b += n_a[begin : begin + 256] @ near
-                    for i, j in zip(*np.nonzero(near)):
-                        x, y = int(ids_a[begin + i]), int(ids_b[j])
-                        if x != y and forest.join(x, y):
-                            links.append((x, y))
+                    near[begin : begin + 256] = (a[begin : begin + 256] @ b.T >= cosine) & (a_size[begin : begin + 256, None] == b_size)
+                if same:
+                    np.fill_diagonal(near, False)
+                sum_a, sum_b = near @ n_b, np.zeros(len(b), np.int64) if same else n_a @ near
+                of_a, of_b = labels(near, same)
+                links = list(zip(ids_a.tolist(), ids_a[of_a].tolist()))
+                if not same:
+                    links += [(i, int(ids_a[r])) for i, r in zip(ids_b.tolist(), of_b.tolist()) if r < len(a)]
+                links = [x for x in links if x[0] != x[1]]
                 counts = [(int(i), int(n)) for i, n in zip(ids_a, sum_a) if n] + ([] if same else [(int(i), int(n)) for i, n in zip(ids_b, sum_b) if n])
                 rows = [(0, *c) for c in counts] + [(1, *x) for x in links]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["kind", "a", "b"])
@@ -194,10 +229,10 @@ def components(embeddings: DataFrame, cosine: float = 0.9, key: str = "vec_id",
         parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         sequence = _projected(classes, axes, epsilon, dtype).repartitionByRange(parts, *order).sortWithinPartitions(*order)
         blocks = materialize(_blocks(sequence, k))
-        # Boxes of the parts: as many rows as parts, a setting. The recursion over their intervals runs here.
+        # Boxes of the parts: as many rows as parts, a setting.
         boxes = blocks.groupBy("part").agg(*(F.min(F.col("lo")[i]).alias(f"lo{i}") for i in range(k)), *(F.max(F.col("hi")[i]).alias(f"hi{i}") for i in range(k))).orderBy("part").collect()
         lo, hi = (np.array([[r[f"{s}{i}"] for i in range(k)] for r in boxes]) for s in ("lo", "hi"))
-        near = spark.createDataFrame(interval_pairs([r.part for r in boxes], lo, hi, epsilon), "part_a int, part_b int")
+        near = _near_parts(spark, [r.part for r in boxes], lo, hi, epsilon)
         head = blocks.select("part", "block", "lo", "hi")
         side = lambda df, s: df.select(*(F.col(c).alias(f"{c}_{s}") for c in df.columns))
         gap = sum((F.pow(F.greatest(F.lit(0.0), F.col("lo_a")[i] - F.col("hi_b")[i], F.col("lo_b")[i] - F.col("hi_a")[i]), 2) for i in range(k)), F.lit(0.0))

@@ -47,5 +47,20 @@ def test_intervals_skip_only_what_is_apart():
     lo = np.sort(rng.random((40, 2)) * 9, axis=0)
     hi = lo + rng.random((40, 2))
     want = {(i, j) for i in range(40) for j in range(i, 40) if not neardup.apart(lo[i], hi[i], lo[j], hi[j], 0.4)}
-    got = neardup.interval_pairs(list(range(40)), lo, hi, 0.4)
+    got = [p for begin in range(0, 40, 7) for p in neardup.interval_pairs(lo, hi, 0.4, begin, min(begin + 7, 40))]
     assert set(got) == want and len(got) == len(want) < 820
+
+
+def test_labels_equal_connected_components():
+    rng = np.random.default_rng(6)
+    for n, m, p in ((1, 1, 0.5), (30, 40, 0.02), (60, 50, 0.03), (5, 9, 0.0), (40, 3, 0.4)):
+        near = rng.random((n, m)) < p
+        forest = common.Forest()
+        for i, j in zip(*np.nonzero(near)):
+            forest.join(int(i), 1000 + int(j))
+        rows, columns = neardup.labels(near, False)
+        assert rows.tolist() == [forest.find(i) for i in range(n)]
+        assert columns.tolist() == [forest.find(1000 + j) if near[:, j].any() else n for j in range(m)]
+    chain = np.zeros((50, 50), bool)
+    chain[np.arange(49), np.arange(1, 50)] = chain[np.arange(1, 50), np.arange(49)] = True
+    assert neardup.labels(chain, True)[0].tolist() == [0] * 50
