@@ -40,11 +40,37 @@ def snippet(raw: Column) -> Column:
     return let(F.coalesce(raw, F.lit("")), lambda t: let(places(t), cut))
 
 
-def repair(raw: Column) -> Column:
-    """Unfenced, plain quotes, no trailing commas, the JSON part alone, and a single object as an array."""
+def cleaned(raw: Column) -> Column:
+    """Unfenced, plain quotes, no trailing commas, the JSON part alone."""
     plain = F.translate(strip_fence(raw), "“”‘’", "\"\"''")
-    part = T.strip(snippet(F.regexp_replace(plain, r",\s*([}\]])", "$1")))
-    return let(part, lambda p: F.when(p.startswith("{") & p.endswith("}"), F.concat(F.lit("["), p, F.lit("]"))).otherwise(p))
+    return T.strip(snippet(F.regexp_replace(plain, r",\s*([}\]])", "$1")))
+
+
+def repair(raw: Column) -> Column:
+    """Cleaned, and a single object as an array."""
+    return let(cleaned(raw), lambda p: F.when(p.startswith("{") & p.endswith("}"), F.concat(F.lit("["), p, F.lit("]"))).otherwise(p))
+
+
+def strict_snippet(raw: Column) -> Column:
+    """The JSON part of a text; one without an opening and a closing sign after it raises."""
+    part = snippet(raw)
+    return F.when(part.rlike(r"(?s)^[\[{].*[\]}]$"), part).otherwise(F.raise_error(F.lit("no JSON in the reply")).cast("string"))
+
+
+def inner_snippet(raw: Column) -> Column:
+    """The JSON part of a text, or null where none opens and closes."""
+    return let(snippet(raw), lambda part: F.when(part.rlike(r"(?s)^[\[{].*[\]}]$"), part))
+
+
+def elements(raw: Column, single: Column) -> Column:
+    """The items of a reply as JSON texts: a list, also under `segments`; an object alone only where single. Null otherwise."""
+
+    def parsed(p: Column) -> Column:
+        inner = F.get_json_object(p, "$.segments")
+        whole = F.when(p.startswith("["), p).when(p.startswith("{"), F.when(inner.isNotNull(), F.when(inner.startswith("["), inner)).otherwise(F.when(single, F.concat(F.lit("["), p, F.lit("]")))))
+        return F.from_json(whole, "ARRAY<STRING>")
+
+    return let(cleaned(unwrap(raw)), parsed)
 
 
 def unwrap(raw: Column) -> Column:

@@ -40,12 +40,24 @@ def canonical(url: Column) -> Column:
     return F.concat(head, F.when(bare == "", "/").otherwise(bare), query(url), fragment(url))
 
 
+def without_dots(path: Column) -> Column:
+    """A path without . and .. segments; .. at the top goes nowhere."""
+    parts = F.split(path, "/", -1)
+    step = lambda acc, p: F.when(p == "..", F.when(F.size(acc) > 1, F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).otherwise(acc)).when(p == ".", acc).otherwise(F.array_append(acc, p))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    ends = F.when(path.rlike(r"(^|/)\.{1,2}$"), "/").otherwise("")
+    return F.when(path.rlike(r"(^|/)\.{1,2}(/|$)"), F.concat(F.array_join(kept, "/"), ends)).otherwise(path)
+
+
 def resolve(href: Column, base: Column) -> Column:
-    """An absolute form of href: by scheme, by host, or beside the base's last slash. Dot segments stay."""
+    """An absolute form of href: scheme-relative, host-relative, absolute if it begins with http, else joined to the base by the URL standard."""
     href = F.trim(href)
     site = F.concat(scheme(base), F.lit("://"), authority(base))
     folder = F.regexp_replace(path(base), "[^/]*$", "")
-    return F.when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href)).when(href.startswith("/"), F.concat(site, href)).when(href.startswith("http"), href).when(href.startswith("?"), F.concat(site, path(base), href)).otherwise(F.concat(site, F.when(folder == "", "/").otherwise(folder), href))
+    own = F.regexp_extract(href, r"^([^?#]*)", 1)
+    joined = F.concat(site, without_dots(F.concat(F.when(folder == "", "/").otherwise(folder), own)), F.regexp_extract(href, r"^[^?#]*(.*)$", 1))
+    beside = F.when(href.startswith("?"), F.concat(site, path(base), href)).when(href.startswith("#"), F.concat(site, path(base), query(base), href)).when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), href).otherwise(joined)
+    return F.when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href)).when(href.startswith("/"), F.concat(site, href)).when(href.startswith("http"), href).otherwise(beside)
 
 
 def is_followable(href: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Protocol
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,59 @@ def wav_bytes(samples, rate: int) -> bytes:
     return out.getvalue()
 
 
+class Speech(Protocol):
+    """A speech engine: samples and rate (or samples alone, at the default rate) of a text."""
+
+    def __call__(self, text: str, voice: str, speed: float): ...
+
+
+#: Samples a second where an engine gives none.
+RATE = 24000
+
+
+def as_clip(result, rate: int = RATE):
+    """(samples as one row of float32, rate) of what an engine gave: samples, (samples, rate), or an object with both."""
+    import numpy as np
+
+    if isinstance(result, tuple) and len(result) == 2:
+        samples, given = result
+    else:
+        samples, given = getattr(result, "audio", result), getattr(result, "sample_rate", rate)
+    samples = np.squeeze(np.asarray(samples, np.float32))
+    if samples.ndim > 1:
+        raise ValueError(f"samples of shape {samples.shape} are not one channel")
+    if not samples.size:
+        raise ValueError("no samples")
+    return np.atleast_1d(samples), int(given or rate)
+
+
+def spoken(segments: DataFrame, engine: Speech, *keys: str, text: str = "text", voice: str = "voice", speed: str = "speed") -> DataFrame:
+    """(keys, samples, rate, duration_ms, error) of each segment's text; blank texts and failures have no samples but an error."""
+    from pyspark.sql.types import ArrayType, FloatType, StructType
+
+    schema = StructType([segments.schema[k] for k in keys])
+    for name, kind in (("samples", ArrayType(FloatType())), ("rate", "int"), ("duration_ms", "long"), ("error", "string")):
+        schema = schema.add(name, kind)
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            rows = []
+            for t, v, s in zip(batch["__t"], batch["__v"], batch["__s"]):
+                try:
+                    if not (t or "").strip():
+                        raise ValueError("blank text")
+                    samples, rate = as_clip(engine(t, v, min(4.0, max(0.1, s))))
+                    rows.append((samples.tolist(), rate, int(len(samples) / max(rate, 1) * 1000), None))
+                except Exception as fault:  # noqa: BLE001  one segment must not end the batch
+                    rows.append((None, None, None, str(fault)))
+            out = pd.DataFrame(rows, columns=["samples", "rate", "duration_ms", "error"], dtype=object)
+            yield pd.concat([batch[list(keys)].reset_index(drop=True), out], axis=1)
+
+    return segments.select(*keys, F.col(text).alias("__t"), F.col(voice).alias("__v"), F.coalesce(F.col(speed).cast("double"), F.lit(1.0)).alias("__s")).mapInPandas(run, schema)
+
+
 def concatenated(clips: DataFrame, *keys: str, order: str = "pos") -> DataFrame:
     """(keys, samples, rate) of a chapter's clips in order; rates that differ within a chapter raise."""
     rows = clips.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, "samples"))).alias("c"), F.min("rate").alias("rate"), F.max("rate").alias("most"))

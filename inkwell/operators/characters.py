@@ -14,10 +14,10 @@ from inkwell.functions.bind import let
 PRONOUNS = {"subject": ("he", "she", "they", "it"), "object": ("him", "her", "them", "it"), "possessive": ("his", "her", "their", "its"), "possessive_pronoun": ("his", "hers", "theirs"), "reflexive": ("himself", "herself", "themselves", "itself")}
 MALE, FEMALE, NEUTRAL = ("he", "him", "his", "himself"), ("she", "her", "hers", "herself"), ("they", "them", "their", "theirs", "themselves")
 PREFERRED = {"male": ("he", "him", "his", "his", "himself"), "female": ("she", "her", "her", "hers", "herself"), "neutral": ("they", "them", "their", "theirs", "themselves")}
-HONORIFICS = "mr mrs ms miss dr prof professor captain lord lady sir dame duke duchess earl count countess baron baroness general colonel major sergeant officer detective inspector agent king queen prince princess emperor empress".split()
-COMMON = "the a an and or but in on at to for of with by from as is was are were been have has had do does did will would should could may might must can shall i you we chapter part section volume book page".split()
-NOT_NAMES = "he she they it this that these those if when while since because however therefore yes no not mom dad mother father".split()
-PLACES, ROLES = "in at to from".split(), "adventurer rank knight saint guild".split()
+HONORIFICS = ("mr", "mrs", "ms", "miss", "dr", "prof", "professor", "captain", "lord", "lady", "sir", "dame", "duke", "duchess", "earl", "count", "countess", "baron", "baroness", "general", "colonel", "major", "sergeant", "officer", "detective", "inspector", "agent", "king", "queen", "prince", "princess", "emperor", "empress")
+COMMON = ("the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "as", "is", "was", "are", "were", "been", "have", "has", "had", "do", "does", "did", "will", "would", "should", "could", "may", "might", "must", "can", "shall", "i", "you", "we", "chapter", "part", "section", "volume", "book", "page")
+NOT_NAMES = ("he", "she", "they", "it", "this", "that", "these", "those", "if", "when", "while", "since", "because", "however", "therefore", "yes", "no", "not", "mom", "dad", "mother", "father")
+PLACES, ROLES = ("in", "at", "to", "from"), ("adventurer", "rank", "knight", "saint", "guild")
 NAME = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b"
 # Emotions as (name, speed, pitch, volume).
 EMOTIONS = (("neutral", 1.0, 0.0, 0.0), ("happy", 1.1, 1.0, 0.0), ("sad", 0.9, -1.0, 0.0), ("angry", 1.15, 1.5, 2.0), ("fearful", 1.2, 0.0, 0.0), ("surprised", 1.1, 2.0, 0.0), ("disgusted", 0.95, -0.5, 0.0), ("whispering", 0.85, 0.0, -3.0))
@@ -55,14 +55,14 @@ def registry(segments: DataFrame, *keys: str, name: str = "speaker", order: str
 
 
 def honorific_names(text: Column) -> Column:
-    titles = "|".join("".join(f"[{c.upper()}{c}]" for c in h) for h in sorted(HONORIFICS, key=len, reverse=True))
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"\b(?:{titles})\.?\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b"), F.lit(1)))
+    """Capitalised runs after an honorific in any case. The title is followed by a stop or a blank, so none hides a longer one."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?i:\b(?:{'|'.join(HONORIFICS)}))\.?\s+{NAME[2:]}"), F.lit(1)))
 
 
 def likely_name(candidate: Column, sentence: Column) -> Column:
     """Whether a capitalised run may be a name: no stop words alone, not after a place's preposition, not before a role."""
     low = F.lower(candidate)
-    tokens = F.transform(F.split(T.squeeze(F.lower(sentence)), " "), lambda t: F.regexp_replace(t, r"[^\w]", ""))
+    tokens = F.transform(F.split(T.squeeze(F.lower(sentence)), " "), lambda t: F.regexp_replace(t, r"[^\p{L}\p{N}_]", ""))
     beside = lambda ts: F.exists(F.sequence(F.lit(1), F.size(ts)), lambda i: (F.element_at(ts, i) == low) & (F.coalesce(F.get(ts, i - 2).isin(*PLACES), F.lit(False)) | F.coalesce(F.get(ts, i).isin(*ROLES), F.lit(False))))
     # Only a candidate of one word can equal a token, so others need no look at the tokens.
     near = F.when(F.contains(candidate, F.lit(" ")), False).otherwise(let(tokens, beside))
@@ -70,20 +70,27 @@ def likely_name(candidate: Column, sentence: Column) -> Column:
 
 
 def name_candidates(texts: DataFrame, key: str = "doc_id", text: str = "text", top: int = 20) -> DataFrame:
-    """(key, name, n): names of a text by how often they stand in it, the top ones; ties by name."""
-    rows = texts.select(key, F.col(text).alias("t"))
-    plain = rows.select(key, F.explode(T.sentences(F.col("t"))).alias("s")).select(key, "s", F.explode(F.array_distinct(F.regexp_extract_all("s", F.lit(NAME), F.lit(1)))).alias("name"))
-    plain = plain.where(~F.lower("name").isin(*COMMON)).where(likely_name(F.col("name"), F.col("s"))).select(key, "name")
-    titled = rows.select(key, F.explode(honorific_names(F.col("t"))).alias("name"))
-    names = plain.union(titled).distinct()
-    counted = names.join(rows, key).select(key, "name", ((F.length("t") - F.length(F.replace("t", "name", F.lit("")))) / F.length("name")).cast("int").alias("n"))
-    return counted.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "name"))).where(F.col("rank") <= top)
+    """(key, name, n, rank): names of a text by how often they stand in it, the top ones; ties by name.
+
+    All of it happens within the row, so nothing is shuffled and repeated keys stay apart.
+    """
+
+    def of_sentence(s: Column) -> Column:
+        runs = F.filter(F.array_distinct(F.regexp_extract_all(s, F.lit(NAME), F.lit(1))), lambda n: ~F.lower(n).isin(*COMMON))
+        return F.filter(runs, lambda n: likely_name(n, s))
+
+    # Only sentences with a capital letter have names; the rest is never split into tokens.
+    spoken = F.filter(T.sentences(F.col(text)), lambda s: s.rlike("[A-Z][a-z]"))
+    names = F.array_distinct(F.concat(F.flatten(F.transform(spoken, of_sentence)), honorific_names(F.col(text))))
+    counted = F.transform(names, lambda n: F.struct((-((F.length(text) - F.length(F.replace(F.col(text), n, F.lit("")))) / F.length(n)).cast("int")).alias("minus"), n.alias("name")))
+    rows = texts.select(key, F.posexplode(F.slice(F.array_sort(counted), 1, top)).alias("rank", "c"))
+    return rows.select(key, "c.name", (-F.col("c.minus")).alias("n"), (F.col("rank") + 1).alias("rank"))
 
 
 def pronoun_rows(sentences: DataFrame, *keep: str, text: str = "sentence") -> DataFrame:
     """(keep, pronoun, category) for each pronoun token; one token counts once for each of its categories."""
     dim = F.array(*(F.struct(F.lit(p).alias("pronoun"), F.lit(c).alias("category")) for c, ps in PRONOUNS.items() for p in ps))
-    tokens = sentences.select(*keep, F.explode(F.split(T.squeeze(F.lower(F.col(text))), " ")).alias("t")).select(*keep, F.regexp_replace("t", r"[^\w]", "").alias("pronoun"))
+    tokens = sentences.select(*keep, F.explode(F.split(T.squeeze(F.lower(F.col(text))), " ")).alias("t")).select(*keep, F.regexp_replace("t", r"[^\p{L}\p{N}_]", "").alias("pronoun"))
     every = sorted({p for ps in PRONOUNS.values() for p in ps})
     return tokens.where(F.col("pronoun").isin(*every)).select(*keep, "pronoun", F.explode(F.filter(dim, lambda d: d["pronoun"] == F.col("pronoun"))).alias("d")).select(*keep, "pronoun", "d.category")
 
@@ -117,6 +124,32 @@ def mentions(sentences: DataFrame, names: DataFrame, doc: str = "doc_id", text:
     return sentences.join(names, doc).where(F.contains(F.col(text), F.col("name")))
 
 
+def mention_profiles(sentences: DataFrame, names: DataFrame, doc: str = "doc_id", order: str = "pos", text: str = "sentence", contexts: int = 5, size: int = 100) -> DataFrame:
+    """(doc, name, mentions, contexts): in how many sentences a name stands, and the beginnings of the first of them."""
+    found = mentions(sentences, names, doc, text).withColumn("__n", F.row_number().over(Window.partitionBy(doc, "name").orderBy(order)))
+    early = F.when(F.col("__n") <= contexts, F.struct("__n", F.substring(text, 1, size).alias("t")))
+    return found.groupBy(doc, "name").agg(F.count("*").alias("mentions"), F.array_sort(F.collect_list(early))["t"].alias("contexts"))
+
+
+def report(profiles: DataFrame, usage: DataFrame, *keys: str) -> DataFrame:
+    """(keys, report): characters by mentions, the most first, each with gender and its pronouns by count; ties by name.
+
+    profiles has (keys, name, mentions, gender), usage (keys, name, pronoun, n).
+    """
+    line = F.concat(F.lit("    "), "pronoun", F.lit(": "), F.col("n").cast("string"))
+    used = usage.groupBy(*keys, "name").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus"), "pronoun", line.alias("line"))))["line"].alias("lines"))
+    rows = profiles.join(used, [*keys, "name"], "left")
+    block = F.concat(F.lit("Character: "), "name", F.lit("\n  Mentions: "), F.col("mentions").cast("string"), F.lit("\n  Gender: "), F.coalesce("gender", F.lit("Unknown")), F.when(F.size("lines") > 0, F.concat(F.lit("\n  Pronoun Usage:\n"), F.array_join("lines", "\n"))).otherwise(""))
+    return rows.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(F.struct((-F.col("mentions")).alias("minus"), "name", block.alias("block"))))["block"], "\n\n").alias("report"))
+
+
+def first_characters(characters: DataFrame, *keys: str, order: str = "pos", most: int = 20) -> DataFrame:
+    """(keys, characters, summary): how many there are, and the names of the first ones in order."""
+    ranked = characters.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+    early = F.when(F.col("__n") <= most, F.struct("__n", "name"))
+    return ranked.groupBy(*keys).agg(F.count("*").alias("characters"), F.array_join(F.array_sort(F.collect_list(early))["name"], ", ").alias("summary"))
+
+
 def back_references(sentences: DataFrame, names: Column, doc: str = "doc_id", order: str = "pos", text: str = "sentence", window: int = 3) -> DataFrame:
     """Adds `mentioned`, the first of names in the sentence, and `referent`: that, or for a sentence with pronouns
     alone the one of the nearest sentence before it within the window."""
@@ -148,11 +181,25 @@ def resolved(segments: DataFrame, characters: DataFrame, speaker: str = "speaker
     return out.withColumn("character", F.coalesce("character", "f_character")).withColumn("voice_of", F.coalesce("voice_of", "f_voice")).drop("k", "f_character", "f_voice")
 
 
+def canonical(segments: DataFrame, characters: DataFrame, speaker: str = "speaker", fuzzy_cutoff: float | None = 0.85) -> DataFrame:
+    """Adds canonical_name and canonical_gender: closing signs trimmed, narrator and unknown as they are, else the character
+    that the name resolves to, else the trimmed name (unknown if empty) without a gender."""
+    bare = F.regexp_replace(T.strip(F.coalesce(F.col(speaker), F.lit(""))), r"(\s*[.,!?;:])+\s*$", "")
+    rows = segments.withColumn("__bare", bare)
+    out = resolved(rows, characters, "__bare", fuzzy_cutoff).drop("voice_of", "how")
+    genders = first_of_each(characters.select(F.col("name").alias("character"), F.col("gender").alias("__g"), "pos"), "character", order="pos").drop("pos")
+    out = out.join(genders, "character", "left")
+    fixed = F.lower("__bare").isin("narrator", "unknown")
+    name = F.when(fixed, F.lower("__bare")).otherwise(F.coalesce("character", F.nullif(F.col("__bare"), F.lit("")), F.lit("unknown")))
+    return out.withColumn("canonical_name", name).withColumn("canonical_gender", F.when(~fixed, F.col("__g"))).drop("__bare", "character", "__g")
+
+
 def closest(queries: DataFrame, keys: DataFrame, cutoff: float) -> DataFrame:
     """For each query k the key c of the highest matching-block ratio, if that reaches the cutoff; ties to the greater key.
 
     Pairs meet by length: of two strings, 2 min / (len + len) bounds the ratio, so each query length joins the
-    few key lengths that can reach the cutoff.
+    few key lengths that can reach the cutoff. Then the letters that both have bound it, and only pairs that pass are
+    compared.
     """
     import pandas as pd
 
@@ -164,11 +211,20 @@ def closest(queries: DataFrame, keys: DataFrame, cutoff: float) -> DataFrame:
 
     low, high = F.ceil(F.length("k") * F.lit(cutoff / (2 - cutoff)) - 1e-9).cast("int"), F.floor(F.length("k") * F.lit((2 - cutoff) / cutoff) + 1e-9).cast("int")
     spread = queries.select("k", F.explode(F.sequence(F.greatest(low, F.lit(1)), F.greatest(high, F.lit(1)))).alias("len"))
-    pairs = spread.join(keys.withColumn("len", F.length("c")), "len").drop("len").withColumn("ratio", ratio("c", "k"))
+    pairs = spread.join(keys.withColumn("len", F.length("c")).withColumn("__c", _signs(F.col("c"))), "len").drop("len").withColumn("__k", _signs(F.col("k")))
+    shared = F.aggregate(F.zip_with("__c", "__k", lambda a, b: F.least(a, b)), F.lit(0), lambda acc, n: acc + n)
+    pairs = pairs.where(2 * shared >= cutoff * (F.length("c") + F.length("k")) - 1e-9).drop("__c", "__k").withColumn("ratio", ratio("c", "k"))
     best = pairs.where(F.col("ratio") >= cutoff).groupBy("k").agg(F.max(F.struct("ratio", "c", *[x for x in keys.columns if x != "c"])).alias("b"))
     return best.select("k", *[F.col(f"b.{x}") for x in keys.columns if x != "c"])
 
 
+def _signs(text: Column) -> Column:
+    """How often each letter and digit stands in a text, and how many other signs it has."""
+    known = "abcdefghijklmnopqrstuvwxyz0123456789 "
+    counts = [F.length(text) - F.length(F.translate(text, c, "")) for c in known]
+    return F.array(*counts, F.length(F.translate(text, known, "")))
+
+
 def route_voice(voice: Column, kind: Column, speaker: Column, gender: Column, character_voice: Column, narrator: str, male: str, female: str) -> Column:
     """The voice of a segment: its own, the narrator's for thoughts and nameless speakers, the character's, its gender's, the narrator's."""
     own, who = F.nullif(T.strip(F.coalesce(voice, F.lit(""))), F.lit("")), T.strip(F.coalesce(speaker, F.lit("")))
@@ -235,6 +291,20 @@ def merge_pair(a: Column, b: Column) -> Column:
     return F.struct(text("name"), F.when(F.coalesce(a["gender"], F.lit("unknown")) != "unknown", a["gender"]).otherwise(b["gender"]).alias("gender"), text("voice"), F.array_sort(F.filter(names, lambda x: F.coalesce(x, F.lit("")) != "")).alias("aliases"), text("description"))
 
 
+def merged_into(characters: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Characters after merges of pairs (primary, secondary), each name in one pair: aliases and the secondary's name join the
+    primary, which takes the secondary's voice if it has none, and the secondary goes. Pairs of unknown or equal names change nothing."""
+    keyed = characters.withColumn("__k", T.name_key(F.col("name")))
+    both = pairs.select(T.name_key(F.col("primary")).alias("__p"), T.name_key(F.col("secondary")).alias("__s")).where("__p <> __s")
+    known = keyed.select("__k")
+    both = both.join(known.select(F.col("__k").alias("__p")), "__p", "left_semi").join(keyed.select(F.col("__k").alias("__s"), F.col("name").alias("__name"), F.col("voice").alias("__voice"), F.col("aliases").alias("__aliases")), "__s")
+    rows = keyed.join(both.select(F.col("__s").alias("__k")), "__k", "left_anti").join(both.withColumnRenamed("__p", "__k").drop("__s"), "__k", "left")
+    none = F.array().cast("array<string>")
+    whole = F.array_sort(F.array_union(F.array_union(F.coalesce("aliases", none), F.coalesce("__aliases", none)), F.array("__name")))
+    hit = F.col("__name").isNotNull()
+    return rows.withColumn("aliases", F.when(hit, whole).otherwise(F.col("aliases"))).withColumn("voice", F.when(hit, F.coalesce(F.nullif("voice", F.lit("")), "__voice", "voice")).otherwise(F.col("voice"))).select(*characters.columns)
+
+
 def tidy_aliases(aliases: Column) -> Column:
     return F.array_sort(T.nonblank(aliases))
 

@@ -24,7 +24,7 @@ def prompts(segments: DataFrame, size: int, chapter: str = "chapter_id") -> Data
 
 
 def applied(segments: DataFrame, replies: DataFrame, size: int, chapter: str = "chapter_id") -> DataFrame:
-    """Segments with a batch reply's classification where it keeps the contract, else narration with status fallback.
+    """Segments with a batch reply's classification where it keeps the contract, else the heuristic segment with status fallback.
 
     replies has (chapter, batch, reply). Nothing but built-in expressions runs.
     """
@@ -35,8 +35,9 @@ def applied(segments: DataFrame, replies: DataFrame, size: int, chapter: str = "
     rows = segments.join(good, (F.col(chapter) == F.col("__c")) & (F.col("segment_id") == F.col("__i")), "left")
     given = lambda name, default: F.coalesce(F.col(name), F.lit(default)) if name in segments.columns else F.lit(default)
     pick = lambda k, default: F.coalesce(F.col(f"c.{k}"), F.lit(default)).alias(k)
+    kind = T.heuristic_type(F.col("text"))
     return rows.select(
-        chapter, "pos", "text", pick("type", "narration"), pick("speaker", "narrator"), pick("gender", "unknown"), *(pick(k, 0.0) for k in J.CONFIDENCES), "paragraph_id",
+        chapter, "pos", "text", F.coalesce("c.type", kind).alias("type"), F.coalesce("c.speaker", T.heuristic_speaker(kind)).alias("speaker"), pick("gender", "unknown"), *(pick(k, 0.0) for k in J.CONFIDENCES), "paragraph_id",
         given("voice", "").alias("voice"), given("emotion", "neutral").alias("emotion"), F.col("context_before").alias("prior_segment_text"), F.col("context_after").alias("next_segment_text"),
         F.when(F.col("c").isNotNull(), OK).otherwise(FALLBACK).alias("llm_status"),
     )
@@ -54,13 +55,54 @@ def heuristic_reply(prompt: str) -> str:
     return json.dumps(out)
 
 
-def classified(segments: DataFrame, model: Callable[[str], str] = heuristic_reply, size: int = 20, limit: int = 3, attempts: int = 3, chapter: str = "chapter_id") -> DataFrame:
+#: What a model is told at its first, second and later attempts; the second names what was wrong.
+SYSTEMS = ("Classify each segment. Answer with a JSON array of objects with the fields " + ", ".join(J.KEYS) + ".", "Your last answer was not valid: {error}. Answer with the JSON array only, one object for each id.", "Answer with nothing but a JSON array that starts with [ and ends with ].")
+
+
+def fault_of(reply, expected: list[str]) -> tuple[str | None, dict]:
+    """What breaks the contract of a batch's reply (null if nothing), and its items by id."""
+    import json
+
+    try:
+        found = json.loads(reply) if isinstance(reply, str) else reply
+    except ValueError:
+        return "not JSON", {}
+    if isinstance(found, dict):
+        found = found.get("segments", [found] if len(expected) == 1 else None)
+    if not isinstance(found, list):
+        return "Top-level must be an array", {}
+    by_id: dict = {}
+    for i, item in enumerate(found):
+        missing = [k for k in J.KEYS if not isinstance(item, dict) or item.get(k) is None]
+        if missing:
+            return f"Item {i} lacks {missing[0]}", {}
+        if str(item["type"]).strip().lower() not in J.TYPES:
+            return f"Item {i} has invalid type: {item['type']}", {}
+        for k in J.CONFIDENCES:
+            try:
+                if not 0 <= float(item[k]) <= 1:
+                    return f"Item {i} {k} is out of range", {}
+            except (TypeError, ValueError):
+                return f"Item {i} {k} is not a number", {}
+        key = str(item["id"]).strip()
+        if key in by_id:
+            return "Duplicate ids in response", {}
+        by_id[key] = item
+    return (None, by_id) if set(by_id) == set(expected) else ("ID mismatch", {})
+
+
+def classified(segments: DataFrame, model: Callable = heuristic_reply, size: int = 20, limit: int = 3, attempts: int = 3, chapter: str = "chapter_id", repair: Callable[[str, str], str] | None = None, repairs: int = 1) -> DataFrame:
     """Runs a model over each chapter's segments in order.
 
-    After `limit` failed batches a chapter goes on with single segments, so batch borders depend on what came before;
-    that state is why a chapter is one group. A batch that fails all attempts becomes narration.
+    The model is called with (system, user), or with the user text alone if it takes one argument. Each attempt has its
+    own system text, and a bad reply may be mended up to `repairs` times by repair(reply, error). After `limit` failed
+    batches a chapter goes on with single segments, so batch borders depend on what came before; that state is why a
+    chapter is one group. A batch that fails all attempts becomes the heuristic segment.
     """
+    import inspect
+
     kind = segments.schema[chapter].dataType.simpleString()
+    plain = len(inspect.signature(model).parameters) == 1
 
     def run(key, table):
         import json
@@ -72,29 +114,32 @@ def classified(segments: DataFrame, model: Callable[[str], str] = heuristic_repl
         while at < len(table):
             n = 1 if failures >= limit else max(1, size or len(table))
             part = table.iloc[at : at + n]
+            expected = [str(i) for i in part["segment_id"]]
             ask = json.dumps([{"id": i, "text": t, "context_before": b, "context_after": a} for i, t, b, a in zip(part["segment_id"], part["text"], part["context_before"], part["context_after"])])
-            reply = None
-            for _ in range(attempts):
+            error, got, mended = "no reply", {}, 0
+            for attempt in range(attempts):
                 try:
-                    reply = model(ask)
-                    got = {str(x["id"]): x for x in json.loads(reply)}
-                except Exception:  # noqa: BLE001  any failure of a model is a failed attempt
-                    reply = None
-                    continue
-                if set(got) == set(part["segment_id"]):
+                    reply = model(ask) if plain else model(SYSTEMS[min(attempt, 2)].format(error=error), ask)
+                    error, got = fault_of(reply, expected)
+                    while error and repair is not None and mended < repairs:
+                        mended += 1
+                        error, got = fault_of(repair(str(reply), error), expected)
+                except Exception as fault:  # noqa: BLE001  any failure of a model is a failed attempt
+                    error, got = str(fault) or "failed", {}
+                if error is None:
                     break
-                reply = None
-            failures += reply is None
-            for i, pos in zip(part["segment_id"], part["pos"]):
-                rows.append((key[0], int(pos), batch, len(part), reply is not None, json.dumps(got[i]) if reply is not None else None))
+            failures += error is not None
+            for i, pos in zip(expected, part["pos"]):
+                rows.append((key[0], int(pos), batch, len(part), error is None, mended, json.dumps(got[i]) if error is None else None))
             at, batch = at + n, batch + 1
-        return pd.DataFrame(rows, columns=[chapter, "pos", "batch", "batch_size", "ok", "item"])
+        return pd.DataFrame(rows, columns=[chapter, "pos", "batch", "batch_size", "ok", "repair_attempts", "item"])
 
-    answers = segments.groupBy(chapter).applyInPandas(run, f"{chapter} {kind}, pos int, batch int, batch_size int, ok boolean, item string")
+    answers = segments.groupBy(chapter).applyInPandas(run, f"{chapter} {kind}, pos int, batch int, batch_size int, ok boolean, repair_attempts int, item string")
     item = J.sanitized(F.from_json("item", f"STRUCT<{J.ITEM}>"))
     rows = segments.join(answers, [chapter, "pos"]).withColumn("c", F.when(F.col("ok"), item))
+    guess = T.heuristic_type(F.col("text"))
     pick = lambda k, default: F.coalesce(F.col(f"c.{k}"), F.lit(default)).alias(k)
-    return rows.select(chapter, "pos", "text", pick("type", "narration"), pick("speaker", "narrator"), pick("gender", "unknown"), *(pick(k, 0.0) for k in J.CONFIDENCES), "paragraph_id", "batch", "batch_size", F.when(F.col("ok"), OK).otherwise(FALLBACK).alias("llm_status"))
+    return rows.select(chapter, "pos", "text", F.coalesce("c.type", guess).alias("type"), F.coalesce("c.speaker", T.heuristic_speaker(guess)).alias("speaker"), pick("gender", "unknown"), *(pick(k, 0.0) for k in J.CONFIDENCES), "paragraph_id", "batch", "batch_size", "repair_attempts", F.when(F.col("ok"), OK).otherwise(FALLBACK).alias("llm_status"))
 
 
 def with_heuristics(segments: DataFrame, text: str = "text") -> DataFrame:

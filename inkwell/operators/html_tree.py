@@ -25,6 +25,11 @@ class Element:
             yield element
             stack += [p for p in reversed(element.parts) if isinstance(p, Element)]
 
+    def select(self, selector: str) -> list:
+        """Elements below this one, in page order, that a CSS selector names: tag, #id, .class and [name=value], blanks and > between, commas."""
+        wanted = [_steps(part) for part in selector.split(",")]
+        return [e for e in self.walk() if e is not self and any(_fits(e, steps) for steps in wanted)]
+
     def strings(self, skip_noise=False):
         stack = [iter(self.parts)]
         while stack:
@@ -39,6 +44,49 @@ class Element:
                 stack.pop()
 
 
+_STEP = re.compile(r"(>)|([^\s>]+)")
+_PART = re.compile(r"([a-zA-Z][\w-]*|\*)|#([\w-]+)|\.([\w-]+)|\[([\w:-]+)(?:=[\"']?([^\]\"']*)[\"']?)?\]")
+
+
+def _steps(selector: str) -> list[tuple[bool, list[tuple]]]:
+    """(whether it must be the parent, its parts) of each step, the innermost first."""
+    out, direct = [], False
+    for arrow, text in _STEP.findall(selector):
+        if arrow:
+            direct = True
+            continue
+        if "".join(m[0] for m in _PART.finditer(text)) != text:
+            raise ValueError(f"selector {selector!r} is not understood")
+        out.append((direct, _PART.findall(text)))
+        direct = False
+    return out[::-1]
+
+
+def _is(element, parts) -> bool:
+    has = element.attributes
+    for tag, own_id, own_class, name, value in parts:
+        if tag and tag not in ("*", element.tag) or own_id and has.get("id") != own_id or own_class and own_class not in (has.get("class") or "").split():
+            return False
+        if name and (name not in has or value and has[name] != value):
+            return False
+    return True
+
+
+def _fits(element, steps) -> bool:
+    if not steps or not _is(element, steps[0][1]):
+        return False
+    if len(steps) == 1:
+        return True
+    up = element.parent
+    while up is not None and up.parent is not None:
+        if _fits(up, steps[1:]):
+            return True
+        if steps[0][0]:
+            return False
+        up = up.parent
+    return False
+
+
 class Page(HTMLParser):
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
@@ -75,6 +123,24 @@ class Page(HTMLParser):
         """(href, text) of each anchor."""
         return [(e.attributes["href"] or "", " ".join(e.strings())) for e in self.find("a") if "href" in e.attributes]
 
+    def remove(self, *selectors: str) -> None:
+        """Takes out what the selectors name; one that is not understood is passed over."""
+        for selector in selectors:
+            try:
+                found = self.root.select(selector)
+            except ValueError:
+                continue
+            for element in found:
+                if element in element.parent.parts:
+                    element.parent.parts.remove(element)
+
+    def content(self, *selectors: str) -> str:
+        """Texts of what the selectors name, if anything; else the main content; else all text of the body."""
+        found = ["\n".join(e.strings()) for selector in selectors for e in self.root.select(selector)]
+        if found:
+            return "\n\n".join(found)
+        return self.main_content() or "\n".join(next(iter(self.find("body")), self.root).strings())
+
     def first_heading(self) -> str:
         return next((" ".join(e.strings()) for e in self.find("h1", "h2", "h3")), "")
 

@@ -81,3 +81,8 @@ def installed(wanted: DataFrame, models: DataFrame, name: str = "name") -> DataF
     bare = lambda c: F.lower(F.split_part(F.col(c), F.lit(":"), F.lit(1)))
     have = models.select(bare(name).alias("__m")).distinct()
     return wanted.join(have, bare(name) == F.col("__m"), "left_semi")
+
+
+def with_new_ids(rows: DataFrame, name: str = "book_id") -> DataFrame:
+    """Rows with a random id each. Write the result once: another run gives other ids."""
+    return rows.withColumn(name, F.uuid())

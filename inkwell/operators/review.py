@@ -33,3 +33,22 @@ def flattened(files: DataFrame, path: str = "path") -> DataFrame:
     """Audio files by their bare name; of equal names the one whose path sorts last."""
     name = F.regexp_extract(path, r"([^/]*)$", 1)
     return files.where(F.col(path).endswith(".wav")).groupBy(name.alias("name")).agg(F.max(path).alias("path"))
+
+
+def totals(chapters: DataFrame, done: DataFrame, *keys: str, chapter: str = "chapter_id") -> DataFrame:
+    """(keys, discovered, processed): chapters of the list, and those that a stage has done."""
+    marked = chapters.join(done.select(chapter).distinct().withColumn("__done", F.lit(1)), chapter, "left")
+    return marked.groupBy(*keys).agg(F.count("*").alias("discovered"), F.count("__done").alias("processed"))
+
+
+def with_audio(chapters: DataFrame, clips: DataFrame, timing: DataFrame, *keys: str) -> DataFrame:
+    """Adds has_audio: a chapter has audio only if it has both a clip and timing."""
+    has = lambda df, name: df.select(*keys).distinct().withColumn(name, F.lit(True))
+    rows = chapters.join(has(clips, "__w"), list(keys), "left").join(has(timing, "__t"), list(keys), "left")
+    return rows.withColumn("has_audio", F.coalesce(F.col("__w") & F.col("__t"), F.lit(False))).drop("__w", "__t")
+
+
+def timed_paragraphs(paragraphs: DataFrame, timing: DataFrame, *keys: str) -> DataFrame:
+    """Paragraphs with clip_begin and clip_end by paragraph_id; those without timing have none and no audio."""
+    rows = paragraphs.join(timing.select(*keys, "paragraph_id", "clip_begin", "clip_end"), [*keys, "paragraph_id"], "left")
+    return rows.withColumn("has_audio", F.col("clip_begin").isNotNull())

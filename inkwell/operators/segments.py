@@ -1,7 +1,5 @@
 """Chapters to ordered segments: paragraphs with ids and neighbours, chunks, batches, timings."""
 
-from __future__ import annotations
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,6 +102,41 @@ def with_first_failure(batches: DataFrame, chapter: str, limit: int, failed: str
     return batches.withColumn("failures", F.sum(F.col(failed).cast("int")).over(so_far)).withColumn("single_mode", F.coalesce(F.sum(F.col(failed).cast("int")).over(so_far.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) >= limit)
 
 
+def translator(provider: str, **functions):
+    """The Column function of a translation provider, by its name in any case; texts stay as they are where there is none.
+
+    functions are plain text functions by provider, run in batches of rows; what fails or is blank gives null.
+    """
+    import pandas as pd
+
+    function = {k.lower(): f for k, f in functions.items()}.get((provider or "").strip().lower())
+    if function is None:
+        return lambda text: text
+
+    def one(value):
+        try:
+            return function(value) if value and value.strip() else value
+        except Exception:  # noqa: BLE001  a piece that can't be translated stays
+            return None
+
+    @F.pandas_udf("array<string>")
+    def pieces(values: pd.Series) -> pd.Series:
+        return values.map(lambda parts: None if parts is None else [one(v) for v in parts])
+
+    return pieces.asNondeterministic()
+
+
+def translated_by(chapters: DataFrame, provider: str, text: str = "text", limit: int = 4000, piece: int = 2000, **functions) -> DataFrame:
+    """Texts by a provider's function; longer ones line by line, or in pieces where they are one line. What fails stays as it was."""
+    ask = translator(provider, **functions)
+    lined = F.contains(F.col(text), F.lit("\n"))
+    cut = F.when(F.length(text) <= limit, F.array(F.col(text))).when(lined, F.split(text, "\n", -1)).otherwise(chunks(F.col(text), piece, 0))
+    rows = chapters.withColumn("__cut", cut).withColumn("__new", ask(F.col("__cut")))
+    best = F.zip_with("__cut", "__new", lambda old, new: F.coalesce(F.nullif(new, F.lit("")), old))
+    glue = F.when((F.length(text) > limit) & lined, F.array_join(best, "\n")).otherwise(F.array_join(best, ""))
+    return rows.withColumn(text, glue).drop("__cut", "__new")
+
+
 def translated(chapters: DataFrame, translate, chapter: str = "chapter_id", text: str = "text", limit: int = 4000, piece: int = 2000) -> DataFrame:
     """Texts by a Column function; longer ones line by line, or in pieces where they are one line. What fails stays as it was."""
     cut = F.when(F.length(text) <= limit, F.array(F.col(text))).when(F.contains(F.col(text), F.lit("\n")), F.split(text, "\n", -1)).otherwise(chunks(F.col(text), piece, 0))

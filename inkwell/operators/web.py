@@ -9,15 +9,19 @@ from inkwell.functions import text as T
 from inkwell.functions import urls as U
 
 # A page's anchors, headings and title as regular expressions, for pages without nesting in them.
-ANCHOR = r"(?is)<a\b[^>]*?\shref=\"([^\"]*)\"[^>]*>(.*?)</a>"
+ANCHOR = r"(?is)<a\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(.*?)</a\s*>"
+#: Hosts whose chapters stand in CSS order.
+ORDERED_HOSTS = ("noveldex.io",)
+FAILED = "Failed to scrape"
 TITLES = (r"(?is)<h1\b[^>]*>(.*?)</h1>", r"(?is)<h2\b[^>]*>(.*?)</h2>", r"(?is)<title\b[^>]*>(.*?)</title>", r"(?is)<h3\b[^>]*>(.*?)</h3>")
 
 
 def anchors(pages: DataFrame, *keep: str, html: str = "html") -> DataFrame:
-    """(keep, pos, href, label) for each anchor, with built-in expressions only."""
-    hrefs, labels = (F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(i)) for i in (1, 2))
-    rows = pages.select(*keep, F.posexplode(F.arrays_zip(hrefs.alias("h"), labels.alias("l"))).alias("pos", "a"))
-    return rows.select(*keep, "pos", F.col("a.h").alias("href"), T.strip(F.regexp_replace(F.col("a.l"), "<[^>]*>", "")).alias("label"))
+    """(keep, pos, href, label) for each anchor with a href, however it is quoted, with built-in expressions only."""
+    double, single, bare, labels = (F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(i)) for i in (1, 2, 3, 4))
+    rows = pages.select(*keep, F.posexplode(F.arrays_zip(double.alias("d"), single.alias("s"), bare.alias("b"), labels.alias("l"))).alias("pos", "a"))
+    href = F.concat(F.col("a.d"), F.col("a.s"), F.col("a.b"))  # two of them are empty
+    return rows.select(*keep, "pos", F.replace(href, F.lit("&amp;"), F.lit("&")).alias("href"), T.strip(F.regexp_replace(F.col("a.l"), "<[^>]*>", "")).alias("label"))
 
 
 def classified_links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -34,22 +38,33 @@ def title(html, default: str = "Chapter"):
     return F.coalesce(*(F.when(F.length(t).between(1, 199), t) for t in found), F.lit(default))
 
 
-def chapters(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(url, title, content, error): cleaned main content; a page that can't be read has an error and the rest goes on."""
+def chapters(pages: DataFrame, url: str = "url", html: str = "html", selectors: tuple[str, ...] = (), exclude: tuple[str, ...] = (), ordered_hosts: tuple[str, ...] = ORDERED_HOSTS) -> DataFrame:
+    """(url, title, content, error): a page's cleaned content.
+
+    What `exclude` names is taken out first. Pages of the ordered hosts and their subdomains give their paragraphs in
+    CSS order; others what the selectors name, else the main content, else the body's text. A page that can't be read
+    has an error, and the rest goes on.
+    """
 
     def read(batches):
+        from urllib.parse import urlsplit
+
         import pandas as pd
 
         from inkwell.operators.html_tree import Page
 
         for batch in batches:
             rows = []
-            for page in batch["html"]:
+            for url, page in zip(batch["url"], batch["html"]):
                 try:
                     tree = Page(page)
-                    rows.append((tree.title(), tree.main_content() or tree.text("\n\n"), None))
+                    tree.remove(*exclude)
+                    host = urlsplit(url or "").netloc
+                    ordered = any(host == h or host.endswith(f".{h}") for h in ordered_hosts)
+                    content = "\n\n".join(t for _, _, t in tree.ordered_content()) if ordered else tree.content(*selectors)
+                    rows.append((tree.title(), content, None))
                 except Exception as fault:  # noqa: BLE001  one page must not end the batch
-                    rows.append((None, None, str(fault)))
+                    rows.append((FAILED, "", str(fault)))
             yield pd.concat([batch[["url"]].reset_index(drop=True), pd.DataFrame(rows, columns=["title", "content", "error"])], axis=1)
 
     rows = pages.select(F.col(url).alias("url"), F.col(html).alias("html")).mapInPandas(read, "url string, title string, content string, error string")
@@ -70,30 +85,29 @@ def ordered_text(pages: DataFrame, key: str = "page_id", html: str = "html") ->
 
 
 def crawl(pages: DataFrame, start: str, max_pages: int = 50) -> DataFrame:
-    """Chapter URLs that are found from a start page over captured pages (url, html), first in, first out.
+    """(url, level, ord): chapter URLs that are found from a start page over captured pages (url, html), first in, first out.
 
-    One level of the frontier is one join; what was seen is left out by canonical URL. max_pages is the feature's
-    own cap on index pages.
+    Each level of index pages is one join of at most max_pages rows (the feature's own cap) with the captured table;
+    its links come back to the driver, which keeps what was seen by canonical URL. So plans stay small at any depth.
     """
     spark = pages.sparkSession
-    known = pages.select(U.canonical(F.col("url")).alias("c"), "url", "html")
-    frontier = spark.createDataFrame([(0, start)], "ord long, url string").withColumn("c", U.canonical(F.col("url")))
-    seen, found, used = frontier.select("c").limit(0), None, 0
-    while used < max_pages:
-        batch = frontier.dropDuplicates(["c"]).join(seen, "c", "left_anti").orderBy("ord").limit(max_pages - used)
-        batch = spark.createDataFrame(batch.collect(), "c string, ord long, url string")  # index pages of one site: at most max_pages rows
-        n = batch.count()
-        if not n:
-            break
-        used += n
-        seen = seen.union(batch.select("c"))
-        hits = batch.join(known.drop("url"), "c")
-        links = classified_links(hits.withColumn("page_id", F.col("ord"))).withColumn("ord", F.col("page_id") * 100000 + F.col("pos"))
-        new = links.where("kind = 'chapter'").select("url", F.lit(used).alias("level"), "ord")
-        found = new if found is None else found.union(new)
-        frontier = links.where("kind = 'pagination'").select("ord", "url").withColumn("c", U.canonical(F.col("url")))
-    empty = spark.createDataFrame([], "url string, level int, ord long")
-    rows = (found if found is not None else empty).withColumn("c", U.canonical(F.col("url")))
-    first = rows.groupBy("c").agg(F.min(F.struct("level", "ord", "url")).alias("f")).select("c", "f.*")
-    seed = spark.createDataFrame([(start,)], "url string").where(U.index_is_chapter(F.col("url"))).select(U.canonical(F.col("url")).alias("c"), F.lit(-1).alias("level"), F.lit(0).cast("long").alias("ord"), "url")
-    return seed.union(first.join(seed.select("c"), "c", "left_anti")).select("url", "level", "ord").orderBy("level", "ord")
+    known = pages.select(U.canonical(F.col("url")).alias("c"), "html")
+    canonical = U.canonical(F.col("url")).alias("c")
+    row = spark.createDataFrame([(start,)], "url string").select(canonical, U.index_is_chapter(F.col("url")).alias("is_chapter")).first()
+    frontier, seen, found = [(row.c, start)], set(), {}
+    if row.is_chapter:
+        found[row.c] = (start, -1, 0)
+    level = 0
+    while frontier and len(seen) < max_pages:
+        batch = list(dict(reversed([(c, u) for c, u in frontier if c not in seen])).items())[::-1][: max_pages - len(seen)]
+        seen.update(c for c, _ in batch)
+        level += 1
+        asked = spark.createDataFrame([(i, c, u) for i, (c, u) in enumerate(batch)], "page_id long, c string, url string")
+        links = classified_links(asked.join(known, "c").dropDuplicates(["page_id"])).where("kind <> 'other'").select("page_id", "pos", "url", "kind", canonical)
+        frontier = []
+        for link in sorted(links.collect(), key=lambda r: (r.page_id, r.pos)):
+            if link.kind == "pagination":
+                frontier.append((link.c, link.url))
+            else:
+                found.setdefault(link.c, (link.url, level, len(found)))
+    return spark.createDataFrame(list(found.values()), "url string, level int, ord long").orderBy("level", "ord")

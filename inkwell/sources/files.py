@@ -112,6 +112,34 @@ def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
 
 
+def first_json(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
+    """Rows of the first of the files that is there and has any; none if no file has."""
+    for path in paths:
+        rows = json_rows(spark, path, schema)
+        if not rows.isEmpty():
+            return rows
+    return spark.createDataFrame([], schema)
+
+
+def chapter_index(spark: SparkSession, root: str, schema: str = "title STRING, source STRING") -> DataFrame:
+    """A project's chapters: of chapters.json, else of chapters_raw.json, else of the project's own data."""
+    return first_json(spark, [f"{root}/chapters.json", f"{root}/chapters_raw.json", f"{root}/project.json"], schema)
+
+
+def image_chapters(spark: SparkSession, path: str, read_image) -> DataFrame:
+    """(path, pos, title, content): one chapter for each image; read_image(bytes) is an OCR function of the caller's."""
+
+    def read(batches):
+        import posixpath
+
+        import pandas as pd
+
+        for batch in batches:
+            yield pd.DataFrame([(p, 0, posixpath.splitext(posixpath.basename(p))[0], read_image(bytes(c)) or "") for p, c in zip(batch["path"], batch["content"])], columns=["path", "pos", "title", "content"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "path string, pos int, title string, content string")
+
+
 def by_priority(*tables: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Rows of the first table that has their key."""
     marked = [t.withColumn("__p", F.lit(i)) for i, t in enumerate(tables)]
@@ -149,11 +177,19 @@ except ImportError:  # before Spark 4
 
 if DataSource is not None:
 
+    def _named(place: str):
+        """The function module:name, which options can only give as text."""
+        from importlib import import_module
+
+        module, _, name = place.partition(":")
+        return getattr(import_module(module), name)
+
     class ItemReader(DataSourceReader):
-        """Reads pages of a JSON array; each page is one partition."""
+        """Reads pages of a JSON array, each a partition; the option transform names a function of an item that gives the row's fields."""
 
         def __init__(self, schema, options):
             self.names, self.options = schema.names, options
+            self.transform = _named(options["transform"]) if options.get("transform") else dict
 
         def partitions(self):
             return [InputPartition(i) for i in range(int(self.options.get("pages", "1")))]
@@ -165,6 +201,7 @@ if DataSource is not None:
             url = self.options["url"].replace("{page}", str(partition.value + 1))
             with urlopen(Request(url, headers=json.loads(self.options.get("headers", "{}"))), timeout=float(self.options.get("timeout", "30"))) as reply:
                 for item in json.load(reply):
+                    item = self.transform(item)
                     yield tuple(None if item.get(n) is None else str(item[n]) for n in self.names)
 
     class ItemSource(DataSource):

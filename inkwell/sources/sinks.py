@@ -36,6 +36,30 @@ def without_project(library: DataFrame, book_id: str) -> DataFrame:
     return library.where(F.col("book_id") != book_id)
 
 
+def _hadoop(spark, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def remove_project(library: DataFrame, book_id: str, root: str) -> DataFrame:
+    """The library without the project, whose folder below root is deleted too. book_id names one folder, not a path."""
+    if not book_id or "/" in book_id or book_id in (".", ".."):
+        raise ValueError(f"{book_id!r} is no project")
+    place, store = _hadoop(library.sparkSession, f"{root.rstrip('/')}/{book_id}")
+    store.delete(place, True)
+    return without_project(library, book_id)
+
+
+def copy_flat(files: DataFrame, folder: str) -> int:
+    """Copies files (name, path; see review.flattened) of one book into a folder by their bare names; how many."""
+    spark, rows = files.sparkSession, files.orderBy("name").collect()  # one book's audio files
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for row in rows:
+        (a, from_store), (b, to_store) = _hadoop(spark, row["path"]), _hadoop(spark, f"{folder.rstrip('/')}/{row['name']}")
+        spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(from_store, a, to_store, b, False, True, conf)
+    return len(rows)
+
+
 def ordered_join(order: str, line: Column, glue: str = "\n") -> Column:
     """An aggregate: lines of a group in order."""
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), line.alias("line")))), lambda x: x["line"]), glue)
@@ -45,6 +69,14 @@ def _page(title: Column, body: Column, link: str = "") -> Column:
     return F.concat(F.lit('<?xml version="1.0" encoding="utf-8"?>\n<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops">\n<head><title>'), title, F.lit(f"</title>{link}</head>\n<body>\n"), body, F.lit("\n</body>\n</html>"))
 
 
+def inline_pages(segments: DataFrame, *keys: str, title: str = "title", order: str = "pos") -> DataFrame:
+    """(keys, xhtml): a page for each chapter with a plain paragraph for each segment; quotes stay as they are."""
+    line = F.concat(F.lit('<p id="'), F.col("paragraph_id"), F.lit('">'), T.escape_markup(F.col("text")), F.lit("</p>"))
+    rows = segments.groupBy(*keys, title).agg(ordered_join(order, line).alias("body"))
+    name = T.escape_markup(F.col(title))
+    return rows.select(*keys, _page(name, F.concat(F.lit("<h1>"), name, F.lit("</h1>\n"), F.col("body"))).alias("xhtml"))
+
+
 def chapter_pages(segments: DataFrame, *keys: str, title: str = "title", order: str = "pos") -> DataFrame:
     """(keys, xhtml): a page for each chapter, with a paragraph of its type's class for each segment."""
     line = F.concat(F.lit('<p id="'), F.col("paragraph_id"), F.lit('" class="'), F.col("type"), F.lit('">'), T.escape_markup(F.col("text"), quotes=True), F.lit("</p>"))
