@@ -8,9 +8,9 @@ yes-no choices of a Huffman tree; each feature has a hashed weight at each choic
 and buckets of all others by hash, whose number grows with the words. A word of a bucket has the bucket's
 probability times its smoothed share in it, so probabilities of all words sum to one.
 
-Training runs in rounds over disjoint parts of the training rows. In a round every task starts from the shared
-weights and takes gradient steps on its own rows; the updates, cut into blocks, are averaged in Spark, each weight
-by the evidence that the tasks saw for it. The number of weights grows with the root of the training tokens.
+A gradient update goes over all training rows: every task sums each weight's gradient and curvature. The tables,
+cut into blocks, are added up in Spark in groups of bounded size, and each weight moves by a damped Newton step. As
+sums are taken at the same weights everywhere, the model does not depend on how the rows are split, but for rounding. Weights of one feature at four levels of the tree lie side by side, so a path touches few cache lines.
 """
 
 from __future__ import annotations
@@ -29,10 +29,14 @@ from inkwell.llm.common import ascii_words, materialize, mix, text_bytes
 
 #: Words that the tasks know by themselves; bound of outcome numbers (0 is none); most buckets of all other words.
 HEAD_WORDS, OUTCOMES, MOST_BUCKETS = 1 << 17, 1 << 20, 1 << 19
-#: Words to a bucket, and hashed weights of a corpus of a million tokens (2^20).
-BUCKET_WORDS, WEIGHT_BITS = 4, 19
-#: Training rounds, tokens of a step, step size, blocks of an update, and words counted at once.
-ROUNDS, STEP_TOKENS, RATE, BLOCKS, COUNTED = 2, 60_000, 0.3, 512, 300_000
+#: Words to a bucket; hashed weights of a corpus of a million tokens (2^19) and at most (they travel with every task).
+BUCKET_WORDS, WEIGHT_BITS, MOST_WEIGHT_BITS = 4, 19, 24
+#: Gradient updates over all training rows, curvature that a step is shrunk by, the part of it that is taken, and the largest step.
+ROUNDS, SHRINK, DAMP, MOST_MOVE = 1, 4.0, 0.6, 6.0
+#: Weights are whole numbers of 1 / UNIT: three of them add up within 16 bits.
+UNIT = 512
+#: Tokens and events that are worked on at once, levels of the tree side by side, blocks of an update, tables added up at once, words counted at once.
+STEP_TOKENS, CHUNK, LEVELS, BLOCKS, ADDED, COUNTED = 100_000, 1 << 15, 5, 512, 64, 300_000
 #: The end of a text: words are not empty.
 END = b""
 
@@ -71,15 +75,6 @@ class Tree:
     base: np.ndarray  # node number = base[depth] + prefix of the code
     nodes: int
 
-    def paths(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For every choice on the paths to the outcomes: how many each has, the node and the way taken (0 or 1)."""
-        length = np.maximum(self.length[own], 0).astype(np.int32)
-        ends = np.cumsum(length, dtype=np.int32)
-        left = np.repeat(ends, length) - np.arange(1, (ends[-1] if len(ends) else 0) + 1, dtype=np.int32)
-        rest = np.repeat(self.code[own], length) >> left
-        depth = np.repeat(length - 1, length) - left
-        return length, self.base[depth] + (rest >> 1), rest & 1
-
 
 def huffman(mass: np.ndarray) -> tuple[Tree, np.ndarray]:
     """The tree over outcomes 1, 2, ... with these masses, and each node's log odds of way 1."""
@@ -132,7 +127,9 @@ class Model:
     bucket_log: np.ndarray  # log10 of each bucket's smoothed total
     tree: Tree
     bits: int
-    weights: np.ndarray  # 2^bits hashed weights, then the bias of each node
+    weights: np.ndarray  # 2^bits hashed weights, int16, in parts of 1 / UNIT
+    odds: np.ndarray  # the bias of each node
+    blank: bool = True  # whether all weights are 0
 
 
 def start(counts: DataFrame) -> Model:
@@ -157,9 +154,8 @@ def start(counts: DataFrame) -> Model:
     c[tail["b"].to_numpy(np.int64)], v[tail["b"].to_numpy(np.int64)] = tail["c"].to_numpy(float), tail["v"].to_numpy(float)
     tree, odds = huffman(np.concatenate([known, c]) + 0.5)
     total = int(sums["n"])
-    bits = max(18, WEIGHT_BITS + (max(1, total) >> 20).bit_length() // 2)
-    weights = np.concatenate([np.zeros(1 << bits, np.float32), odds.astype(np.float32)])
-    return Model({bytes(w): i for i, w in enumerate(top["word"])}, known, total, int(sums["v"]), buckets, np.log10(c + 0.5 * (v + 1)), tree, bits, weights)
+    bits = min(MOST_WEIGHT_BITS, max(18, WEIGHT_BITS + (max(1, total) >> 20).bit_length() // 2))
+    return Model({bytes(w): i for i, w in enumerate(top["word"])}, known, total, int(sums["v"]), buckets, np.log10(c + 0.5 * (v + 1)), tree, bits, np.zeros(1 << bits, np.int16), odds.astype(np.float32))
 
 
 def outcomes(model: Model, words: list[bytes]) -> np.ndarray:
@@ -190,60 +186,86 @@ def features(keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     return own, [mix(((kind << 60) + what).astype(np.uint64)) for kind, what in ((1, first), (2, second), (3, pair))]
 
 
-def _logits(model: Model, keys: np.ndarray):
-    """Outcomes, choices of each event, and of every choice the way taken, the logit of way 1 and the weights' places."""
-    own, hashes = features(keys)
-    own = np.where(own < len(model.tree.length), own, 0)
-    length, node, way = model.tree.paths(own)
-    mixed = node.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    shift = np.uint64(64 - model.bits)
-    places = [node + (1 << model.bits)]
-    logit = model.weights.take(places[0])
-    for h in hashes:
-        at = np.repeat(h, length)
-        at ^= mixed
-        at *= np.uint64(0xBF58476D1CE4E5B9)
-        at >>= shift
-        at = at.view(np.int64)
-        logit += model.weights.take(at)
-        places.append(at)
-    return own, length, way, logit, places
+class Paths:
+    """The choices of events, level by level: events are sorted by the length of their path, so a level is a slice."""
+
+    def __init__(self, model: Model, keys: np.ndarray):
+        own, hashes = features(keys)
+        own = np.where(own < len(model.tree.length), own, 0)
+        length = model.tree.length[own]
+        order = np.argsort(-length, kind="stable")
+        self.order = order[: np.count_nonzero(length > 0)]
+        length = length[self.order].astype(np.uint64)
+        self.model = model
+        self.code = model.tree.code[own[self.order]].view(np.uint64) << np.uint64(64) - length  # the first way is the highest bit
+        self.hashes = [h[self.order] for h in hashes]
+        self.reach = np.searchsorted(-length.astype(np.int64), -np.arange(length.max(initial=0), dtype=np.int64), "left").tolist()
+
+    def __iter__(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
+        """For each level: how many events reach it, the way taken, the logit of way 1 and the weights' places."""
+        model, u = self.model, np.uint64
+        shift, turns = u(64 - model.bits), u((1 << LEVELS) - 1)
+        for depth, n in enumerate(self.reach):
+            prefix = self.code[:n] >> u(64 - depth) if depth else np.zeros(n, np.uint64)
+            node = prefix.view(np.int64) + model.tree.base[depth]
+            if depth % LEVELS == 0:
+                root = node.view(np.uint64) * u(0x9E3779B97F4A7C15)
+                # The leading bits name a run of 2^LEVELS weights, the next ones turn the order within it.
+                runs = [((h[:n] ^ root) * u(0xBF58476D1CE4E5B9)) >> shift for h in self.hashes]
+            below = u(1 << depth % LEVELS)
+            slot = below + (prefix & (below - u(1)))
+            places = [(run[:n] ^ slot).view(np.int64) for run in runs]
+            logit = model.odds.take(node)
+            if not model.blank:
+                first, *others = (model.weights.take(at) for at in places)
+                logit += sum(others, first) * np.float32(1 / UNIT)
+            yield n, ((self.code[:n] >> u(63 - depth)) & u(1)).astype(np.float32), logit, places
 
 
 def log10_probability(model: Model, keys: np.ndarray) -> np.ndarray:
     """Of outcomes; those without a leaf have none (-300)."""
-    out = np.empty(len(keys))
-    for begin in range(0, len(keys), 1 << 12):
-        own, length, way, logit, _ = _logits(model, keys[begin : begin + (1 << 12)])
-        logs = np.where(way == 1, -logit, logit)
-        logs = np.maximum(logs, 0) + np.log(1 + np.exp(-np.abs(logs)))
-        sums = np.append(0, np.cumsum(logs, dtype=np.float64))
-        ends = np.cumsum(length)
-        out[begin : begin + len(own)] = np.where(model.tree.length[own] < 0, -300, (sums[ends - length] - sums[ends]) / np.log(10))
+    out = np.full(len(keys), -300.0)
+    for begin in range(0, len(keys), CHUNK):
+        paths = Paths(model, keys[begin : begin + CHUNK])
+        logs = np.zeros(len(paths.order))
+        for n, way, logit, _ in paths:
+            logit *= 1 - 2 * way
+            logs[:n] -= np.maximum(logit, 0) + np.log1p(np.exp(-np.abs(logit)))
+        out[begin + paths.order] = logs / np.log(10)
     return out
 
 
-class Trainer:
-    """Gradient steps with per-weight step sizes on one task's own copy of the weights."""
+class Gradients:
+    """Sums over one task's events at the shared weights: gradients and curvatures of the log likelihood."""
 
     def __init__(self, model: Model):
-        self.model = replace(model, weights=model.weights.copy())
-        self.squares = np.ones(len(model.weights), np.float32)
-        self.tokens = 0
+        self.model, self.tokens = model, 0
+        self.sums = np.zeros(len(model.weights), np.complex64)  # both numbers of a weight side by side
 
-    def step(self, keys: np.ndarray) -> None:
+    def add(self, keys: np.ndarray) -> None:
         self.tokens += len(keys)
         keys, counts = np.unique(keys, return_counts=True)
-        total = np.zeros(len(self.squares), np.float32)
-        for begin in range(0, len(keys), 1 << 12):
-            _, length, way, logit, places = _logits(self.model, keys[begin : begin + (1 << 12)])
-            miss = (1 / (1 + np.exp(-logit)) - way.astype(np.float32)) * np.repeat(counts[begin : begin + (1 << 12)].astype(np.float32), length)
-            for at in places:
-                np.add.at(total, at, miss)
-        for begin in range(0, len(total), 1 << 18):  # temporary arrays stay small
-            part = slice(begin, begin + (1 << 18))
-            self.squares[part] += total[part] ** 2
-            self.model.weights[part] -= np.float32(RATE) * total[part] / np.sqrt(self.squares[part])
+        counts = counts.astype(np.float32)
+        for begin in range(0, len(keys), CHUNK):
+            paths = Paths(self.model, keys[begin : begin + CHUNK])
+            some = counts[begin : begin + CHUNK][paths.order]
+            value = np.empty(len(some), np.complex64)
+            for n, way, logit, places in paths:
+                chance = 1 / (1 + np.exp(-logit))
+                value.real[:n] = some[:n] * (way - chance)
+                value.imag[:n] = some[:n] * (chance * (1 - chance))
+                for at in places:
+                    np.add.at(self.sums, at, value[:n])
+
+    def tables(self) -> np.ndarray:
+        """Two rows: gradients, curvatures."""
+        return np.stack([self.sums.real, self.sums.imag])
+
+
+def steps(tables: np.ndarray) -> np.ndarray:
+    """How far each weight moves, in the weights' unit: a damped Newton step, shrunk towards none where there is little evidence."""
+    gradient, curvature = tables.astype(np.float64)
+    return np.rint(np.clip(DAMP * gradient / (curvature + SHRINK), -MOST_MOVE, MOST_MOVE) * UNIT).astype(np.int16)
 
 
 def _batches_of_events(model: Model, batches: Iterator) -> Iterator[tuple[list, list[int], np.ndarray, np.ndarray, np.ndarray]]:
@@ -263,56 +285,72 @@ def _batches_of_events(model: Model, batches: Iterator) -> Iterator[tuple[list,
                 places, words, numbers, size = [], [], [], 0
 
 
-def train(documents: DataFrame, model: Model, text: str = "text", part: Column | None = None, rounds: int = ROUNDS) -> Model:
-    """The model after `rounds` rounds over the rows of documents; part (an integer column) deals rows to rounds."""
-    sc = documents.sparkSession.sparkContext
-    part = F.lit(0) if part is None else part
-    for number in range(rounds):
-        shared = sc.broadcast(model)
+def train(documents: DataFrame, model: Model, text: str = "text", rounds: int = ROUNDS) -> Model:
+    """The model after `rounds` gradient updates, each over all rows of documents.
+
+    A task sends 4 bytes for each weight, so tasks are joined until each has about as many tokens as there are weights.
+    """
+    spark = documents.sparkSession
+    rows = documents.select(text_bytes(text).alias("__text"))
+    most = max(spark.sparkContext.defaultParallelism, model.total >> model.bits)
+    rows = rows.coalesce(most)
+    schema = "block int, task long, data binary"
+    for _ in range(rounds):
+        shared = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator, shared=shared):
             import pyarrow as pa
-
-            base = shared.value
-            trainer = Trainer(base)
-            for _, _, _, flat, starts in _batches_of_events(base, batches):
-                trainer.step(events(flat, starts))
-            if trainer.tokens:
-                moved, seen = (np.array_split(x, BLOCKS) for x in _pack(trainer.model.weights - base.weights, trainer.squares))
-                yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([m.tobytes() for m in moved], pa.binary()), pa.array([s.tobytes() for s in seen], pa.binary())], ["block", "moved", "seen"])
-
-        rows = documents.where(F.pmod(part, F.lit(rounds)) == number) if rounds > 1 else documents
-        updates = rows.select(text_bytes(text).alias("__text")).mapInArrow(run, "block int, moved binary, seen binary")
-        summed = updates.groupBy("block").applyInArrow(_mean_update, "block int, moved binary").collect()
-        if summed:
-            step = np.concatenate([np.frombuffer(r["moved"], np.float32) for r in sorted(summed, key=lambda r: r.block)])
-            model = replace(model, weights=model.weights + step)
+            from pyspark import TaskContext
+
+            task = TaskContext.get().partitionId()
+
+            def out(sums):
+                for number, part in enumerate(np.array_split(_rounded(sums.tables()), BLOCKS, axis=1)):
+                    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([task], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["block", "task", "data"])
+
+            sums = Gradients(shared.value)
+            for _, _, _, flat, starts in _batches_of_events(shared.value, batches):
+                sums.add(events(flat, starts))
+            if sums.tokens:
+                yield from out(sums)
+
+        tables = rows.mapInArrow(run, schema)
+        tasks = most
+        while tasks > ADDED:  # at most some ADDED tables of a block are in one place
+            tables = tables.groupBy("block", F.floor(F.col("task") / ADDED).alias("group")).applyInArrow(_added, schema)
+            tasks = -(-tasks // ADDED)
+        parts = sorted(tables.groupBy("block").applyInArrow(_moved, "block int, data binary").collect(), key=lambda r: r.block)
+        if parts:
+            moved = model.weights.astype(np.int32) + np.concatenate([np.frombuffer(r.data, np.int16) for r in parts])
+            model = replace(model, weights=np.clip(moved, -(1 << 13), 1 << 13).astype(np.int16), blank=False)
         shared.unpersist()
     return model
 
 
-def _pack(moved: np.ndarray, squares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A task's update in steps of its root, and the evidence (root of the squares) in steps of its logarithm, 0 for none."""
-    steps = np.clip(np.rint(np.sqrt(np.abs(moved) / 8) * 127), 0, 127) * np.sign(moved)
-    logs = 64 + 6 * np.log2(np.maximum(squares - 1, 1e-9))
-    return steps.astype(np.int8), np.where(squares > 1, np.clip(np.rint(logs), 1, 255), 0).astype(np.uint8)
+def _rounded(tables: np.ndarray) -> np.ndarray:
+    """The upper half of float32 numbers, rounded to 8 bits of precision."""
+    bits = tables.astype(np.float32).view(np.uint32)
+    return ((bits + 0x7FFF + ((bits >> 16) & 1)) >> 16).astype(np.uint16)
 
 
-def _unpack(moved: bytes, seen: bytes) -> tuple[np.ndarray, np.ndarray]:
-    steps, logs = np.frombuffer(moved, np.int8).astype(np.float32), np.frombuffer(seen, np.uint8).astype(np.float32)
-    return np.sign(steps) * (steps / 127) ** 2 * 8, np.where(logs > 0, np.exp2((logs - 64) / 12), np.float32(0))
+def _sum_of(table) -> np.ndarray:
+    total = None
+    for data in table.column("data"):
+        part = (np.frombuffer(data.as_buffer(), np.uint16).astype(np.uint32) << 16).view(np.float32).reshape(2, -1)
+        total = part.astype(np.float64) if total is None else total + part
+    return total
 
 
-def _mean_update(key, table):
-    """The mean of the tasks' updates of a block, each weight's by the evidence seen for it."""
+def _added(key, table):
     import pyarrow as pa
 
-    total = weight = None
-    for moved, seen in zip(table.column("moved"), table.column("seen")):
-        moved, seen = _unpack(moved.as_buffer(), seen.as_buffer())
-        total, weight = (moved * seen, seen) if total is None else (total + moved * seen, weight + seen)
-    mean = total / np.maximum(weight, np.float32(1e-9))
-    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([mean.tobytes()], pa.binary())], names=["block", "moved"])
+    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int64()), pa.array([_rounded(_sum_of(table)).tobytes()], pa.binary())], names=["block", "task", "data"])
+
+
+def _moved(key, table):
+    import pyarrow as pa
+
+    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([steps(_sum_of(table)).tobytes()], pa.binary())], names=["block", "data"])
 
 
 def score(documents: DataFrame, counts: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -378,8 +416,11 @@ def learnt(doc_id: str = "doc_id") -> Column:
 
 
 def fit_and_score(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Scores every row by a model of the rows that are learnt from."""
+    """Scores every row by a model of the rows that are learnt from; see `score` for the columns.
+
+    Null texts are learnt as empty ones, rows with a null id are learnt from, and repeated rows count as often as
+    they stand there. Ties of words in frequency go to the word that sorts first. Other columns are not read.
+    """
     training = documents.where(learnt())
     counts = materialize(word_counts(training))
-    model = train(training, start(counts), part=F.xxhash64("doc_id", "text"))
-    return score(documents, counts, model, keep)
+    return score(documents, counts, train(training, start(counts)), keep)

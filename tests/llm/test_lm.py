@@ -1,6 +1,7 @@
 import math
 import zlib
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -48,14 +49,48 @@ def test_events_look_back_within_a_text_only():
     assert [(int(k) // o // o, int(k) // o % o, int(k) % o) for k in keys] == [(0, 0, 1), (0, 1, 2), (1, 2, 3), (0, 0, 4), (0, 0, 5), (0, 5, 0), (5, 0, 6)]
 
 
-def test_a_step_raises_the_probability_of_what_it_saw(spark):
+def test_an_update_raises_the_probability_of_what_it_saw(spark):
     counts = lm.word_counts(spark.createDataFrame(_rows(20), "doc_id long, text string"))
     model = lm.start(counts)
     keys = np.array([(3 * lm.OUTCOMES + 2) * lm.OUTCOMES + 9] * 50 + [(1 * lm.OUTCOMES + 2) * lm.OUTCOMES + 40] * 10)
-    trainer = lm.Trainer(model)
-    for _ in range(20):
-        trainer.step(keys)
-    assert (lm.log10_probability(trainer.model, keys) > lm.log10_probability(model, keys)).all()
+    sums = lm.Gradients(model)
+    sums.add(keys)
+    after = replace(model, weights=model.weights + lm.steps(sums.tables()), blank=False)
+    assert (lm.log10_probability(after, keys) > lm.log10_probability(model, keys)).all()
+
+
+def test_gradients_equal_plain_sums(spark):
+    rng = np.random.default_rng(2)
+    model = lm.start(lm.word_counts(spark.createDataFrame(_rows(40), "doc_id long, text string")))
+    model = replace(model, weights=rng.integers(-900, 900, len(model.weights)).astype(np.int16), blank=False)
+    keys = (rng.integers(0, 5, 300) * lm.OUTCOMES + rng.integers(0, 5, 300)) * lm.OUTCOMES + rng.integers(1, 30, 300)
+    gradient, curvature, logs = Counter(), Counter(), []
+    for key in keys.tolist():
+        total, own, context = 0.0, key % lm.OUTCOMES, key // lm.OUTCOMES
+        bits = f"{int(model.tree.code[own]):0{int(model.tree.length[own])}b}"
+        for (n, way, logit, places), bit, depth in zip(lm.Paths(model, np.array([key])), bits, range(99), strict=False):
+            plain = float(model.odds[model.tree.base[depth] + int(bits[:depth] or "0", 2)]) + sum(int(model.weights[at[0]]) for at in places) / lm.UNIT
+            assert n == 1 and way[0] == int(bit) and abs(plain - logit[0]) < 1e-4
+            chance = 1 / (1 + math.exp(-plain))
+            total += math.log10(chance if way[0] else 1 - chance)
+            for at in places:
+                gradient[int(at[0])] += int(bit) - chance
+                curvature[int(at[0])] += chance * (1 - chance)
+        logs.append(total)
+    sums = lm.Gradients(model)
+    sums.add(keys[:120])
+    sums.add(keys[120:])
+    for row, want in zip(sums.tables(), (gradient, curvature)):
+        assert np.allclose(row[list(want)], list(want.values()), atol=1e-3) and np.count_nonzero(row) <= len(want)
+    assert np.allclose(lm.log10_probability(model, keys), logs, atol=1e-4)
+
+
+def test_the_model_does_not_depend_on_the_split(spark, monkeypatch):
+    monkeypatch.setattr(lm, "ADDED", 2)  # tables are added up in several levels
+    rows = spark.createDataFrame(_rows(80), "doc_id long, text string")
+    model = lm.start(lm.word_counts(rows))
+    one, many = (lm.train(rows.repartition(n), replace(model, total=99 << 30)).weights for n in (1, 7))
+    assert np.abs(one).max() > lm.UNIT and np.abs(one.astype(int) - many).max() < 0.03 * lm.UNIT
 
 
 def test_empty_table(spark):
