@@ -78,7 +78,7 @@ def spoken(segments: DataFrame, engine: Speech, *keys: str, text: str = "text",
     from pyspark.sql.types import ArrayType, FloatType, StructType
 
     schema = StructType([segments.schema[k] for k in keys])
-    for name, kind in (("samples", ArrayType(FloatType())), ("rate", "int"), ("duration_ms", "long"), ("error", "string")):
+    for name, kind in (("samples", ArrayType(FloatType())), ("rate", "integer"), ("duration_ms", "long"), ("error", "string")):
         schema = schema.add(name, kind)
 
     def run(batches):
