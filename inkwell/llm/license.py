@@ -49,7 +49,8 @@ LICENCES = (
     ("gpl", "gnu", "gnu gpl(?: ?v?[123](?: 0)?)?"),
     ("gpl", "gpl", "gpl ?v?[123](?: 0)?(?: or later| only)?"),
     ("isc", "isc", "isc licen[cs]e"),
-    ("lgpl", "lesser", "(?:gnu )?(?:lesser|library) general public licen[cs]e"),
+    ("lgpl", "lesser", "(?:gnu )?lesser general public licen[cs]e"),
+    ("lgpl", "library", "(?:gnu )?library general public licen[cs]e"),
     ("lgpl", "lgpl", "lgpl(?: ?v?[23](?: [01])?)?"),
     ("libpng", "libpng", "(?:zlib )?libpng licen[cs]e"),
     ("mit", "mit", "mit(?: x11)? licen[cs]e"),
@@ -78,54 +79,204 @@ LICENCES = (
     ("zlib", "zlib", "zlib licen[cs]e"),
     ("zpl", "zope", "zope public licen[cs]e"),
 )
+# Identifiers after an SPDX tag, as (label, identifier) in lower-case words.
+SPDX = (
+    ("0bsd", "0bsd"),
+    ("afl", "afl [123] [012]"),
+    ("agpl", "agpl [13] 0(?: only| or later)?"),
+    ("apache", "apache [12] [01]"),
+    ("artistic", "artistic [12] 0(?: perl| cl8)?"),
+    ("blueoak", "blueoak 1 0 0"),
+    ("bsd", "bsd [1234] clause(?: [a-z]+)?"),
+    ("bsl", "bsl 1 0"),
+    ("busl", "busl 1 1"),
+    ("cc-by", "cc by [1-4] [05]"),
+    ("cc-by-nc", "cc by nc [1-4] [05]"),
+    ("cc-by-nc-nd", "cc by nc nd [1-4] [05]"),
+    ("cc-by-nc-sa", "cc by nc sa [1-4] [05]"),
+    ("cc-by-nd", "cc by nd [1-4] [05]"),
+    ("cc-by-sa", "cc by sa [1-4] [05]"),
+    ("cc0", "cc0 1 0"),
+    ("cddl", "cddl 1 [01]"),
+    ("cecill", "cecill(?: [abc12])?(?: [01])?"),
+    ("cpl", "cpl 1 0"),
+    ("curl", "curl"),
+    ("ecl", "ecl [12] 0"),
+    ("elastic", "elastic 2 0"),
+    ("epl", "epl [12] 0"),
+    ("eupl", "eupl 1 [012]"),
+    ("fsl", "fsl 1 1 (?:mit|apache 2 0)"),
+    ("ftl", "ftl"),
+    ("gfdl", "gfdl 1 [123](?: only| or later)?"),
+    ("gpl", "gpl [123] 0(?: only| or later)?(?: with [a-z]+ exception(?: [0-9] [0-9])?)?"),
+    ("hpnd", "hpnd"),
+    ("icu", "icu"),
+    ("ijg", "ijg"),
+    ("ipl", "ipl 1 0"),
+    ("isc", "isc"),
+    ("lgpl", "lgpl [23] [01](?: only| or later)?"),
+    ("libpng", "libpng(?: 2 0)?"),
+    ("lppl", "lppl 1 [0123][ac]?"),
+    ("mit", "mit(?: 0| cmu| modern variant)?"),
+    ("mpl", "mpl [12] [01](?: no copyleft exception)?"),
+    ("ms-pl", "ms pl"),
+    ("ms-rl", "ms rl"),
+    ("mulanpsl", "mulanpsl [12] 0"),
+    ("ncsa", "ncsa"),
+    ("odbl", "odbl 1 0"),
+    ("odc-by", "odc by 1 0"),
+    ("ofl", "ofl 1 [01](?: no rfn| rfn)?"),
+    ("openssl", "openssl"),
+    ("osl", "osl [123] [01]"),
+    ("pddl", "pddl 1 0"),
+    ("php", "php 3 0(?: 1)?"),
+    ("postgresql", "postgresql"),
+    ("psf", "psf 2 0|python 2 0(?: 1)?"),
+    ("qpl", "qpl 1 0"),
+    ("ruby", "ruby"),
+    ("sspl", "sspl 1 0"),
+    ("tcl", "tcl"),
+    ("unicode", "unicode (?:3 0|dfs 201[56]|tou)"),
+    ("unlicense", "unlicense"),
+    ("upl", "upl 1 0"),
+    ("vim", "vim"),
+    ("w3c", "w3c(?: 19980720| 20150513)?"),
+    ("wtfpl", "wtfpl"),
+    ("x11", "x11"),
+    ("zlib", "zlib(?: acknowledgement)?"),
+    ("zpl", "zpl [12] [01]"),
+)
+# Addresses of licence texts as (label, keyword, address).
+ADDRESSES = (
+    ("agpl", "licenses", "gnu org licenses agpl(?: 3 0)?"),
+    ("apache", "apache", "apache org licenses license 2 0"),
+    ("bsd", "opensource", "opensource org licenses? bsd(?: license| [23] clause)"),
+    ("bsl", "boost", "boost org license 1 0(?: txt)?"),
+    ("cc-by", "creativecommons", "creativecommons org licenses by [1-4] [05]"),
+    ("cc-by-nc", "creativecommons", "creativecommons org licenses by nc [1-4] [05]"),
+    ("cc-by-nc-nd", "creativecommons", "creativecommons org licenses by nc nd [1-4] [05]"),
+    ("cc-by-nc-sa", "creativecommons", "creativecommons org licenses by nc sa [1-4] [05]"),
+    ("cc-by-nd", "creativecommons", "creativecommons org licenses by nd [1-4] [05]"),
+    ("cc-by-sa", "creativecommons", "creativecommons org licenses by sa [1-4] [05]"),
+    ("cc0", "creativecommons", "creativecommons org publicdomain zero 1 0"),
+    ("epl", "eclipse", "eclipse org legal epl(?: v?[12]0| [12] 0)"),
+    ("gfdl", "licenses", "gnu org licenses fdl(?: 1 [123])?"),
+    ("gpl", "licenses", "gnu org licenses (?:gpl|old licenses gpl 2 0)(?: 3 0)?"),
+    ("isc", "opensource", "opensource org licenses? isc"),
+    ("lgpl", "licenses", "gnu org licenses (?:lgpl|old licenses lgpl 2 1)(?: 3 0)?"),
+    ("mit", "opensource", "opensource org licenses? mit(?: license)?"),
+    ("mpl", "mozilla", "mozilla org (?:en us )?mpl(?: 2 0)?"),
+    ("odbl", "licenses", "opendatacommons org licenses odbl"),
+    ("ofl", "scripts", "scripts sil org ofl"),
+    ("unlicense", "unlicense", "unlicense org"),
+    ("wtfpl", "wtfpl", "wtfpl net"),
+)
 # Sentences of licence texts as (label, keyword, sentence).
 NOTICES = (
-    ("apache", "kind", "without warranties or conditions of any kind either express or implied see the license for the specific language"),
+    ("afl", "academic", "licensed under the academic free license version [123] [012]"),
+    ("agpl", "affero", "under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("agpl", "remote", "offer all users interacting with it remotely through a computer network"),
+    ("apache", "warranties", "without warranties or conditions of any kind either express or implied see the license for the specific language"),
     ("apache", "compliance", "you may not use this file except in compliance with the license"),
-    ("bsd", "binary", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("apache", "licensed", "licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("artistic", "perl", "under the same terms as perl itself|perl artistic license"),
+    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "redistributions", "redistributions of source code must retain the above copyright notice"),
+    ("bsd", "redistributions", "redistributions in binary form must reproduce the above copyright notice"),
     ("bsd", "endorse", "be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd", "advertising", "all advertising materials mentioning features or use of this software must display"),
     ("bsl", "boost", "distributed under the boost software license version 1 0"),
+    ("bsl", "machine", "solely in the form of machine executable object code generated by a source language processor"),
+    ("busl", "change", "change license (?:apache|gpl|mpl)"),
+    ("cc-by", "attribution", "creative commons attribution [1-4] 0 (?:international|unported|generic)"),
+    ("cc-by-nc-sa", "attribution", "creative commons attribution noncommercial sharealike [1-4] 0"),
+    ("cc-by-sa", "attribution", "creative commons attribution sharealike [1-4] 0"),
     ("cc0", "waived", "has waived all copyright and related or neighboring rights"),
+    ("cc0", "dedicated", "(?:has )?dedicated th(?:e|is) work to the public domain"),
+    ("cddl", "common", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("cecill", "cecill", "governed by the cecill(?: [abc])? license under french law"),
+    ("epl", "eclipse", "made available under the terms of the eclipse public license"),
+    ("eupl", "eupl", "licensed under the eupl"),
+    ("gfdl", "invariant", "with no invariant sections no front cover texts and no back cover texts"),
     ("gpl", "redistribute", "this program is free software you can redistribute it and or modify it"),
+    ("gpl", "redistribute", "this file is free software you can redistribute it and or modify it"),
     ("gpl", "merchantability", "without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license"),
-    ("isc", "fee", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("lgpl", "library", "this library is free software you can redistribute it and or modify it"),
+    ("gpl", "received", "you should have received a copy of the gnu general public license"),
+    ("gpl", "published", "gnu general public license as published by the free software foundation"),
+    ("isc", "granted", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "disclaims", "author disclaims all warranties with regard to this software"),
+    ("lgpl", "redistribute", "this library is free software you can redistribute it and or modify it"),
+    ("lgpl", "received", "you should have received a copy of the gnu (?:lesser|library) general public license"),
+    ("lppl", "latex", "distributed and or modified under the conditions of the latex project public license"),
     ("mit", "granted", "permission is hereby granted free of charge to any person obtaining a copy"),
     ("mit", "substantial", "this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "limitation", "without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies"),
+    ("mit", "liable", "in no event shall the authors or copyright holders be liable for any claim"),
     ("mpl", "mozilla", "this source code form is subject to the terms of the mozilla public license"),
+    ("mpl", "mozilla", "the contents of this file are subject to the mozilla public license version 1 [01]"),
+    ("ms-pl", "microsoft", "subject to the microsoft public license"),
+    ("odbl", "database", "made available under the open database license"),
     ("ofl", "font", "this font software is licensed under the sil open font license"),
+    ("ofl", "reserved", "with reserved font name"),
+    ("openssl", "openssl", "this product includes software developed by the openssl project"),
+    ("php", "php", "subject to version [23] 0(?: 1)? of the php license"),
     ("proprietary", "rights", "all rights reserved"),
     ("proprietary", "confidential", "(?:proprietary and confidential|confidential and proprietary)"),
+    ("proprietary", "unauthorized", "unauthorized copying of this file via any medium is strictly prohibited"),
+    ("psf", "python", "psf is making python available to licensee"),
     ("public-domain", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("public-domain", "public", "(?:placed|released|put) (?:in|into|to) the public domain"),
+    ("sspl", "server", "server side public license version 1"),
     ("unlicense", "unlicense", "for more information please refer to https? unlicense org"),
     ("wtfpl", "fuck", "do what the fuck you want to public license"),
+    ("x11", "consortium", "the name of the x consortium shall not be used in advertising"),
     ("zlib", "misrepresented", "altered source versions must be plainly marked as such and must not be misrepresented"),
+    ("zlib", "misrepresented", "the origin of this software must not be misrepresented"),
+    ("zlib", "implied", "this software is provided as is without any express or implied warranty"),
+    ("zpl", "zope", "subject to the provisions of the zope public license"),
 )
-# How a licence is referred to, as (priority, weight, words before, words after) around its name.
-FORMS = (
-    (3, 1.0, "spdx license identifier ", "(?: or later| only)?"),
-    (2, 0.95, "(?:is |are )?(?:dual )?licensed under (?:the )?(?:terms of (?:the )?)?", ""),
-    (2, 0.9, "(?:is |are )?(?:re)?(?:released|distributed|published|available|shared|provided) under (?:the )?(?:terms of (?:the )?)?", ""),
-    (2, 0.85, "(?:subject to|governed by|see|under|accept) the (?:terms of the )?", "(?: agreement| text| file)?"),
-    (1, 0.7, "", ""),
+# What grants a licence, before its name.
+GRANT = (
+    "(?:(?:dual |triple )?(?:re)?licen[cs]ed|released|distributed|published|available|shared|provided|covered|governed|subject) (?:under|by|to) "
+    "(?:the )?(?:terms (?:and conditions )?(?:of|in) (?:the )?)?(?:either the )?"
 )
+#: What stands before an identifier: the tag, and up to eight words that join other identifiers to this one. Java asks
+#: for look-behinds of bounded length, so the words are spelt out.
+TAG = " spdx license identifiers? (?:" + "(?:[a-z0-9]{1,24} )?" * 7 + "[a-z0-9]{1,24} (?:or|and) )?"
 # The phrases that always count, with their labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-#: A text without any of these words has no detection: every rule and base phrase contains one.
-GATE = r" (?:licen[cs]e[ds]?|unlicense|identifier|under|cc0?|zero|a?gpl|lgpl|gnu|bsd|cddl|cecill|epl|eupl|gfdl|mpl|odbl|ofl|public|wtfpl|apache|sspl(?: ?v?1)?|agpl ?v?3|lgpl ?v?[23]|gpl ?v?[123]|affero|attribution|reserved|confidential|granted|permitted|permission|redistribute|warranty|warranties|waived|misrepresented|artistic) "
+#: A text without a word that begins like this has no detection: every match and base phrase has one. Words share
+#: their first letters here, so that most words are dismissed at the first.
+GATE = (
+    r" (?:licen[cs]|a(?:cademic|dvertising|gpl|pache|ffero|rtistic|ttribution)|b(?:oost org|sd|usl)|c(?:c|ddl|ecill|onfidential|reativecommons|reative commons)|dedicated|e(?:clipse|pl|upl)"
+    r"|endorse|fuck|g(?:fdl|pl|nu|ranted)|invariant|l(?:gpl|iable|atex|imitation)|m(?:achine|erchantability|isrepresented|ozilla|pl)|o(?:dbl|fl|penssl)|p(?:ermi[st]|sf|ublic domain|erl)"
+    r"|re(?:distrib|motely|served)|s(?:cripts sil|ource|pdx|spl|ubstantial)|un(?:authorized|licen)|w(?:tfpl|arrant|aived))"
+)
 
 
 def rules() -> list[tuple[str, str, int, float, str]]:
-    """(label, keyword, priority, weight, expression) of every rule: each licence in each form, and each notice."""
-    out = [(label, keyword, priority, weight, f"(?<= ){before}{name}{after}(?= )") for label, keyword, name in LICENCES for priority, weight, before, after in FORMS]
-    return out + [(label, keyword, 3, 0.95, f"(?<= ){text}(?= )") for label, keyword, text in NOTICES]
+    """(label, keyword, priority, weight, expression) of every rule.
+
+    In order of priority: SPDX identifiers, addresses and sentences of licence texts (3), grants of a named licence
+    (2), and names alone (1).
+    """
+
+    def whole(text, after=""):
+        # What stands before is looked at where the words themselves have been found, which is rare.
+        return f"(?<= )(?:{text})(?= )" + (f"(?<={after}(?:{text}))" if after else "")
+
+    out = [(label, "spdx", 3, 1.0, whole(text, TAG)) for label, text in SPDX]
+    out += [(label, keyword, 3, 0.95, whole(text)) for label, keyword, text in NOTICES]
+    out += [(label, keyword, 3, 0.9, whole(text)) for label, keyword, text in ADDRESSES]
+    out += [(label, keyword, 2, 0.9, whole(name, GRANT)) for label, keyword, name in LICENCES]
+    return out + [(label, keyword, 1, 0.7, whole(name)) for label, keyword, name in LICENCES]
 
 
 def normal_words(text: str | Column = "text") -> Column:
     """The text's words, [a-z0-9] and all non-ASCII characters after lower-casing A-Z, one space around each."""
     raw = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     # lower() also folds other letters; only two of them would become ASCII, and such texts are folded sign by sign.
-    low = F.when(raw.rlike("[Kİ]"), F.translate(raw, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(F.lower(raw))
+    low = F.when(F.contains(raw, F.lit("\u212a")) | F.contains(raw, F.lit("\u0130")), F.translate(raw, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(F.lower(raw))
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), F.lit(" "))
 
 
@@ -133,6 +284,14 @@ def _spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
+def _any_of(words) -> str:
+    """An expression for the longest of the words, by their first letters."""
+    by_letter: dict[str, set[str]] = {}
+    for word in words:
+        by_letter.setdefault(word[0], set()).add(word[1:])
+    return "|".join(f"{letter}(?:{'|'.join(sorted(rest, key=lambda w: (-len(w), w)))})" for letter, rest in sorted(by_letter.items()))
+
+
 def _rule_table() -> Column:
     return F.array(*(F.struct(F.lit(label).alias("label"), F.lit(keyword).alias("keyword"), F.lit(priority).alias("priority"), F.lit(weight).alias("weight"), F.lit(text).alias("expression")) for label, keyword, priority, weight, text in rules()))
 
@@ -152,7 +311,9 @@ def _detections(words: Column) -> Column:
 
         return F.when(F.size(matches) > 0, F.aggregate(F.sequence(F.lit(1), F.size(matches)), start, step, lambda acc: acc["found"])).otherwise(start["found"])
 
-    table = F.filter(_rule_table(), lambda r: F.contains(words, F.concat(F.lit(" "), r["keyword"])))
+    # One pass finds the keywords, the longest at each word; what a shorter one begins, it begins too.
+    present = F.array_distinct(F.regexp_extract_all(words, F.lit(f" ({_any_of(r[1] for r in rules())})"), F.lit(1)))
+    table = F.transform(F.array(present), lambda has: F.filter(_rule_table(), lambda r: F.exists(has, lambda k: F.startswith(k, r["keyword"]))))[0]
     return F.flatten(F.transform(table, of_rule))
 
 

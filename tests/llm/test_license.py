@@ -1,5 +1,7 @@
 import re
 
+import regex
+
 from inkwell.llm import license
 
 TEXTS = [
@@ -22,7 +24,7 @@ def _brute(text):
                 places.append(i)
                 labels.add(label)
     form = " " + " ".join(words) + " "
-    found = [(m.start(), m.end(), label, priority, weight) for label, _, priority, weight, text in license.rules() for m in re.finditer(text, form)]
+    found = [(m.start(), m.end(), label, priority, weight) for label, _, priority, weight, text in license.rules() for m in regex.finditer(text, form)]
     inside = lambda a, b: b[0] <= a[0] and a[1] <= b[1] and b[3] >= a[3] and (b[:2] != a[:2] or b[3] > a[3] or (b[2], b[4]) < (a[2], a[4]))
     kept = [a for a in set(found) if not any(inside(a, b) for b in set(found))]
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | {k[2] for k in kept})), max((k[4] for k in kept), default=0.0)
@@ -39,17 +41,49 @@ def test_equals_brute_force(spark):
         assert by_id[i][0] == _brute(text), (text or "")[:60]
 
 
-def test_hundreds_of_rules_and_the_gate_passes_all():
-    assert len(license.rules()) > 300
-    assert len({r[4] for r in license.rules()}) == len(license.rules())
-    for label, keyword, name in license.LICENCES:
-        assert keyword in name, (label, keyword)
-    gate = re.compile(license.GATE)
-    for text in TEXTS:
-        n, base, *_, labels, _ = _brute(text)
-        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
-        form = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)) + " "
-        assert not labels or gate.search(form), text
+def _examples(tree):
+    """Texts of an expression: the shortest, the longest, and one for each branch and each repetition taken or not."""
+    out = [""]
+    for op, value in tree:
+        name = str(op)
+        if name in ("ASSERT", "AT"):
+            continue
+        if name == "LITERAL":
+            some = [chr(value)]
+        elif name == "IN":
+            some = [chr(v if str(o) == "LITERAL" else v[0]) for o, v in value]
+        elif name == "BRANCH":
+            some = [t for part in value[1] for t in _examples(part)]
+        elif name == "SUBPATTERN":
+            some = _examples(value[3])
+        elif name == "MAX_REPEAT":
+            low, high, part = value
+            some = [t * n for n in sorted({low, max(low, min(high, 2)) if high > 1 else high}) for t in _examples(part)]
+        else:
+            raise ValueError(name)
+        out = [out[i % len(out)] + some[i % len(some)] for i in range(max(len(out), len(some)))] + [out[-1] + t for t in some[:6]]
+    return list(dict.fromkeys(out))[:60]
+
+
+def test_every_rule_is_found_in_examples_of_its_own(spark):
+    rules = license.rules()
+    assert len(rules) > 250 and len({r[4] for r in rules}) == len(rules)
+    gate, texts = re.compile(license.GATE), []
+    for label, keyword, priority, _, expression in rules:
+        lead = "spdx license identifier " if keyword == "spdx" else "licensed under the " if priority == 2 else ""
+        found = [lead + text for text in _examples(re._parser.parse(expression))]
+        assert found
+        for text in found:
+            form = f" some {text} text "
+            assert regex.search(expression, form), (expression, text)
+            assert gate.search(form), (label, text)
+            assert f" {keyword}" in form, (keyword, text)
+        texts += found[:2] + found[-2:]
+    for phrase, _ in license.BASE:
+        assert gate.search(f" {phrase} ")
+    got = _scan(spark, texts)
+    for i, text in enumerate(texts):
+        assert got[i] == _brute(text) and got[i][5], text
 
 
 def test_empty_table(spark):
@@ -69,9 +103,12 @@ def test_versions_glued_to_the_name_are_found(spark):
         assert got[i] == _brute(text) and got[i][5], text
 
 
-def test_every_match_begins_a_word_with_its_keyword():
-    for label, keyword, *_, expression in license.rules():
-        assert re.search(rf"(?:^|[ )?:(|]){keyword}", expression), (label, keyword)
+def test_identifiers_after_an_spdx_tag(spark):
+    want = {"MIT": "mit", "Apache-2.0": "apache", "(MIT OR Apache-2.0)": "apache,mit", "GPL-3.0-or-later": "gpl", "LGPL-2.1-only": "lgpl", "BSD-3-Clause": "bsd", "ISC": "isc", "0BSD": "0bsd", "CC-BY-SA-4.0": "cc-by,cc-by-sa", "Zlib": "zlib", "Unlicense": "unlicense"}
+    texts = [f"// SPDX-License-Identifier: {name}\nint main" for name in want]
+    got = _scan(spark, texts)
+    for i, (text, labels) in enumerate(zip(texts, want.values())):
+        assert got[i] == _brute(text) and set(labels.split(",")) <= set(got[i][5].split(",")) and got[i][6] == 1.0, (text, got[i])
 
 
 def test_line_separators_do_not_hide_phrases(spark):
