@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import SHINGLE_WORDS, Forest, WordHash, ascii_words, connected_components, materialize, scratch_write, shingle_set, text_bytes
+from inkwell.llm.common import SHINGLE_WORDS, Forest, WordHash, ascii_words, connected_components, discard, scratch_write, shingle_set, text_bytes
 
 #: Bits of the table of shingle counts, and of the table that marks documents whose sets are needed.
 COUNT_BITS, MARK_BITS = 20, 24
@@ -32,6 +32,8 @@ BLOCK_DOCS, BLOCK_SHINGLES = 64, 1 << 18
 PART = 1000
 #: How often the members of a hub follow it to another, and documents with a shingle that are a crowd.
 FOLLOWED, CROWD = 3, 16
+#: A shingle may be hot if its bucket has so many documents and so many times the mean; its rows are dealt over SALTS.
+HOT_ROWS, HOT_TIMES, SALTS = 1000, 16, 1024
 
 
 def _bucket(shingles: np.ndarray) -> np.ndarray:
@@ -90,7 +92,8 @@ def _heavy(counted: DataFrame) -> Broadcast:
 
 
 def prefixes(documents: DataFrame, shared: Broadcast, key: str, text: str) -> DataFrame:
-    """(token, doc, n): the prefix shingles of each set; of equal sets in a part of a batch, those of the smallest id."""
+    """(token, doc, n, hot): the prefix shingles of each set; of equal sets in a part of a batch, those of the smallest id."""
+    least_hot = max(HOT_ROWS, HOT_TIMES * float(shared.value.mean()))
 
     def run(batches: Iterator):
         import pyarrow as pa
@@ -107,9 +110,10 @@ def prefixes(documents: DataFrame, shared: Broadcast, key: str, text: str) -> Da
                 some = list(least.values())[begin : begin + 500]
                 tokens = [ordered(sets[i], shared.value)[: prefix_length(len(sets[i]))] for i in some]
                 lengths = [len(t) for t in tokens]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array([ids[i] for i in some], np.int64), lengths)), pa.array(np.repeat(np.array([len(sets[i]) for i in some], np.int64), lengths))], ["token", "doc", "n"])
+                flat = np.concatenate(tokens)
+                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(np.repeat(np.array([ids[i] for i in some], np.int64), lengths)), pa.array(np.repeat(np.array([len(sets[i]) for i in some], np.int64), lengths)), pa.array(shared.value[_bucket(flat)] >= least_hot)], ["token", "doc", "n", "hot"])
 
-    return _read(documents, key, text).mapInArrow(run, "token long, doc long, n long")
+    return _read(documents, key, text).mapInArrow(run, "token long, doc long, n long, hot boolean")
 
 
 def _marked_sets(documents: DataFrame, wanted: DataFrame, heavy: Broadcast, key: str, text: str) -> DataFrame:
@@ -244,19 +248,31 @@ def components(documents: DataFrame, key: str = "doc_id", text: str = "text", ha
     are one document: what links one of them links all. Other columns are not read; an empty table gives an empty
     result.
     """
-    spark = documents.sparkSession
+    spark, made = documents.sparkSession, []
+
+    def materialize(df: DataFrame) -> DataFrame:
+        made.append(scratch_write(df))
+        return spark.read.parquet(made[-1])
+
     root = scratch_write(fingerprints(documents, key, text), "kind")
     table = spark.read.schema("kind int, a long, b long, c long, n long, h long").parquet(root)
     rows = table.where("kind = 0").select("a", "b", "c", "n", "h")
     heavy = _heavy(table.where("kind = 1"))
     classes = materialize(rows.where("n > 0 and a is not null").groupBy("b", "c").agg(F.min("a").alias("doc"), F.first("n").alias("n")))
+    kept = [made.pop()]
     # A key that several classes have, as it was given with several texts, links them.
     repeated = rows.join(classes.select("b", "c", "doc"), ["b", "c"]).where("a <> doc").join(classes.select(F.col("doc").alias("a")), "a", "left_semi").select("a", F.col("doc").alias("b"))
-    # Prefix shingles that at least two classes have.
-    first = prefixes(documents, heavy, key, text).withColumn("m", F.count("*").over(Window.partitionBy("token"))).where("m > 1").drop("m")
+    # Prefix shingles that at least two classes have. Those that may be hot are dealt by salt here and counted below.
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc"), F.lit(SALTS))).otherwise(0).alias("salt")
+    first = prefixes(documents, heavy, key, text).select("*", salt).withColumn("m", F.count("*").over(Window.partitionBy("token", "salt"))).where("hot or m > 1").drop("m", "salt")
     first = materialize(first.join(classes.select("doc").distinct(), "doc", "left_semi"))
     by_token = Window.partitionBy("token")
-    tokens = materialize(first.select("*", F.count("*").over(by_token).alias("m"), F.min("doc").over(by_token).alias("hub"), F.sum(F.xxhash64("doc").cast("decimal(20,0)")).over(by_token).cast("string").alias("sign")).where("m > 1"))
+    sign = F.xxhash64("doc").cast("decimal(20,0)")
+    cold = first.where("not hot").select("token", "doc", "n", F.count("*").over(by_token).alias("m"), F.min("doc").over(by_token).alias("hub"), F.sum(sign).over(by_token).cast("string").alias("sign"))
+    # Hot ones are added up before they are shuffled, and come back by a join that Spark can split.
+    sums = first.where("hot").groupBy("token").agg(F.count("*").alias("m"), F.min("doc").alias("hub"), F.sum(sign).cast("string").alias("sign")).where("m > 1")
+    warm = first.where("hot").select("token", "doc", "n").join(sums, "token").select("token", "doc", "n", "m", "hub", "sign")
+    tokens = materialize(cold.where("m > 1").union(warm))
     # Each class joins the hub that most of its shared shingles have.
     votes = tokens.groupBy("doc", "n", "hub").agg(F.count("*").alias("v"))
     ranked = F.max(F.struct("v", (-F.col("hub")).alias("minus")))
@@ -279,7 +295,7 @@ def components(documents: DataFrame, key: str = "doc_id", text: str = "text", ha
     sparse = materialize(groups.join(alike, "token").select("token", "weight", "doc", "n", "g", "component"))
     # Families of copies that lie across clusters gather once more, around the hubs of their large shared groups;
     # documents that share less than a tenth of their prefix there are no family.
-    crowds = sparse.withColumn("crowd", F.count("*").over(by_token)).withColumn("hub", F.min("doc").over(by_token)).where(F.col("crowd") >= CROWD)
+    crowds = sparse.join(sparse.groupBy("token").agg(F.count("*").alias("crowd"), F.min("doc").alias("hub")).where(F.col("crowd") >= CROWD), "token")
     again = crowds.groupBy("doc", "n", "hub").agg(F.sum("weight").alias("v")).groupBy("doc", "n").agg(F.max(F.struct("v", (-F.col("hub")).alias("minus"))).alias("b"))
     again = materialize(again.where(10 * F.col("b.v") >= F.expr("n div 5 + 1")).select("doc", "n", (-F.col("b.minus")).alias("g")))
     across = materialize(_block_pairs(again))
@@ -298,7 +314,10 @@ def components(documents: DataFrame, key: str = "doc_id", text: str = "text", ha
         wide = pairs.join(pairs.groupBy("doc_a").agg(F.ceil(F.count("*") / BLOCK_DOCS).alias("parts")), "doc_a").select(F.col("doc_a").alias("g"), F.pmod(F.xxhash64("doc_b"), F.col("parts")).cast("int").alias("h"), F.lit(0).alias("i"), "doc_b")
         outer = materialize(wide.select("g", "h", "i", F.explode(F.array(F.struct(F.col("g").alias("doc"), F.lit(0).alias("side")), F.struct(F.col("doc_b").alias("doc"), F.lit(1).alias("side")))).alias("e")).select("g", "h", "i", "e.*").distinct())
         more = materialize(_links_of_blocks(outer, _marked_sets(documents, outer.select("doc"), heavy, key, text), heavy))
-        joined = materialize(connected_components(links.union(more)))
+        joined = connected_components(links.union(more))
+    kept.append(scratch_write(joined))
+    joined = spark.read.parquet(kept[-1])
+    discard(spark, *made)
     named = classes.join(joined, classes.doc == joined.id, "left").select("b", "c", F.coalesce("component", "doc").alias("component_id"))
     out = rows.join(named, ["b", "c"], "left")
     return out.select(F.col("a").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("a").isNotNull() & (F.col("n") > 0), F.coalesce("component_id", "a")).otherwise(F.col("a")).alias("component_id"), *([F.col("h").alias("__h")] if hashed else []))
