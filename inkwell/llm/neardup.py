@@ -163,17 +163,22 @@ def labels(near: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
     and columns are the same vectors.
     """
     none = len(near)
-    rows = np.arange(none)
+    rows, columns = np.arange(none), np.full(near.shape[1], none)
+    r, c = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+    if not len(r):
+        return rows, columns
+    some, own = near[np.ix_(r, c)], r.astype(np.int16 if none < 1 << 15 else np.int32)
+    beyond = np.iinfo(own.dtype).max
     while True:
-        columns = np.where(near, rows[:, None], none).min(0, initial=none)
+        across = np.where(some, own[:, None], beyond).min(0)
+        new = np.minimum(own, np.where(some, across[None, :], beyond).min(1))
         if same:
-            new = np.minimum(rows, columns)
-        else:
-            new = np.minimum(rows, np.where(near, columns[None, :], none).min(1, initial=none))
-        new = new[new]
-        if (new == rows).all():
+            new = np.minimum(new, across)
+        new = new[np.searchsorted(r, new)]
+        if (new == own).all():
+            rows[r], columns[c] = own, across
             return rows, columns
-        rows = new
+        own = new
 
 
 def _join_blocks(pairs: DataFrame, dtype: str, width: int, cosine: float) -> DataFrame:
