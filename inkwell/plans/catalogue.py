@@ -11,6 +11,7 @@ from inkwell.functions import text as T
 from inkwell.functions import urls as U
 from inkwell.operators import characters as C
 from inkwell.operators import classify, dialogue, ledger, requests, review, web
+from inkwell.operators import names as N
 from inkwell.operators import segments as S
 from inkwell.plans.inputs import DECORATED, LINE_KIND, SPEAKER
 from inkwell.sources import files, sinks
@@ -205,7 +206,7 @@ def gender_inference(spark, sf_dir):
 SELECT doc_id, count(*) AS mentions, CAST(min(pos) AS INTEGER) AS first FROM ({S_SQL}) WHERE contains(sentence, 'Alice') GROUP BY doc_id""")
 def mention_counts(spark, sf_dir):
     names = table(spark, sf_dir, "documents").select("doc_id", F.lit("Alice").alias("name"))
-    return C.mentions(sentences(spark, sf_dir), names).groupBy("doc_id").agg(F.count("*").alias("mentions"), F.min("pos").alias("first"))
+    return N.mentions(sentences(spark, sf_dir), names).groupBy("doc_id").agg(F.count("*").alias("mentions"), F.min("pos").alias("first"))
 
 
 _PRON = "|".join(sorted({p for ps in C.PRONOUNS.values() for p in ps}))
@@ -228,14 +229,14 @@ _NAMES = "list_distinct(regexp_extract_all({}, '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]
 @query("name_candidates", f"""
 WITH s AS ({S_SQL}), t AS (SELECT doc_id, sentence, list_transform(string_split(regexp_replace({WS.format('lower(sentence)')}, '\\s+', ' ', 'g'), ' '), lambda w: regexp_replace(w, '[^\\p{{L}}\\p{{N}}_]', '', 'g')) AS w FROM s),
 p AS (SELECT doc_id, w, unnest({_NAMES.format(_PLAIN.format('sentence'))}) AS name FROM t),
-plain AS (SELECT doc_id, name FROM p WHERE lower(name) NOT IN {_WORDS(C.COMMON)} AND length(name) > 1 AND len(list_filter(string_split_regex(lower(name), '\\s+'), lambda x: x NOT IN {_WORDS(C.NOT_NAMES)})) > 0
- AND len(list_filter(range(1, len(w) + 1), lambda i: w[i] = lower(name) AND (i > 1 AND coalesce(w[i - 1], '') IN {_WORDS(C.PLACES)} OR coalesce(w[i + 1], '') IN {_WORDS(C.ROLES)}))) = 0),
-titled AS (SELECT doc_id, unnest(regexp_extract_all({_PLAIN.format('text')}, '\\b(?i:{"|".join(sorted(C.HONORIFICS, key=len, reverse=True))})\\.?\\s+([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*)\\b', 1)) AS name FROM ({D_SQL})),
+plain AS (SELECT doc_id, name FROM p WHERE lower(name) NOT IN {_WORDS(N.COMMON)} AND length(name) > 1 AND len(list_filter(string_split_regex(lower(name), '\\s+'), lambda x: x NOT IN {_WORDS(N.NOT_NAMES)})) > 0
+ AND len(list_filter(range(1, len(w) + 1), lambda i: w[i] = lower(name) AND (i > 1 AND coalesce(w[i - 1], '') IN {_WORDS(N.PLACES)} OR coalesce(w[i + 1], '') IN {_WORDS(N.ROLES)}))) = 0),
+titled AS (SELECT doc_id, unnest(regexp_extract_all({_PLAIN.format('text')}, '\\b(?i:{"|".join(sorted(N.HONORIFICS, key=len, reverse=True))})\\.?\\s+([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*)\\b', 1)) AS name FROM ({D_SQL})),
 n AS (SELECT DISTINCT doc_id, name FROM (SELECT * FROM plain UNION ALL SELECT * FROM titled)),
 c AS (SELECT n.doc_id, n.name, CAST((length(d.text) - length(replace(d.text, n.name, ''))) // length(n.name) AS INTEGER) AS n FROM n JOIN ({D_SQL}) d USING (doc_id))
 SELECT doc_id, name, n, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, name) AS rank FROM c) WHERE rank <= 20""")
 def name_candidates(spark, sf_dir):
-    return C.name_candidates(decorated(spark, sf_dir)).select("doc_id", "name", "n", "rank")
+    return N.name_candidates(decorated(spark, sf_dir)).select("doc_id", "name", "n", "rank")
 
 
 @query("char_chunks", """
@@ -697,7 +698,38 @@ WITH m AS (SELECT doc_id, substring(sentence, 1, 100) AS t, row_number() OVER (P
 SELECT doc_id, count(*) AS mentions, md5(string_agg(t, '|' ORDER BY n) FILTER (n <= 5)) AS contexts FROM m GROUP BY doc_id""")
 def mention_profiles(spark, sf_dir):
     names = table(spark, sf_dir, "documents").select("doc_id", F.lit("Alice").alias("name"))
-    return C.mention_profiles(sentences(spark, sf_dir), names).select("doc_id", "mentions", F.md5(F.array_join("contexts", "|")).alias("contexts"))
+    return N.mention_profiles(sentences(spark, sf_dir), names).select("doc_id", "mentions", F.md5(F.array_join("contexts", "|")).alias("contexts"))
+
+
+#: Each text's capitalised words as its names, in the order of the alphabet.
+W_SQL = f"SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS name FROM ({D_SQL})"
+
+
+def capitalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = decorated(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0)))).alias("name"))
+    return words.withColumn("ord", F.col("name"))
+
+
+@query("name_mentions", f"""
+SELECT s.doc_id, name, count(*) AS sentences, CAST(sum((length(sentence) - length(replace(sentence, name, ''))) // length(name)) AS BIGINT) AS places,
+       CAST(min(pos) AS INTEGER) AS first_pos, CAST(arg_min(instr(sentence, name) - 1, pos) AS INTEGER) AS first_place
+FROM ({S_SQL}) s JOIN ({W_SQL}) w ON s.doc_id = w.doc_id AND contains(sentence, name) GROUP BY s.doc_id, name""")
+def name_mentions(spark, sf_dir):
+    found = N.mentions(sentences(spark, sf_dir), capitalised(spark, sf_dir))
+    return found.groupBy("doc_id", "name").agg(F.count("*").alias("sentences"), F.sum(F.size("places")).alias("places"), F.min("pos").alias("first_pos"), F.min_by(F.col("places")[0], "pos").alias("first_place"))
+
+
+@query("pronoun_usage", f"""
+WITH m AS (SELECT s.doc_id, s.pos, w.name FROM ({S_SQL}) s JOIN ({W_SQL}) w ON s.doc_id = w.doc_id AND contains(sentence, name)),
+f AS (SELECT doc_id, pos, min(name) AS first FROM m GROUP BY ALL),
+p AS (SELECT t.doc_id, t.pos, t.p AS pronoun, count(*) AS n FROM (SELECT doc_id, pos, regexp_replace(unnest(string_split(regexp_replace({WS.format('lower(sentence)')}, '\\s+', ' ', 'g'), ' ')), '[^\\p{{L}}\\p{{N}}_]', '', 'g') AS p FROM ({S_SQL})) t JOIN (VALUES {_DIM}) d(p, c) ON t.p = d.p GROUP BY ALL),
+c AS (SELECT p.doc_id, m.name, pronoun, n FROM p JOIN m USING (doc_id, pos) UNION ALL
+      SELECT p.doc_id, arg_max(f.first, f.pos), any_value(pronoun), any_value(n) FROM p JOIN f ON f.doc_id = p.doc_id AND f.pos BETWEEN p.pos - 3 AND p.pos - 1
+      WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.doc_id = p.doc_id AND g.pos = p.pos) GROUP BY p.doc_id, p.pos, p.pronoun)
+SELECT doc_id, name, pronoun, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY ALL""")
+def pronoun_usage(spark, sf_dir):
+    spoken = sentences(spark, sf_dir)
+    return N.pronoun_usage(spoken, capitalised(spark, sf_dir), C.pronoun_rows(spoken, "doc_id", "pos"))
 
 
 @query("character_report", """

@@ -7,6 +7,7 @@ from inkwell.functions import model_json as J
 from inkwell.functions import urls as U
 from inkwell.operators import audio, classify, ledger, web
 from inkwell.operators import characters as C
+from inkwell.operators import fuzzy, names
 from inkwell.operators import segments as S
 from inkwell.operators.html_tree import Page
 
@@ -79,7 +80,7 @@ def test_fuzzy_ratio_is_that_of_the_standard_library(spark):
 
     keys = ["anna bell", "annabel", "bob stone", "bob stones", "carla", "carlo"]
     asked = ["anna bel", "annabell", "bob stonne", "carli", "karl", "zzz"]
-    got = {r.k: r.name for r in C.closest(spark.createDataFrame([(a,) for a in asked], "k string"), spark.createDataFrame([(k, k) for k in keys], "c string, name string"), 0.85).collect()}
+    got = {r.k: r.name for r in fuzzy.closest(spark.createDataFrame([(a,) for a in asked], "k string"), spark.createDataFrame([(k, k) for k in keys], "c string, name string"), 0.85).collect()}
     assert got == {a: m[0] for a in asked if (m := get_close_matches(a, keys, 1, 0.85))}
 
 
@@ -98,7 +99,7 @@ def test_pronouns_genders_and_names(spark):
     assert counts == {("he", "subject"): 1, ("her", "object"): 1, ("her", "possessive"): 1, ("she", "subject"): 1, ("him", "object"): 1}
     assert one(spark, lambda t: C.preferred_pronouns(t), "female")["reflexive"] == "herself"
     text = spark.createDataFrame([(1, "Captain Ahab sailed to Boston. Ishmael met Ahab. He saw Ishmael, Ahab and Queequeg. Rose knight fell")], "doc_id int, text string")
-    assert [(r.name, r.n) for r in C.name_candidates(text).orderBy("rank").collect()] == [("Ahab", 3), ("Ishmael", 2), ("Captain Ahab", 1), ("Queequeg", 1)]
+    assert [(r.name, r.n) for r in names.name_candidates(text).orderBy("rank").collect()] == [("Ahab", 3), ("Ishmael", 2), ("Captain Ahab", 1), ("Queequeg", 1)]
 
 
 def test_back_references(spark):
