@@ -28,13 +28,18 @@ DEPTH = 256
 
 # Fixed values of HTML: elements without content, with raw text, and such that a start tag closes.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript template iframe svg math xmp".split())
+_RAW = frozenset("script style textarea title noscript template iframe xmp".split())
+# Elements of other languages, where in them HTML begins again, and HTML elements that end them.
+_FOREIGN, _INTEGRATION = frozenset(("svg", "math")), frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+_BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+# Blocks that belong to a container around them.
+_HELD = frozenset("p h1 h2 h3 h4 h5 h6 li pre td th tr tbody ul ol dl dt dd table blockquote figure figcaption".split())
 _CLOSES_P = _BLOCK - frozenset("html body td th tr tbody thead tfoot".split())
 _CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-_SCOPE = frozenset("html body table ul ol dl article section main div td th aside nav header footer form blockquote".split())
+_SCOPE = frozenset("html body table ul ol dl article section main div td th aside nav header footer form blockquote svg math foreignobject".split())
 # Elements and words of class names or ids that are not part of an article.
-_OUT = frozenset("nav aside footer form button select dialog menu object audio video canvas head script style textarea title noscript template iframe svg math xmp".split())
+_OUT = frozenset("nav aside footer form button select dialog menu object audio video canvas head script style textarea title noscript template iframe svg annotation annotation-xml xmp".split())
 _OUT_WORDS = frozenset(
     "ad ads adsbygoogle advert adverts advertisement advertising alert announcement banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus disclaimer footer gdpr hidden login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup popular promo promoted promotion rail recommended related replies reply respond search share sharing sidebar signup skip skyscraper social sponsor sponsored sponsors subscribe subscription tagcloud tags toc toolbar topbar widget widgets".split()
 )
@@ -47,19 +52,22 @@ _ARTICLE_WORDS = frozenset("article content entry post story title".split())
 _SPACE, _TAG_NAME = re.compile(r"[ \t\n\r\f/]*+"), re.compile(r"[^ \t\n\r\f/>]++")
 _ATTRIBUTE_NAME, _EQUALS, _BARE_VALUE = re.compile(r"=?[^ \t\n\r\f/>=]*+"), re.compile(r"[ \t\n\r\f]*+=[ \t\n\r\f]*+"), re.compile(r"[^ \t\n\r\f>]*+")
 _COMMENT_END = re.compile(r"--!?>")
-_RAW_END = {name: re.compile(rf"</{name}(?=[ \t\n\r\f/>])", re.I | re.A) for name in _RAW}
+_RAW_END = {name: re.compile(rf"</{name}(?=[ \t\n\r\f/>])", re.I | re.A) for name in _RAW | _FOREIGN}
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("tag", "label", "parent", "parts", "out", "link", "heading", "depth")
+    __slots__ = ("tag", "label", "parent", "parts", "out", "link", "heading", "depth", "foreign", "holder", "holds")
 
     def __init__(self, tag: str, label: str, parent: Node | None, out: int, link: bool):
         self.tag, self.label, self.parent, self.out, self.link = tag, label, parent, out, link
         self.parts: list = []
-        self.heading = False
+        self.heading = self.holds = False  # holds: an article or main element that is not left out is under it
         self.depth = parent.depth + 1 if parent is not None else 0
+        self.foreign = tag in _FOREIGN or parent is not None and parent.foreign and parent.tag not in _INTEGRATION
+        #: The container that the node's text counts for.
+        self.holder = self if parent is None or tag in _BLOCK and tag not in _HELD else parent.holder
 
     def path(self) -> str:
         labels, node = [], self
@@ -96,7 +104,8 @@ def tokens(page: str) -> Iterator[tuple[str, str, dict[str, str], bool]]:
 
     The states are those of the HTML standard: a quote opens only a value, and an unfinished tag or comment at the
     page's end is dropped. Only a quote that is never closed ends at the next >, so that no text is lost behind it.
-    Contents of raw elements are left out.
+    Contents of raw elements are left out. So that nothing behind them is lost either, a raw or foreign element that
+    closes itself is empty, and so is one without an end tag, but for scripts and styles: what follows those is theirs.
     """
     at, n, unclosed = 0, len(page), set()
     while at < n:
@@ -113,6 +122,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, dict[str, str], bool]]:
             name = _TAG_NAME.match(page, begin + 1 + closing)
             at = name.end()
             attributes: dict[str, str] = {}
+            bare_end = -1
             while True:
                 at = _SPACE.match(page, at).end()
                 if at >= n:
@@ -138,15 +148,20 @@ def tokens(page: str) -> Iterator[tuple[str, str, dict[str, str], bool]]:
                     else:
                         bare = _BARE_VALUE.match(page, at)
                         value, at = bare[0], bare.end()
+                        bare_end = at
                 attributes.setdefault(key[0].lower(), value)
             low = name[0].lower()
-            yield ("end" if closing else "start"), low, attributes, page[at - 1] == "/"
-            at += 1
-            if not closing and low in _RAW:
-                end = _RAW_END[low].search(page, at)
+            alone = page[at - 1] == "/" and at != bare_end
+            end = None
+            if not closing and not alone and (low in _RAW or low in _FOREIGN):
+                end = None if low in unclosed else _RAW_END[low].search(page, at)
                 if end is None:
-                    return
-                at = end.start()
+                    unclosed.add(low)
+                    if low in ("script", "style"):
+                        return
+                    alone = True
+            yield ("end" if closing else "start"), low, attributes, alone
+            at = end.start() if end is not None and low in _RAW else at + 1
         elif page.startswith("!--", begin + 1):
             if page.startswith((">", "->"), begin + 4):
                 at = page.find(">", begin) + 1
@@ -180,6 +195,9 @@ def parse(page: str) -> Node:
             if up.parent is not None and up.tag == name:
                 node = up.parent
             continue
+        if name in _BREAKOUT:
+            while node.foreign and node.tag not in _INTEGRATION:
+                node = node.parent
         closes = _CLOSED_BY.get(name, ())
         if name in _CLOSES_P:
             closes = (*closes, "p")
@@ -205,9 +223,23 @@ def parse(page: str) -> Node:
                 up.heading = True
                 up = up.parent
     _keep_wrappers(root)
+    _mark_articles(root)
     return root
 
 
+def _in_order(root: Node) -> list[Node]:
+    """All nodes, each before those under it."""
+    order = [root]
+    for node in order:
+        order += [p for p in node.parts if isinstance(p, Node)]
+    return order
+
+
+def _mark_articles(root: Node) -> None:
+    for node in reversed(_in_order(root)):
+        node.holds = any(isinstance(p, Node) and (p.holds or p.tag in ("article", "main") and not p.out) for p in node.parts)
+
+
 def _keep_wrappers(root: Node) -> None:
     """Unmarks elements that hold more than half of the page's unlinked text by their layout mark, unless an article is marked up."""
     order, stack, layout = [], [root], False
@@ -235,12 +267,10 @@ def _keep_wrappers(root: Node) -> None:
 
 def _keep_classes(root: Node) -> None:
     """Unmarks forms and all elements that are left out by class or id."""
-    stack = [root]
-    while stack:
-        node = stack.pop()
+    for node in _in_order(root):
         if node.out != _FIRM:
             node.out = 0
-        stack += [p for p in node.parts if isinstance(p, Node)]
+    _mark_articles(root)
 
 
 def _left_out(node: Node, within: bool) -> bool:
@@ -270,7 +300,7 @@ def blocks(node: Node, within: bool = False) -> list[str]:
                 close()
             elif isinstance(part, str):
                 run.append(part)
-            elif part.tag not in _RAW and not (_left_out(part, inside[-1]) and not _holds_article(part)):
+            elif part.tag not in _RAW and not (_left_out(part, inside[-1]) and not part.holds):
                 stack.append(iter(part.parts))
                 blocky.append(part.tag in _BLOCK)
                 inside.append(inside[-1] or part.tag in ("article", "main"))
@@ -285,16 +315,6 @@ def blocks(node: Node, within: bool = False) -> list[str]:
     return out
 
 
-def _holds_article(node: Node) -> bool:
-    stack = [p for p in node.parts if isinstance(p, Node)]
-    while stack:
-        part = stack.pop()
-        if part.tag in ("article", "main") and not part.out:
-            return True
-        stack += [p for p in part.parts if isinstance(p, Node)]
-    return False
-
-
 def best_container(root: Node) -> tuple[Node, float] | None:
     """The container with the highest score, and the score: characters of paragraph text, links discounted.
 
@@ -309,13 +329,11 @@ def best_container(root: Node) -> tuple[Node, float] | None:
         for part in node.parts:
             if isinstance(part, str):
                 text += len(part.strip())
-            elif part is not None and part.tag not in _RAW and not (part.tag != "header" and part.out and not _holds_article(part)):
+            elif part is not None and part.tag not in _RAW and not (part.tag != "header" and part.out and not part.holds):
                 stack.append(part)
         if node.link:
             linked = text
-        holder = node
-        while holder.parent is not None and (holder.tag not in _BLOCK or holder.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "td", "th", "tr", "tbody", "ul", "ol", "dl", "dt", "dd", "table", "blockquote", "figure", "figcaption")):
-            holder = holder.parent
+        holder = node.holder
         if text and holder.tag != "header":
             gain = text - 2 * linked
             scores[holder] = scores.get(holder, 0) + gain
@@ -333,15 +351,24 @@ def best_container(root: Node) -> tuple[Node, float] | None:
     return (best if best.heading else _with_heading(best)), score
 
 
+def _size(parts: list, tag: str) -> int:
+    """Characters of the blocks of some parts of an element."""
+    beside = Node(tag, tag, None, 0, False)
+    beside.parts = parts
+    return sum(map(len, blocks(beside)))
+
+
 def _with_heading(best: Node) -> Node:
-    size = sum(map(len, blocks(best)))
-    up = best.parent
+    """The nearest container above that adds a heading and little other text. What stands beside a container is read once: a block's text is that of its parts."""
+    own = size = _size(best.parts, best.tag)
+    down, up = best, best.parent
     while up is not None and up.tag not in ("", "html", "body"):
-        if sum(map(len, blocks(up))) > 1.3 * size + 200:
+        size = size + _size([None if p is down else p for p in up.parts], up.tag) if down.tag in _BLOCK else _size(up.parts, up.tag)
+        if size > 1.3 * own + 200:
             break
         if up.heading:
             return up
-        up = up.parent
+        down, up = up, up.parent
     return best
 
 
@@ -425,8 +452,11 @@ def host_paths(pages: DataFrame, url: str = "url", page: str = "html") -> DataFr
 def main_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), url: str = "url", page: str = "html") -> DataFrame:
     """Columns `keep`, and text: the page's article, blocks joined by an empty line ("" where there is none).
 
-    A null or empty page has no text; a null or malformed url has the host ""; repeated rows stay.
+    A null or empty page has no text; a null or malformed url has the host ""; repeated rows stay. keep must not hold
+    the name text; other columns of any name are left out.
     """
+    if "text" in {k.lower() for k in keep}:
+        raise ValueError("a column to keep has the name of the result: text")
     from pyspark.sql.types import StringType, StructType
 
     paths = materialize(host_paths(pages, url, page).select("host", "path"))

@@ -110,7 +110,7 @@ def _plain_tokens(page):
             while j < n and page[j] not in blank + "/>":
                 name += page[j]
                 j += 1
-            attributes = {}
+            attributes, bare = {}, None
             while True:
                 while j < n and page[j] in blank + "/":
                     j += 1
@@ -145,15 +145,20 @@ def _plain_tokens(page):
                         while j < n and page[j] not in blank + ">":
                             value += page[j]
                             j += 1
+                        bare = j
                 attributes.setdefault(key.lower(), value)
-            out.append(("end" if closing else "start", name.lower(), attributes, page[j - 1] == "/"))
+            alone, name = page[j - 1] == "/" and j != bare, name.lower()
             i = j + 1
-            if not closing and name.lower() in html._RAW:
-                while i < n:
-                    tail = page[i:].lower() if page[i:].isascii() else "".join(c.lower() if c.isascii() else c for c in page[i:])
-                    if tail.startswith("</" + name.lower()) and tail[len(name) + 2 : len(name) + 3] in [*blank, "/", ">"]:
-                        break
-                    i += 1
+            if not closing and not alone and name in {*html._RAW, "svg", "math"}:
+                tail = "".join(c.lower() if c.isascii() else c for c in page[i:])
+                ends = [k for k in range(len(tail)) if tail.startswith("</" + name, k) and tail[k + len(name) + 2 : k + len(name) + 3] in [*blank, "/", ">"]]
+                if not ends:
+                    alone = name not in ("script", "style")
+                elif name in html._RAW:
+                    i += ends[0]
+                if not ends and not alone:
+                    return out
+            out.append(("end" if closing else "start", name, attributes, alone))
         elif page[i + 1 : i + 4] == "!--":
             rest = page[i + 4 :]
             if rest[:1] == ">" or rest[:2] == "->":
@@ -175,7 +180,7 @@ def _plain_tokens(page):
 
 def test_tokens_equal_a_plain_reader_on_random_pages():
     rng = random.Random(11)
-    bits = ["<", "</", ">", "/>", "<p", "<div class=", "<script>", "</script>", "</SCRIPT x", "<!--", "-->", "--!>", "<!-->", "<?x", '"', "'", "=", " ", "\n", "a", "İ", "title", "<title>", "</title >", "text", "&amp;", "<b/>", "x=y", 'id="q"', "/"]
+    bits = ["<", "</", ">", "/>", "<p", "<div class=", "<script>", "</script>", "</SCRIPT x", "<!--", "-->", "--!>", "<!-->", "<?x", '"', "'", "=", " ", "\n", "a", "İ", "title", "<title>", "</title >", "text", "<svg>", "</svg>", "<math", "<iframe ", "&amp;", "<b/>", "x=y", 'id="q"', "/"]
     for _ in range(4000):
         page = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 25)))
         got = []
@@ -198,3 +203,84 @@ def test_unclosed_tags_and_quotes_take_linear_time():
         list(html.tokens(page))
         assert time.perf_counter() - began < 3, page[:20]
     assert html.extract('<body><article><p>One <a href="x>two</a> three.</p><p>Four words stand here.</p></article></body>', None) == "One two three.\n\nFour words stand here."
+
+
+def test_nothing_behind_icons_and_unfinished_elements_is_lost():
+    inside = {
+        '<svg class="i"/>': "", "<svg class=i/ ><path d='M0'/></svg>": "", "<svg><path d='M0'/><title>x</title><text>t</text></svg>": "", "<svg class=i>": "", "<math/>": "", "<script src='a.js'/>": "",
+        "<iframe src=x/>": "", "<iframe src=x>": "", "<textarea>": "", "<template/>": "", "<noscript>": "", "<title>": "", "<script src=/a/>var x = '<p>';</script>": "", "<svg><p>In": "In\n\n", "<math><mi>x</mi><mo>=</mo><mn>1</mn></math>": "x=1",
+        "<math><semantics><mi>y</mi><annotation encoding='tex'>\\y</annotation></semantics></math>": "y", "<svg><foreignObject><p>no</p></foreignObject></svg>": "",
+    }
+    for mark, text in inside.items():
+        page = f"<body><nav><p>menu</p></nav><article><p>First <b>one</b>.</p>{mark}<p>Second {mark} two.</p></article></body>"
+        got = html.extract(page, None)
+        assert got.startswith("First one.") and got.endswith("two."), (mark, got)
+        assert "".join(got.split()) == "".join(f"First one. {text} Second {text} two.".split()), (mark, got)
+
+
+def _random_article(rng, depth=0):
+    """Markup of an article and the blocks that it must give, made together."""
+    word = lambda: rng.choice(["alpha", "beta", "gamma &amp; delta", "ünï", "x &lt; y", "omega"])
+    plain = {"gamma &amp; delta": "gamma & delta", "x &lt; y": "x < y"}
+
+    def inline(d=0):
+        kind = rng.randrange(9)
+        if kind == 0 and d < 3:
+            inner, text = inline(d + 1)
+            tag = rng.choice(["b", "i", "span", "em", "code"])
+            return f"<{tag} class='c{rng.randrange(9)}'>{inner}</{tag}>", text
+        if kind == 1:
+            return rng.choice(["<svg class='icon'/>", "<svg><path d='M 0 1'/></svg>", "<img src=a.png>", "<!-- <p>no</p> -->", "<script>if (a<b) '</p>'</script>", "<style>p{}</style>", "<button>Click</button>", "<iframe src=a/>"]), ""
+        if kind == 2:
+            return "<br>", " "
+        w = word()
+        return w + rng.choice([" ", "\n", "\t "]), plain.get(w, w) + " "
+
+    def line():
+        made = [inline() for _ in range(rng.randint(2, 9))]
+        return "".join(m for m, _ in made), " ".join("".join(t for _, t in made).split())
+
+    def block(d):
+        kind = rng.randrange(8)
+        if kind < 4:
+            markup, text = line()
+            return f"<p>{markup}" + rng.choice(["</p>", "", "</p>\n"]), [text]
+        if kind == 4:
+            items = [line() for _ in range(rng.randint(1, 3))]
+            return "<ul>" + "".join(f"<li>{m}" + rng.choice(["</li>", ""]) for m, _ in items) + "</ul>", [t for _, t in items]
+        if kind == 5:
+            return rng.choice(["<nav><p>menu words</p></nav>", "<aside>Other things</aside>", "<div class='share-links'>Share</div>", "<div class=newsletter><p>Sign</p></div>", "<form><input name=q></form>", "<footer>By them</footer>", "<div class='ad slot'><p>Buy</p></div>"]), []
+        if kind == 6 and d < 3:
+            made = [block(d + 1) for _ in range(rng.randint(1, 3))]
+            return f"<div class='w{rng.randrange(99)}'>" + "".join(m for m, _ in made) + "</div>", [t for _, ts in made for t in ts]
+        markup, text = line()
+        return f"<h2>{markup}</h2>", [text]
+
+    made = [block(0) for _ in range(rng.randint(4, 12))]
+    return "".join(m for m, _ in made), [t for _, ts in made for t in ts if t]
+
+
+def test_random_articles_give_all_their_blocks_and_no_others():
+    rng = random.Random(12)
+    for i in range(400):
+        markup, want = _random_article(rng)
+        tag = rng.choice(["article", "main"])
+        page = f"<html><head><title>T</title></head><body><header><h1>Site</h1></header><nav><a href=/>Home</a></nav><{tag}>{markup}</{tag}><section id=comments><p>A comment</p></section><footer>(c)</footer></body></html>"
+        assert html.extract(page, tag) == "\n\n".join(want) or not want, (i, page)
+
+
+def test_time_grows_with_the_page_not_with_its_depth():
+    deep = "<div>" * 250 + "".join(f"<p>some words {i}</p>" for i in range(8000)) + "</div>" * 250
+    nested = "<div>" * 8000 + "deep" + "</div>" * 8000
+    beside = "".join(f"<div class=sidebar><article><p>{i}</p></article>" for i in range(250)) + "</div>" * 250
+    for page in (deep, nested, beside):
+        began = time.process_time()
+        assert html.extract(page, None)
+        assert time.process_time() - began < 2
+
+
+def test_a_kept_column_must_not_have_the_results_name(spark):
+    import pytest
+
+    with pytest.raises(ValueError):
+        html.main_text(spark.createDataFrame([(1, "u", "x", "y")], "page_id long, url string, html string, Text string"), keep=("page_id", "Text"))
