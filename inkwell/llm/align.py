@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -24,8 +25,8 @@ from inkwell.llm.common import discard, parts, scratch_write, text_bytes, unused
 
 #: Pairs whose counts travel to every task (17 bytes each).
 FREQUENT_PAIRS = 1 << 18
-#: Characters of a text that are encoded in one call if it can be cut, and of texts encoded together.
-CHUNK_CHARS, BLOCK_CHARS = 1 << 16, 1 << 18
+#: Bytes of texts that are aligned together; units that a tokenizer gets at once; units and their characters that a worker remembers.
+BLOCK_BYTES, MOST_CALL, MOST_UNITS, MOST_UNIT_CHARS = 1 << 19, 1 << 12, 600_000, 1 << 24
 #: Pairs that a task adds up before it hands them on.
 HELD_PAIRS = 1 << 20
 
@@ -105,10 +106,10 @@ class ByteLevel:
         self.bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.bytes[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
-        self.cut = True
+        self.sizes, self.cut = np.array([len(x) for x in self.bytes], np.int64), True
 
     def encode(self, spaced: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch(spaced, add_special_tokens=False)]
+        return [e.ids for e in self.model.encode_batch_fast(spaced, add_special_tokens=False)]
 
 
 class Pieces:
@@ -122,6 +123,7 @@ class Pieces:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.bytes = [bytes([int(p[1:-1], 16)]) if self.model.is_byte(i) else p.replace(self.SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.sizes = np.array([len(x) for x in self.bytes], np.int64)
         #: No piece goes on behind a word's end, so a text may be cut there.
         self.cut = not any(self.SPACE in p.lstrip(self.SPACE) for p in pieces)
 
@@ -129,47 +131,117 @@ class Pieces:
         return self.model.encode([s[1:] for s in spaced], num_threads=1)
 
 
-def chunks(spaced: str, limit: int) -> list[str]:
-    """Pieces of a text of limit characters or a little more, each but the first from a single space within words; neither tokenizer joins across such a place."""
-    begin, out = 0, []
-    while len(spaced) - begin > limit and (at := _CUT.search(spaced, begin + limit)):
-        out.append(spaced[begin : at.start()])
-        begin = at.start()
-    return [*out, spaced[begin:]]
-
-
+class Units:
+    """Ids of the units that one tokenizer has met, one after another, and whether its tokens join to the unit."""
+
+    def __init__(self, side, kind: str):
+        self.side, self.kind = side, kind
+        self.forget()
+
+    def forget(self) -> None:
+        self.ids, self.counts, self.whole, self._starts = np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, bool), None
+
+    def add(self, units: list[str]) -> None:
+        """Encodes units. Those without white space at their ends are joined to one text, which costs a call less a unit; if its tokens don't join to it, each goes by itself."""
+        inner = np.array([bool(u) and not u[0].isspace() and not u[-1].isspace() for u in units], bool)
+        joined = self._joined([u for u, i in zip(units, inner) if i])
+        if joined is None:
+            inner[:] = False
+            joined = np.zeros(0, self.kind), np.zeros(0, np.int64)
+        alone = self.side.encode([" " + u for u, i in zip(units, inner) if not i])
+        fits = [b"".join(map(self.side.bytes.__getitem__, ids)) == (" " + u).encode() for ids, u in zip(alone, (u for u, i in zip(units, inner) if not i))]
+        ids = np.concatenate([joined[0], np.array([i for one in alone for i in one], self.kind)])
+        counts = np.concatenate([joined[1], np.array([len(one) for one in alone], np.int64)])
+        order = np.argsort(np.concatenate([np.flatnonzero(inner), np.flatnonzero(~inner)]))
+        whole = np.ones(len(units), bool)
+        whole[~inner] = fits
+        self.ids = np.concatenate([self.ids, _gathered(ids, counts, order)])
+        self.counts, self.whole = np.concatenate([self.counts, counts[order]]), np.concatenate([self.whole, whole])
+
+    def _joined(self, units: list[str]):
+        """Ids of the units and how many each has; nothing if the tokens don't join to the text of all."""
+        text = "".join(" " + u for u in units)
+        coded = np.array(self.side.encode([text])[0] if units else [], self.kind)
+        if b"".join(map(self.side.bytes.__getitem__, coded.tolist())) != text.encode():
+            return None
+        ends = np.cumsum([len(u.encode()) + 1 for u in units], dtype=np.int64)
+        return coded, np.diff(np.searchsorted(np.cumsum(self.side.sizes[coded]), ends) + 1, prepend=0) if units else np.zeros(0, np.int64)
+
+    def of(self, units: np.ndarray) -> np.ndarray:
+        """The ids of these units in their order."""
+        return _gathered(self.ids, self.counts, units, self.starts())
+
+    def starts(self) -> np.ndarray:
+        if self._starts is None or len(self._starts) != len(self.counts):
+            self._starts = np.cumsum(self.counts) - self.counts
+        return self._starts
+
+
+def _gathered(ids: np.ndarray, counts: np.ndarray, which: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
+    """Of stretches of ids, counts of them in each, those of `which` in its order."""
+    starts = np.cumsum(counts) - counts if starts is None else starts
+    own = counts[which]
+    return ids[np.repeat(starts[which] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))]
+
+
+class _Numbered(dict):
+    def __missing__(self, unit):
+        value = self[unit] = len(self)
+        return value
+
+
+#: Where neither tokenizer joins: a single space between signs that are no white space.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 class Pair:
-    """Both sides: ids of texts, and what can be told from ids."""
+    """Both sides: ids of texts, and what can be told from ids.
+
+    A text is cut into units at single spaces. Byte-level pre-tokens begin there, and no piece of the other side goes on
+    behind a space, so the ids of the units, each with a space before it, are those of the text. A unit is encoded when it
+    is met first and remembered up to a bound; so no call holds a long text unless that has no single space.
+    """
 
     def __init__(self, a_path: str, b_path: str):
         self.a, self.b = ByteLevel(a_path), Pieces(b_path)
         self.kinds = tuple("<u2" if len(side.bytes) <= 1 << 16 else "<u4" for side in (self.a, self.b))
-        self.limit = CHUNK_CHARS if self.a.cut and self.b.cut else 1 << 62
+        self.units = tuple(Units(side, kind) for side, kind in zip((self.a, self.b), self.kinds))
+        self.cut = _CUT.split if self.a.cut and self.b.cut else lambda text: [text]
+        self.forget()
+
+    def forget(self) -> None:
+        self.number, self.known, self.held = _Numbered(), 0, 0
+        for side in self.units:
+            side.forget()
 
     def encode(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of A and B for each text in UTF-8; none if a side's tokens don't join to the text."""
-        cut = [chunks(" " + t.decode("utf-8", "replace"), self.limit) if t else [] for t in texts]
-        flat = [c for cs in cut for c in cs]
-        sides = []
-        for side, kind in zip((self.a, self.b), self.kinds):
-            ids, at, out = side.encode(flat) if flat else [], 0, []
-            for cs, text in zip(cut, texts):
-                own = [i for one in ids[at : at + len(cs)] for i in one]
-                at += len(cs)
-                out.append(np.array(own, kind) if b"".join(map(side.bytes.__getitem__, own)) == b" " + text else None)
-            sides.append(out)
+        if self.known > MOST_UNITS or self.held > MOST_UNIT_CHARS:
+            self.forget()
+        read = [t.decode("utf-8", "replace") for t in texts]
+        units = [np.fromiter(map(self.number.__getitem__, self.cut(t)), np.int64) if t else np.zeros(0, np.int64) for t in read]
+        if len(self.number) > self.known:
+            new = list(self.number)[self.known :]
+            for i in range(0, len(new), MOST_CALL):
+                for side in self.units:
+                    side.add(new[i : i + MOST_CALL])
+            self.known, self.held = len(self.number), self.held + sum(map(len, new))
         none = tuple(np.zeros(0, kind) for kind in self.kinds)
-        return [none if a is None or b is None or not t else (a, b) for a, b, t in zip(*sides, texts)]
+        whole = [bool(u.size) and all(side.whole[u].all() for side in self.units) and r.encode() == t for u, r, t in zip(units, read, texts)]
+        return [tuple(side.of(u) for side in self.units) if w else none for u, w in zip(units, whole)]
+
+
+@lru_cache(maxsize=1)
+def _pair(a_path: str, b_path: str) -> Pair:
+    """A worker keeps its tokenizers and what they have met from task to task."""
+    return Pair(a_path, b_path)
 
 
 class Sizes:
     """Byte lengths of both vocabularies' tokens, and the names of ids with the sign behind them."""
 
     def __init__(self, pair: Pair):
-        self.a, self.b = (np.array([len(x) for x in side.bytes], np.int64) for side in (pair.a, pair.b))
+        self.a, self.b = pair.a.sizes, pair.b.sizes
         self.kinds = pair.kinds
         names = lambda n, last: [x for i in range(n) for x in (b"%d," % i, b"%d%s" % (i, last))]
         self.names = names(len(self.a), b"|") + names(len(self.b), b";")
@@ -202,13 +274,13 @@ class Sizes:
         return (a[at] << 32) | b[to], at
 
 
-def _blocks(batches: Iterator, chars: int) -> Iterator:
+def _blocks(batches: Iterator, limit: int) -> Iterator:
     """Slices of Arrow batches with about so many bytes of __text."""
     for batch in batches:
         begin, size = 0, 0
         for i, text in enumerate(batch.column("__text")):
             size += len(text.as_buffer())
-            if size >= chars:
+            if size >= limit:
                 yield batch.slice(begin, i + 1 - begin)
                 begin, size = i + 1, 0
         if begin < batch.num_rows:
@@ -223,9 +295,9 @@ def tokenized(documents: DataFrame, a_path: str, b_path: str, text: str = "text"
     def run(batches: Iterator):
         import pyarrow as pa
 
-        pair = Pair(a_path, b_path)
+        pair = _pair(a_path, b_path)
         sizes = Sizes(pair)
-        for batch in _blocks(parts(batches), BLOCK_CHARS):
+        for batch in _blocks(parts(batches), BLOCK_BYTES):
             coded = pair.encode(batch.column("__text").to_pylist())
             a_ends, b_ends = (np.cumsum([len(c[side]) for c in coded], dtype=np.int64) for side in (0, 1))
             a, b = (np.concatenate([c[side] for c in coded]).astype(np.int64) for side in (0, 1))
@@ -254,7 +326,7 @@ def pair_counts(coded: DataFrame, a_path: str, b_path: str) -> DataFrame:
     def run(batches: Iterator):
         import pyarrow as pa
 
-        sizes = Sizes(Pair(a_path, b_path))
+        sizes = Sizes(_pair(a_path, b_path))
         held, size = [], 0
 
         def out():
@@ -303,7 +375,7 @@ def _scored(coded: DataFrame, a_path: str, b_path: str, frequent, name: str) ->
     def run(batches: Iterator):
         import pyarrow as pa
 
-        sizes = Sizes(Pair(a_path, b_path))
+        sizes = Sizes(_pair(a_path, b_path))
         known, n, best = frequent.value
         for batch in parts(batches, 200):
             a, b, a_ends, _ = sizes.read(batch)

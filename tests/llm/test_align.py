@@ -89,13 +89,16 @@ def test_query_over_documents(spark, tmp_path):
     assert got == Counter((r[0], *w[:-1], sha(w[-1])) for r, w in zip(rows, _brute(TEXTS)))
 
 
-def test_long_texts_are_cut_where_no_token_goes_across(monkeypatch):
-    texts = [t or "" for t in TEXTS] + ["word  gap \n mixed  space don't stop 1 2 3 " * 30]
-    whole = align.Pair(A, B).encode([t.encode() for t in texts])
-    small = align.Pair(A, B)
-    for limit in (1, 7, 50):
-        small.limit = limit
-        assert all((x[0] == y[0]).all() and (x[1] == y[1]).all() for x, y in zip(whole, small.encode([t.encode() for t in texts])))
+def test_units_are_cut_where_no_token_goes_across(monkeypatch):
+    texts = [(t or "").encode() for t in TEXTS] + [b"word  gap \n mixed  space don't stop 1 2 3 's x " * 30, "a\u2003b c d \u00a0 e \x1c f".encode()]
+    whole, units, small = (align.Pair(A, B) for _ in range(3))
+    whole.cut = lambda text: [text]
+    monkeypatch.setattr(align, "MOST_CALL", 3)
+    want = whole.encode(texts)
+    assert all((x[0].tolist(), x[1].tolist()) == (y[0].tolist(), y[1].tolist()) for x, y in zip(want, units.encode(texts)))
+    monkeypatch.setattr(align, "MOST_UNITS", 5)
+    got = [small.encode([t])[0] for t in texts + texts]
+    assert all((x[0].tolist(), x[1].tolist()) == (y[0].tolist(), y[1].tolist()) for x, y in zip(want + want, got))
 
 
 def test_invalid_bytes_have_no_tokens():
