@@ -40,22 +40,26 @@ LICENCES = (
     ("cpl", "common", "common public licen[cs]e"),
     ("ecl", "educational", "educational community licen[cs]e"),
     ("epl", "eclipse", "eclipse public licen[cs]e"),
+    ("epl", "epl", "epl(?: version| v|v) ?[12](?: 0)?"),
     ("epl", "epl", "epl [12] 0"),
     ("eupl", "eupl", "eupl(?: 1 [012])?"),
     ("eupl", "european", "european union public licen[cs]e"),
     ("gfdl", "documentation", "(?:gnu )?free documentation licen[cs]e"),
     ("gfdl", "gfdl", "gfdl(?: 1 [123])?"),
     ("gpl", "gnu", "gnu(?: general)? public licen[cs]e"),
-    ("gpl", "gnu", "gnu gpl(?: ?v?[123](?: 0)?)?"),
-    ("gpl", "gpl", "gpl ?v?[123](?: 0)?(?: or later| only)?"),
+    ("gpl", "gnu", "gnu gpl(?: ?(?:version |v ?)?[123](?: 0)?)?"),
+    ("gpl", "gpl", "gpl ?(?:version |v ?)?[123](?: 0)?(?: or later| only)?"),
     ("isc", "isc", "isc licen[cs]e"),
     ("lgpl", "lesser", "(?:gnu )?lesser general public licen[cs]e"),
     ("lgpl", "library", "(?:gnu )?library general public licen[cs]e"),
     ("lgpl", "lgpl", "lgpl(?: ?v?[23](?: [01])?)?"),
     ("libpng", "libpng", "(?:zlib )?libpng licen[cs]e"),
     ("mit", "mit", "mit(?: x11)? licen[cs]e"),
+    ("mit", "mit", "mit x11"),
+    ("mit", "mit", "mit(?= (?:or |and )?apache (?:license )?(?:version |v)?2)"),
     ("mpl", "mozilla", "mozilla public licen[cs]e"),
-    ("mpl", "mpl", "mpl(?: v?)[12] [01]"),
+    ("mpl", "mpl", "mpl(?: version| v|v) ?[12](?: [01])?"),
+    ("mpl", "mpl", "mpl [12] [01]"),
     ("ms-pl", "microsoft", "microsoft public licen[cs]e"),
     ("ms-rl", "microsoft", "microsoft reciprocal licen[cs]e"),
     ("ncsa", "ncsa", "(?:uiuc )?ncsa(?: open source)? licen[cs]e"),
@@ -67,7 +71,6 @@ LICENCES = (
     ("osl", "open", "open software licen[cs]e"),
     ("php", "php", "php licen[cs]e"),
     ("psf", "python", "python software foundation licen[cs]e"),
-    ("public-domain", "public", "public domain"),
     ("sspl", "sspl", "sspl(?: ?v?1)?"),
     ("sspl", "server", "server side public licen[cs]e"),
     ("unlicense", "unlicense", "(?:the )?unlicense"),
@@ -198,14 +201,17 @@ NOTICES = (
     ("epl", "eclipse", "made available under the terms of the eclipse public license"),
     ("eupl", "eupl", "licensed under the eupl"),
     ("gfdl", "invariant", "with no invariant sections no front cover texts and no back cover texts"),
-    ("gpl", "redistribute", "this program is free software you can redistribute it and or modify it"),
-    ("gpl", "redistribute", "this file is free software you can redistribute it and or modify it"),
+    ("agpl", "redistribute", "is free software you can redistribute it and or modify it under the terms of (?:version 3 of )?the gnu affero general public license"),
+    ("agpl", "received", "you should have received a copy of the gnu affero general public license"),
+    ("gpl", "redistribute", "is free software you can redistribute it and or modify it under the terms of (?:version [123] of )?the gnu general public license"),
+    ("gpl", "redistribute", "this (?:program|file) is free software you can redistribute it and or modify it(?! under the terms)"),
     ("gpl", "merchantability", "without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license"),
     ("gpl", "received", "you should have received a copy of the gnu general public license"),
     ("gpl", "published", "gnu general public license as published by the free software foundation"),
     ("isc", "granted", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("isc", "disclaims", "author disclaims all warranties with regard to this software"),
-    ("lgpl", "redistribute", "this library is free software you can redistribute it and or modify it"),
+    ("lgpl", "redistribute", "is free software you can redistribute it and or modify it under the terms of (?:version (?:2|3|2 1) of )?the gnu (?:lesser|library) general public license"),
+    ("lgpl", "redistribute", "this library is free software you can redistribute it and or modify it(?! under the terms)"),
     ("lgpl", "received", "you should have received a copy of the gnu (?:lesser|library) general public license"),
     ("lppl", "latex", "distributed and or modified under the conditions of the latex project public license"),
     ("mit", "granted", "permission is hereby granted free of charge to any person obtaining a copy"),
@@ -220,12 +226,12 @@ NOTICES = (
     ("ofl", "reserved", "with reserved font name"),
     ("openssl", "openssl", "this product includes software developed by the openssl project"),
     ("php", "php", "subject to version [23] 0(?: 1)? of the php license"),
-    ("proprietary", "rights", "all rights reserved"),
     ("proprietary", "confidential", "(?:proprietary and confidential|confidential and proprietary)"),
     ("proprietary", "unauthorized", "unauthorized copying of this file via any medium is strictly prohibited"),
     ("psf", "python", "psf is making python available to licensee"),
     ("public-domain", "unencumbered", "this is free and unencumbered software released into the public domain"),
     ("public-domain", "public", "(?:placed|released|put) (?:in|into|to) the public domain"),
+    ("public-domain", "public", "this (?:code|data|document|file|image|program|software|text|work) is (?:hereby )?(?:in|dedicated to) the public domain"),
     ("sspl", "server", "server side public license version 1"),
     ("unlicense", "unlicense", "for more information please refer to https? unlicense org"),
     ("wtfpl", "fuck", "do what the fuck you want to public license"),
@@ -235,11 +241,35 @@ NOTICES = (
     ("zlib", "implied", "this software is provided as is without any express or implied warranty"),
     ("zpl", "zope", "subject to the provisions of the zope public license"),
 )
+# A short name that counts beside another licence, as (label, keyword, name).
+BESIDE = (("mit", "mit", "(?:(?<=apache 2 0 or )|(?<=apache 2 0 and )|(?<=apache 2 0 )|(?<=apache license 2 0 or ))mit"),)
+# What is a weak sign of a licence, which one in the same text suppresses.
+WEAK = (("proprietary", "rights", "all rights reserved"),)
+WEAK_WEIGHT = 0.3
+# Short names as (label, keyword, name) that count only behind a metadata key, before "licensed", or behind a grant.
+SHORT = (
+    ("0bsd", "0bsd", "0bsd"),
+    ("agpl", "agpl", "agpl(?: ?v?3(?: 0)?)?"),
+    ("apache", "apache", "apache(?: ?v?2(?: 0)?)?"),
+    ("bsd", "bsd", "bsd(?: [0234] clause)?"),
+    ("cc0", "cc0", "cc0(?: 1 0)?"),
+    ("epl", "epl", "epl(?: ?v?[12](?: 0)?)?"),
+    ("gpl", "gpl", "gpl(?: ?v?[123](?: 0)?)?"),
+    ("isc", "isc", "isc"),
+    ("lgpl", "lgpl", "lgpl(?: ?v?[23](?: [01])?)?"),
+    ("mit", "mit", "mit(?! (?:das|dem|den|der|des|die|ein|eine|einem|einen|einer|ihm|ihnen|ihr|ihrem|ihren|ihrer|seinem|seinen|seiner|und|zu|zum|zur) )"),
+    ("mpl", "mpl", "mpl(?: ?v?[12](?: [01])?)?"),
+    ("ofl", "ofl", "ofl(?: 1 1)?"),
+    ("unlicense", "unlicense", "unlicense"),
+    ("wtfpl", "wtfpl", "wtfpl"),
+    ("zlib", "zlib", "zlib"),
+)
 # What grants a licence, before its name.
 GRANT = (
     "(?:(?:dual |triple )?(?:re)?licen[cs]ed|released|distributed|published|available|shared|provided|covered|governed|subject) (?:under|by|to) "
     "(?:the )?(?:terms (?:and conditions )?(?:of|in) (?:the )?)?(?:either the )?"
 )
+SHORT_GRANT = GRANT.replace("(?:under|by|to)", "under")
 #: What stands before an identifier: the tag, and up to eight words that join other identifiers to this one. Java asks
 #: for look-behinds of bounded length, so the words are spelt out.
 TAG = " spdx license identifiers? (?:" + "(?:[a-z0-9]{1,24} )?" * 7 + "[a-z0-9]{1,24} (?:or|and) )?"
@@ -249,16 +279,16 @@ BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("c
 #: their first letters here, so that most words are dismissed at the first.
 GATE = (
     r" (?:licen[cs]|a(?:cademic|dvertising|gpl|pache|ffero|rtistic|ttribution)|b(?:oost org|sd|usl)|c(?:c|ddl|ecill|onfidential|reativecommons|reative commons)|dedicated|e(?:clipse|pl|upl)"
-    r"|endorse|fuck|g(?:fdl|pl|nu|ranted)|invariant|l(?:gpl|iable|atex|imitation)|m(?:achine|erchantability|isrepresented|ozilla|pl)|o(?:dbl|fl|penssl)|p(?:ermi[st]|sf|ublic domain|erl)"
-    r"|re(?:distrib|motely|served)|s(?:cripts sil|ource|pdx|spl|ubstantial)|un(?:authorized|licen)|w(?:tfpl|arrant|aived))"
+    r"|endorse|fuck|g(?:fdl|pl|nu|ranted)|invariant|l(?:gpl|iable|atex|imitation)|m(?:achine|erchantability|isrepresented|it x11|ozilla|pl)|o(?:dbl|fl|penssl)|p(?:ermi[st]|sf|ublic domain|erl)"
+    r"|re(?:distrib|motely|served)|s(?:cripts sil|ource|pdx|spl|ubstantial)|u(?:n(?:authorized|licen)|nder (?:the )?(?:terms (?:and conditions )?(?:of|in) (?:the )?)?(?:either the )?(?:0bsd|isc|mit|zlib) )|w(?:tfpl|arrant|aived))"
 )
 
 
 def rules() -> list[tuple[str, str, int, float, str]]:
     """(label, keyword, priority, weight, expression) of every rule.
 
-    In order of priority: SPDX identifiers, addresses and sentences of licence texts (3), grants of a named licence
-    (2), and names alone (1).
+    In order of priority: SPDX identifiers, addresses and sentences of licence texts (3), grants of a named licence,
+    metadata keys and "licensed" with a short name (2), and names alone and weak signs (1).
     """
 
     def whole(text, after=""):
@@ -269,7 +299,11 @@ def rules() -> list[tuple[str, str, int, float, str]]:
     out += [(label, keyword, 3, 0.95, whole(text)) for label, keyword, text in NOTICES]
     out += [(label, keyword, 3, 0.9, whole(text)) for label, keyword, text in ADDRESSES]
     out += [(label, keyword, 2, 0.9, whole(name, GRANT)) for label, keyword, name in LICENCES]
-    return out + [(label, keyword, 1, 0.7, whole(name)) for label, keyword, name in LICENCES]
+    out += [(label, keyword, 2, 0.85, whole(name, SHORT_GRANT)) for label, keyword, name in SHORT]
+    out += [(label, "licen", 2, 0.85, whole(f"licen[cs]es?(?: id| identifier| name| type)? (?:{name})")) for label, _, name in SHORT]
+    out += [(label, keyword, 2, 0.85, whole(f"(?:{name}) licen[cs]ed")) for label, keyword, name in SHORT]
+    out += [(label, keyword, 1, 0.7, whole(name)) for label, keyword, name in LICENCES + BESIDE]
+    return out + [(label, keyword, 1, WEAK_WEIGHT, whole(text)) for label, keyword, text in WEAK]
 
 
 def normal_words(text: str | Column = "text") -> Column:
@@ -318,7 +352,7 @@ def _detections(words: Column) -> Column:
 
 
 def _survivors(found: Column) -> Column:
-    """Detections that do not lie inside an earlier-sorted one of the same or a higher priority."""
+    """Detections that do not lie inside an earlier-sorted one of the same or a higher priority; weak ones only where no others are."""
     ordered = F.array_sort(F.transform(found, lambda d: F.struct(d["begin"].alias("begin"), (-d["end"]).alias("minus_end"), (-d["priority"]).alias("minus_priority"), d["label"].alias("label"), d["weight"].alias("weight"))))
     none = F.struct(*(F.lit(-1).alias(f"e{p}") for p in (1, 2, 3)), F.array().cast("array<struct<begin:int,end:int,label:string,priority:int,weight:double>>").alias("kept"))
 
@@ -328,7 +362,9 @@ def _survivors(found: Column) -> Column:
         kept = F.when(reach >= end, acc["kept"]).otherwise(F.array_append(acc["kept"], F.struct(d["begin"].alias("begin"), end.alias("end"), d["label"].alias("label"), priority.alias("priority"), d["weight"].alias("weight"))))
         return F.struct(*(F.when(priority == p, F.greatest(acc[f"e{p}"], end)).otherwise(acc[f"e{p}"]).alias(f"e{p}") for p in (1, 2, 3)), kept.alias("kept"))
 
-    return F.aggregate(ordered, none, step, lambda acc: acc["kept"])
+    kept = F.aggregate(ordered, none, step, lambda acc: acc["kept"])
+    strong = lambda d: d["weight"] > WEAK_WEIGHT
+    return F.transform(F.array(kept), lambda ds: F.when(F.exists(ds, strong), F.filter(ds, strong)).otherwise(ds))[0]
 
 
 def scan(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -336,8 +372,11 @@ def scan(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str =
 
     spans are the surviving detections, with places in characters of the normalised text. Without any, spans is
     empty, labels has the base labels alone and score is 0; otherwise score is the largest weight. A null or empty
-    text has no words. Repeated rows stay; other columns are not read.
+    text has no words. Repeated rows stay; other columns of any name are not read; keep must not hold a result's name.
     """
+    made = {"n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"}
+    if clash := made & {k.lower() for k in keep}:
+        raise ValueError(f"columns to keep have the names of results: {sorted(clash)}")
     phrases = "|".join(p for p, _ in BASE)
     places = rf"(?<= )(?:{phrases})(?= )"
     df = documents.select(*keep, normal_words(text).alias("__w"))
