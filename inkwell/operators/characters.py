@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
-from inkwell.operators import fuzzy
+from inkwell.operators import fuzzy, ranks
 
 # Pronouns by category and by gender.
 PRONOUNS = {"subject": ("he", "she", "they", "it"), "object": ("him", "her", "them", "it"), "possessive": ("his", "her", "their", "its"), "possessive_pronoun": ("his", "hers", "theirs"), "reflexive": ("himself", "herself", "themselves", "itself")}
@@ -45,8 +45,8 @@ def registry(segments: DataFrame, *keys: str, name: str = "speaker", order: str
     """Ids char_1, char_2, ... by first appearance within keys; an empty name is unknown and has no number."""
     named = segments.withColumn("key", F.lower(T.strip(F.coalesce(name, F.lit("")))))
     seen = named.where("key <> ''").groupBy(*keys, "key").agg(F.min(F.struct(order, F.col(name).alias("name"))).alias("f"))
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy(f"f.{order}", "key"))
-    return seen.select(*keys, "key", F.concat(F.lit("char_"), number.cast("string")).alias("character_id"), T.strip(F.col("f.name")).alias("display_name"))
+    placed = ranks.numbered(seen.select(*keys, "key", F.col(f"f.{order}").alias("__o"), F.col("f.name").alias("__name")), "__o", "key", keys=keys, name="__n")
+    return placed.select(*keys, "key", F.concat(F.lit("char_"), F.col("__n").cast("string")).alias("character_id"), T.strip(F.col("__name")).alias("display_name"))
 
 
 def pronoun_rows(sentences: DataFrame, *keep: str, text: str = "sentence") -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
+from inkwell.operators import ranks
 
 
 def explode_parts(chapters: DataFrame, parts: Column, chapter: str = "chapter_id", out: str = "text") -> DataFrame:
@@ -49,11 +50,10 @@ def batch_number(position: Column, size: int) -> Column:
     return F.floor(position / size).cast("int") if size > 0 else F.lit(0)
 
 
-def timed(segments: DataFrame, *keys: str, seconds: str = "seconds", order: str = "pos") -> DataFrame:
-    """Adds clip_begin and clip_end, running sums of durations; a null duration takes no time."""
-    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+def timed(segments: DataFrame, *keys: str, seconds: str = "seconds", order: str = "pos", block: int = ranks.BLOCK) -> DataFrame:
+    """Adds clip_begin and clip_end, running sums of durations in two levels; a null duration takes no time. order is a number."""
     own = F.coalesce(F.col(seconds), F.lit(0.0))
-    return segments.withColumn("clip_begin", F.coalesce(F.sum(own).over(before), F.lit(0.0))).withColumn("clip_end", F.col("clip_begin") + own)
+    return ranks.running(segments, *keys, value=seconds, order=order, name="clip_begin", block=block).withColumn("clip_end", F.col("clip_begin") + own)
 
 
 def clock(seconds: Column) -> Column:
@@ -76,15 +76,18 @@ def in_range(number: Column, start: int, end: int) -> Column:
 
 
 def numbered(chapters: DataFrame, *order: str) -> DataFrame:
-    """Chapters with number 1, 2, ... in an order; one book's list, so one small partition."""
-    return chapters.withColumn("number", F.row_number().over(Window.orderBy(*order)))
+    """Chapters with number 1, 2, ... in an order."""
+    return ranks.numbered(chapters, *order)
 
 
 def renumbered(chapters: DataFrame, book: str, number: str = "number", order: str = "pos") -> DataFrame:
-    """A book's chapter numbers, all by position if any of them repeats."""
-    by = Window.partitionBy(book)
-    clash = F.size(F.collect_set(number).over(by)) < F.count("*").over(by)
-    return chapters.withColumn(number, F.when(clash, F.row_number().over(by.orderBy(order))).otherwise(F.col(number)))
+    """A book's chapter numbers, all by position if any of them repeats. Distinct numbers are counted by shuffle, so no book is one task's window."""
+    rows = chapters.withColumn("__n", F.col(number))
+    seen = rows.groupBy(F.col(book).alias("__book"), "__n").agg(F.count("*").alias("c"))
+    clash = seen.groupBy("__book").agg(F.coalesce(F.max((F.col("c") > 1) & F.col("__n").isNotNull()), F.lit(False)).alias("__clash"), F.coalesce(F.max(F.col("__n").isNull()), F.lit(False)).alias("__gap"))
+    marked = rows.drop("__n").join(clash, F.col(book).eqNullSafe(F.col("__book"))).withColumn("__clash", F.col("__clash") | F.col("__gap")).drop("__book", "__gap")
+    placed = ranks.numbered(marked, order, keys=(book,), name="__place")
+    return placed.withColumn(number, F.when(F.col("__clash"), F.col("__place").cast(chapters.schema[number].dataType)).otherwise(F.col(number))).drop("__clash", "__place")
 
 
 def progress(segments: DataFrame, *keys: str, order: str = "pos") -> DataFrame:

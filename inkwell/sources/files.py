@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
+from inkwell.operators import ranks
 from inkwell.operators import segments as S
 
 CHAPTER_FILES = (".txt", ".html", ".htm")
@@ -24,7 +25,7 @@ def folder_chapters(spark: SparkSession, folder: str, endings: tuple[str, ...] =
     """(number, title, source, source_type) of a folder's files by name; numbers come from names, or from places if they repeat."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder).select("path")
     files = files.where(F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).isin(*endings)).select("path", F.lit(1).alias("book"), F.regexp_extract("path", r"([^/]*)$", 1).alias("name"))
-    placed = files.withColumn("pos", F.row_number().over(Window.partitionBy("book").orderBy("name")) - 1)
+    placed = ranks.numbered(files, "name", name="pos", start=0).withColumn("pos", F.col("pos").cast("int"))
     named = placed.withColumn("number", T.file_number(_stem(F.col("path")), F.col("pos")))
     rows = S.renumbered(named, "book").where(S.in_range(F.col("number"), start, end))
     return rows.select("number", _stem(F.col("path")).alias("title"), F.col("path").alias("source"), F.lit("file").alias("source_type"))
