@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
 from inkwell.functions import urls as U
+from inkwell.operators import ranks
+from inkwell.sources import scratch
 
 # A page's anchors, headings and title as regular expressions, for pages without nesting in them.
 ANCHOR = r"(?is)<a\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(.*?)</a\s*>"
@@ -24,11 +26,18 @@ def anchors(pages: DataFrame, *keep: str, html: str = "html") -> DataFrame:
     return rows.select(*keep, "pos", F.replace(href, F.lit("&amp;"), F.lit("&")).alias("href"), T.strip(F.regexp_replace(F.col("a.l"), "<[^>]*>", "")).alias("label"))
 
 
-def classified_links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(key, pos, url, kind) of followable links of a page's own host: chapter, pagination or other."""
-    rows = anchors(pages, key, url, html=html).where(U.is_followable(F.col("href")))
+def classified_links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", index: str | None = None) -> DataFrame:
+    """(key, pos, url, kind) of followable links of a page's own host: chapter, pagination or other.
+
+    Numbered chapters lie below the index page, which is the page itself, or that of the URL `index`.
+    """
+    return _classified(anchors(pages, key, url, html=html), key, url, index)
+
+
+def _classified(rows: DataFrame, key: str, url: str, index: str | None) -> DataFrame:
+    rows = rows.where(U.is_followable(F.col("href")))
     rows = rows.withColumn("link", U.resolve(F.col("href"), F.col(url))).where(U.authority(F.col("link")) == U.authority(F.col(url)))
-    index = F.regexp_replace(U.path(F.col(url)), "/+$", "")
+    index = F.regexp_replace(U.path(F.col(url) if index is None else F.lit(index)), "/+$", "")
     return rows.select(key, "pos", F.col("link").alias("url"), U.link_kind(F.col("link"), F.col("label"), index).alias("kind"))
 
 
@@ -38,12 +47,12 @@ def title(html, default: str = "Chapter"):
     return F.coalesce(*(F.when(F.length(t).between(1, 199), t) for t in found), F.lit(default))
 
 
-def chapters(pages: DataFrame, url: str = "url", html: str = "html", selectors: tuple[str, ...] = (), exclude: tuple[str, ...] = (), ordered_hosts: tuple[str, ...] = ORDERED_HOSTS) -> DataFrame:
+def chapters(pages: DataFrame, url: str = "url", html: str = "html", error: str | None = None, selectors: tuple[str, ...] = (), exclude: tuple[str, ...] = (), ordered_hosts: tuple[str, ...] = ORDERED_HOSTS) -> DataFrame:
     """(url, title, content, error): a page's cleaned content.
 
     What `exclude` names is taken out first. Pages of the ordered hosts and their subdomains give their paragraphs in
     CSS order; others what the selectors name, else the main content, else the body's text. A page that can't be read
-    has an error, and the rest goes on.
+    has an error, and so has one whose column `error` says why it could not be fetched; the rest goes on.
     """
 
     def read(batches):
@@ -55,7 +64,10 @@ def chapters(pages: DataFrame, url: str = "url", html: str = "html", selectors:
 
         for batch in batches:
             rows = []
-            for url, page in zip(batch["url"], batch["html"]):
+            for url, page, fault in zip(batch["url"], batch["html"], batch["error"]):
+                if fault is not None:
+                    rows.append((FAILED, "", fault))
+                    continue
                 try:
                     tree = Page(page)
                     tree.remove(*exclude)
@@ -67,7 +79,8 @@ def chapters(pages: DataFrame, url: str = "url", html: str = "html", selectors:
                     rows.append((FAILED, "", str(fault)))
             yield pd.concat([batch[["url"]].reset_index(drop=True), pd.DataFrame(rows, columns=["title", "content", "error"])], axis=1)
 
-    rows = pages.select(F.col(url).alias("url"), F.col(html).alias("html")).mapInPandas(read, "url string, title string, content string, error string")
+    fault = F.col(error) if error else F.lit(None).cast("string")
+    rows = pages.select(F.col(url).alias("url"), F.col(html).alias("html"), fault.alias("error")).mapInPandas(read, "url string, title string, content string, error string")
     return rows.withColumn("content", T.clean(F.col("content")))
 
 
@@ -87,27 +100,36 @@ def ordered_text(pages: DataFrame, key: str = "page_id", html: str = "html") ->
 def crawl(pages: DataFrame, start: str, max_pages: int = 50) -> DataFrame:
     """(url, level, ord): chapter URLs that are found from a start page over captured pages (url, html), first in, first out.
 
-    Each level of index pages is one join of at most max_pages rows (the feature's own cap) with the captured table;
-    its links come back to the driver, which keeps what was seen by canonical URL. So plans stay small at any depth.
+    The frontier and what was seen are tables. A level's pages are visited in the order of their ranks, so a link's
+    place in the queue is (rank of its page, place in the page); of equal canonical URLs the first counts. The anchors of
+    all captured pages are read once. Each level joins its frontier with them, takes out what was seen before by an anti join, sorts what is left and
+    writes it. Only counts come to the driver. Pages that are not captured count towards max_pages, which is the
+    feature's own cap; 0 or less is no cap. A page that was captured more than once counts once.
     """
     spark = pages.sparkSession
-    known = pages.select(U.canonical(F.col("url")).alias("c"), "html")
+    captured = pages.select(U.canonical(F.col("url")).alias("c"), "html").groupBy("c").agg(F.min("html").alias("html"))
+    read = scratch.write(anchors(captured, "c"))
+    captured = spark.read.parquet(read)
     canonical = U.canonical(F.col("url")).alias("c")
-    row = spark.createDataFrame([(start,)], "url string").select(canonical, U.index_is_chapter(F.col("url")).alias("is_chapter")).first()
-    frontier, seen, found = [(row.c, start)], set(), {}
-    if row.is_chapter:
-        found[row.c] = (start, -1, 0)
-    level = 0
-    while frontier and len(seen) < max_pages:
-        batch = list(dict(reversed([(c, u) for c, u in frontier if c not in seen])).items())[::-1][: max_pages - len(seen)]
-        seen.update(c for c, _ in batch)
-        level += 1
-        asked = spark.createDataFrame([(i, c, u) for i, (c, u) in enumerate(batch)], "page_id long, c string, url string")
-        links = classified_links(asked.join(known, "c").dropDuplicates(["page_id"])).where("kind <> 'other'").select("page_id", "pos", "url", "kind", canonical)
-        frontier = []
-        for link in sorted(links.collect(), key=lambda r: (r.page_id, r.pos)):
-            if link.kind == "pagination":
-                frontier.append((link.c, link.url))
-            else:
-                found.setdefault(link.c, (link.url, level, len(found)))
-    return spark.createDataFrame(list(found.values()), "url string, level int, ord long").orderBy("level", "ord")
+    first = spark.createDataFrame([(start,)], "url string").select(canonical, "url", F.lit(0).cast("long").alias("rank"), U.index_is_chapter(F.col("url")).alias("is_chapter"))
+    links = [scratch.write(first.where("is_chapter").select("c", "url", F.lit(-1).alias("level"), "rank", F.lit(0).alias("pos"), F.lit("chapter").alias("kind")))]
+    seen, visited, count = [scratch.write(first.drop("is_chapter"))], 0, 1
+    while count and (max_pages <= 0 or visited < max_pages):
+        frontier, visited = spark.read.parquet(seen[-1]), visited + count
+        kept = _classified(frontier.join(captured, "c").withColumnsRenamed({"rank": "page_id", "url": "page"}), "page_id", "page", start).where("kind <> 'other'")
+        links.append(scratch.write(kept.select(canonical, "url", F.lit(len(links)).alias("level"), F.col("page_id").alias("rank"), "pos", "kind")))
+        queued = spark.read.parquet(links[-1]).where("kind = 'pagination'").groupBy("c").agg(F.min(F.struct("rank", "pos", "url")).alias("m"))
+        queued = queued.join(spark.read.parquet(*seen).select("c"), "c", "left_anti").select("c", "m.url", F.col("m.rank").alias("__r"), F.col("m.pos").alias("__p"))
+        # Rows sorted by ranges get growing numbers with gaps, which keep the order.
+        dealt = queued.repartitionByRange("__r", "__p").sortWithinPartitions("__r", "__p")
+        seen.append(scratch.write(dealt.select("c", "url", F.monotonically_increasing_id().alias("rank"))))
+        count = spark.read.parquet(seen[-1]).count()
+        if max_pages > 0 and visited + count > max_pages and visited < max_pages:
+            rest = scratch.write(spark.read.parquet(seen[-1]).orderBy("rank").limit(max_pages - visited))
+            scratch.discard(spark, seen.pop())
+            seen.append(rest)
+            count = max_pages - visited
+    every = spark.read.parquet(*links).where("kind = 'chapter'").groupBy("c").agg(F.min(F.struct("level", "rank", "pos", "url")).alias("m")).select("m.*")
+    out = scratch.write(ranks.numbered(every, "level", "rank", "pos", name="ord", start=0).select("url", "level", "ord"))
+    scratch.discard(spark, read, *links, *seen)
+    return spark.read.parquet(out).orderBy("ord")

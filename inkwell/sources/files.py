@@ -186,7 +186,7 @@ if DataSource is not None:
         return getattr(import_module(module), name)
 
     class ItemReader(DataSourceReader):
-        """Reads pages of a JSON array, each a partition; the option transform names a function of an item that gives the row's fields."""
+        """Reads pages of a JSON array, each a partition, with attempts; the option transform names a function of an item that gives the row's fields."""
 
         def __init__(self, schema, options):
             self.names, self.options = schema.names, options
@@ -197,13 +197,17 @@ if DataSource is not None:
 
         def read(self, partition):
             import json
-            from urllib.request import Request, urlopen
+
+            from inkwell.sources.fetch import Fetcher
 
             url = self.options["url"].replace("{page}", str(partition.value + 1))
-            with urlopen(Request(url, headers=json.loads(self.options.get("headers", "{}"))), timeout=float(self.options.get("timeout", "30"))) as reply:
-                for item in json.load(reply):
-                    item = self.transform(item)
-                    yield tuple(None if item.get(n) is None else str(item[n]) for n in self.names)
+            asker = Fetcher(int(self.options.get("attempts", "3")), float(self.options.get("delay", "1")), float(self.options.get("timeout", "30")), headers=json.loads(self.options.get("headers", "{}")))
+            _, _, _, text, fault = asker.page(url)
+            if fault:
+                raise OSError(fault)
+            for item in json.loads(text):
+                item = self.transform(item)
+                yield tuple(None if item.get(n) is None else str(item[n]) for n in self.names)
 
     class ItemSource(DataSource):
         """spark.dataSource.register(ItemSource); spark.read.format("inkwell_items").option("url", ...)"""
