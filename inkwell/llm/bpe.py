@@ -207,8 +207,10 @@ def encode(documents: DataFrame, ranks_path: str, pattern: str, text: str = "tex
 
     ranks_path is read by each Python worker, so it names a file that every executor has (an installed
     package's file). Each match of pattern is encoded by itself; there are no special tokens. A null or
-    empty text has no tokens; repeated rows stay repeated; no length is too long.
+    empty text has no tokens; repeated rows stay repeated; no length is too long; keep must not hold a result's name.
     """
+    if clash := {"n_tokens", "ids", "decoded"} & {k.lower() for k in keep}:
+        raise ValueError(f"columns to keep have the names of results: {sorted(clash)}")
     fields = [documents.schema[k] for k in keep]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_tokens long", "ids binary", *(["decoded binary"] if with_decoded else [])])
 

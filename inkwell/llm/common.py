@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,28 +9,19 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.sources import scratch
+
 #: Words of a shingle and the smallest similarity of near copies, in hundredths.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir. In local mode, where it may be unset, a temporary one; on a cluster it must be set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="inkwell-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Writes df once to the scratch folder and reads it back: cuts the lineage, survives lost executors."""
     return df.sparkSession.read.parquet(scratch_write(df, partition_by))
 
 
 def scratch_write(df: DataFrame, partition_by: str | None = None) -> str:
-    path = f"{scratch_root(df.sparkSession)}/inkwell-{uuid.uuid4().hex}"
+    path = f"{scratch.root(df.sparkSession)}/inkwell-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return path
@@ -58,9 +47,14 @@ def text_bytes(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary")
 
 
+def text_name(keep: tuple[str, ...], text: str) -> str:
+    """What with_text calls the text: its own name if it is kept, else one that no kept column has."""
+    return text if text in keep else unused("__text", keep)
+
+
 def with_text(documents: DataFrame, keep: tuple[str, ...], text: str) -> DataFrame:
-    """Columns keep, and the text as __text unless it is among them: a text travels to Python once."""
-    return documents.select(*keep) if text in keep else documents.select(*keep, F.col(text).alias("__text"))
+    """Columns keep, and the text under text_name unless it is among them: a text travels to Python once."""
+    return documents.select(*keep) if text in keep else documents.select(*keep, F.col(text).alias(text_name(keep, text)))
 
 
 def parts(batches: Iterator, rows: int = 500) -> Iterator:
@@ -72,7 +66,7 @@ def parts(batches: Iterator, rows: int = 500) -> Iterator:
 
 def texts_of(batch, keep: tuple[str, ...], text: str) -> list[str]:
     """A slice's texts; null counts as empty."""
-    return [t or "" for t in batch.column(text if text in keep else "__text").to_pylist()]
+    return [t or "" for t in batch.column(text_name(keep, text)).to_pylist()]
 
 
 def ascii_words(data: bytes) -> list[bytes]:

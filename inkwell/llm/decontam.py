@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import ascii_words, discard, mix, parts, scratch_write, text_bytes, texts_of, unused, with_text
+from inkwell.llm.common import ascii_words, discard, mix, parts, scratch_write, text_bytes, text_name, texts_of, unused, with_text
 
 #: Words of the shortest tile, the share of an item's words that counts, and bytes of benchmark text in a block.
 TILE_WORDS, COVERAGE, BLOCK_BYTES = 5, 0.4, 8 << 20
@@ -188,7 +188,7 @@ def matches(documents: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
         rows = sorted(((r[0], bytes(r[1]), r[2]) for r in placed.where(F.col("__b") == number).select("item_id", "__t", "__n").collect()), key=lambda r: (r[0] is not None, r[0], r[1]))
         shared = df.sparkSession.sparkContext.broadcast((Block.of([((r[0], r[2]), r[1]) for r in rows])))
         last = number + 1 == blocks
-        schema = StructType([StructField(f.name, f.dataType) for f in df.schema if not (last and f.name == "__text")])
+        schema = StructType([StructField(f.name, f.dataType) for f in df.schema if not (last and text not in keep and f.name == text_name(keep, text))])
 
         def run(batches: Iterator, shared=shared, names=tuple(schema.names)):
             import pyarrow as pa

@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import SHINGLE_WORDS, Forest, WordHash, ascii_words, connected_components, discard, scratch_write, shingle_set, text_bytes
+from inkwell.llm.common import SHINGLE_WORDS, Forest, WordHash, ascii_words, connected_components, discard, scratch_write, shingle_set, text_bytes, unused
 
 #: Bits of the table of shingle counts, and of the table that marks documents whose sets are needed.
 COUNT_BITS, MARK_BITS = 20, 24
@@ -325,8 +325,9 @@ def components(documents: DataFrame, key: str = "doc_id", text: str = "text", ha
 
 def distinct_documents(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component: that whose key is the component's id. Of repeated rows one stays; rows without a key all stay."""
-    keep = components(documents, key, text, hashed=True).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__key"), "__h").distinct()
-    marked = documents.withColumn("__own", F.xxhash64(text_bytes(text)))
-    joined = marked.join(keep, (F.col(key) == F.col("__key")) & (F.col("__own") == F.col("__h")), "left_semi")
-    one = joined.withColumn("__n", F.row_number().over(Window.partitionBy(key, "__own").orderBy(key, "__own"))).where("__n = 1")
-    return one.drop("__n", "__own").unionByName(documents.where(F.col(key).isNull()))
+    own, place, chosen, digest = (unused(stem, documents.columns) for stem in ("__own", "__n", "__key", "__h"))
+    keep = components(documents, key, text, hashed=True).where(F.col(key) == F.col("component_id")).select(F.col(key).alias(chosen), F.col("__h").alias(digest)).distinct()
+    marked = documents.withColumn(own, F.xxhash64(text_bytes(text)))
+    joined = marked.join(keep, (F.col(key) == F.col(chosen)) & (F.col(own) == F.col(digest)), "left_semi")
+    one = joined.withColumn(place, F.row_number().over(Window.partitionBy(key, own).orderBy(key, own))).where(F.col(place) == 1)
+    return one.drop(place, own).unionByName(documents.where(F.col(key).isNull()))

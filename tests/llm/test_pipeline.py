@@ -45,5 +45,23 @@ def test_empty_tables(spark, tmp_path):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
     assert set(ORACLE_SQL) <= set(QUERIES)
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    """Helper columns of the operators give way to the documents' own."""
+    from pyspark.sql import functions as F
+
+    extra = ("__own", "__n", "__key", "__h", "__text", "__score", "__id", "matches")
+    long = " ".join(f"word{i}" for i in range(60))
+    rows = [(i, f"{long} number{i // 2}" + (" awful" if i % 5 == 0 else ""), "en", "s", 9) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *(F.lit(f"v{i}").alias(name) for i, name in enumerate(extra)))
+    spark.createDataFrame([(i, int(i % 4 > 0), int(i % 5 == 0)) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "no such passage stands in any of these texts at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        assert all(tuple(r[c] for c in extra) == tuple(f"v{i}" for i in range(len(extra))) for r in out.collect())
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 40
