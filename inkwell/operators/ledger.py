@@ -5,6 +5,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.operators.json_diff import differences as json_differences  # noqa: F401
+
 
 def with_inventory(books: DataFrame, raw: str = "raw", valid: str = "valid") -> DataFrame:
     """Counts not below 0; the last count is the valid one."""
@@ -44,29 +46,6 @@ def iso_utc(at: Column) -> Column:
     return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
-def json_differences(rows: DataFrame, *keep: str, left: str, right: str) -> DataFrame:
-    """(keep, path, a, b) where two JSON objects differ, at any depth; <missing> marks an absent key, arrays compare whole."""
-    import pandas as pd
-
-    @F.pandas_udf("array<struct<path:string,a:string,b:string>>")
-    def differences(lefts: pd.Series, rights: pd.Series) -> pd.Series:
-        import json
-
-        def walk(a, b, path, out):
-            for key in sorted(set(a) | set(b)):
-                x, y, at = a.get(key, "<missing>"), b.get(key, "<missing>"), f"{path}.{key}" if path else key
-                if isinstance(x, dict) and isinstance(y, dict):
-                    walk(x, y, at, out)
-                elif x != y:
-                    text = lambda v: v if isinstance(v, str) else json.dumps(v, sort_keys=True)
-                    out.append({"path": at, "a": text(x), "b": text(y)})
-            return out
-
-        return pd.Series([walk(json.loads(a or "{}"), json.loads(b or "{}"), "", []) for a, b in zip(lefts, rights)])
-
-    return rows.select(*keep, F.explode(differences(left, right)).alias("d")).select(*keep, "d.path", "d.a", "d.b")
-
-
 def not_retryable(message: Column) -> Column:
     """Whether an error text says that a retry is in vain."""
     # Marks of errors that stay.

@@ -442,11 +442,17 @@ def json_props(spark, sf_dir):
 
 
 @query("json_diff", """
-WITH p AS (SELECT event_id, CAST(json_object('a', event_id, 'b', event_type) AS VARCHAR) AS l, event_id + event_id % 2 AS a2, event_type AS b2 FROM events)
-SELECT event_id, 'a' AS path, CAST(event_id AS VARCHAR) AS a, CAST(a2 AS VARCHAR) AS b FROM p WHERE event_id % 2 = 1 UNION ALL SELECT event_id, 'c.d', '<missing>', '1' FROM p WHERE false UNION ALL SELECT event_id, 'c', '<missing>', '{"d": 1}' FROM p""")
+SELECT event_id, 'a' AS path, CAST(event_id AS VARCHAR) AS a, CAST(event_id + 1 AS VARCHAR) AS b FROM events WHERE event_id % 2 = 1
+UNION ALL SELECT event_id, 'c', '<missing>', '{"d":1}' FROM events
+UNION ALL SELECT event_id, 'list', '[' || event_id || ',{"v":2}]', '[' || event_id || ',{"v":1}]' FROM events WHERE event_id % 2 = 1
+UNION ALL SELECT event_id, 'n.x.kind', 'click', event_type FROM events WHERE event_type <> 'click'
+UNION ALL SELECT event_id, 'n.x.gone', '[]', '<missing>' FROM events WHERE event_id % 3 = 0""")
 def json_diff(spark, sf_dir):
-    k = F.col("event_id")
-    rows = table(spark, sf_dir, "events").select(k, F.to_json(F.struct(k.alias("a"), F.col("event_type").alias("b"))).alias("l"), F.to_json(F.struct((k + k % 2).alias("a"), F.col("event_type").alias("b"), F.struct(F.lit(1).alias("d")).alias("c"))).alias("r"))
+    k, odd, kind = F.col("event_id"), F.col("event_id") % 2, F.col("event_type")
+    items = lambda v: F.array(k.cast("string"), F.concat(F.lit('{"v":'), v.cast("string"), F.lit("}")))
+    text = lambda a, kind, v, gone, more: F.concat(F.lit('{"n": {"x": {"kind": "'), kind, F.lit('"'), gone, F.lit('}}, "b": "'), F.col("event_type"), F.lit('", "a": '), a.cast("string"), F.lit(', "list": ['), F.array_join(items(v), ", "), F.lit("]"), F.lit(more), F.lit("}"))
+    gone = F.when(k % 3 == 0, ', "gone": []').otherwise("")
+    rows = table(spark, sf_dir, "events").select(k, text(k, F.lit("click"), odd + 1, gone, "").alias("l"), text(k + odd, kind, F.lit(1), F.lit(""), ', "c": {"d": 1}').alias("r"))
     return ledger.json_differences(rows, "event_id", left="l", right="r")
 
 
