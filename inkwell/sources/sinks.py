@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
 from inkwell.operators import segments as S
+from inkwell.sources import pieces
 
 
 def save_stage(df: DataFrame, path: str, partition: str | None = "chapter_id") -> None:
@@ -109,22 +110,5 @@ def packages(chapters: DataFrame, book: str = "book_id", modified: str = "2000-0
 
 
 def archives(files: DataFrame, book: str = "book_id") -> DataFrame:
-    """(book, epub) from files (book, name, content): the archive's first entry is the uncompressed mimetype."""
-
-    def pack(key, table):
-        import io
-        import zipfile
-
-        import pandas as pd
-
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w") as book_file:
-            stamp = lambda n: zipfile.ZipInfo(n, (1980, 1, 1, 0, 0, 0))
-            book_file.writestr(stamp("mimetype"), "application/epub+zip", zipfile.ZIP_STORED)
-            book_file.writestr(stamp("META-INF/container.xml"), '<?xml version="1.0"?>\n<container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>', zipfile.ZIP_DEFLATED)
-            for name, content in sorted(zip(table["name"], table["content"])):
-                book_file.writestr(stamp(f"OEBPS/{name}"), content, zipfile.ZIP_DEFLATED)
-        return pd.DataFrame({book: [key[0]], "epub": [out.getvalue()]})
-
-    kind = files.schema[book].dataType.simpleString()
-    return files.select(book, "name", F.col("content").cast("binary").alias("content")).groupBy(book).applyInPandas(pack, f"{book} {kind}, epub binary")
+    """(book, epub) from files (book, name, content), for books that fit into a value; pieces.save writes larger ones."""
+    return pieces.joined(pieces.epub_pieces(files, book), book, out="epub")
