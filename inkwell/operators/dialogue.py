@@ -14,6 +14,7 @@ from inkwell.functions import model_json as J
 from inkwell.functions import text as T
 from inkwell.functions.bind import let
 from inkwell.operators import characters as C
+from inkwell.operators import replies
 from inkwell.operators import segments as S
 
 SYSTEM = "Classify every segment. Answer with a JSON array that has one object for each id, with the fields " + ", ".join(J.CANDIDATE_KEYS) + "."
@@ -80,13 +81,14 @@ def batches(segments: DataFrame, size: int = 20, chapter: str = "chapter_id") ->
     return rows.groupBy(chapter, "batch").agg(F.array_sort(F.collect_list(item)).alias("items"))
 
 
-def ladder(work: DataFrame, model: Model, fallback: Model | None = None, formatter: Model | None = None, retries: int = 2, chapter: str = "chapter_id") -> DataFrame:
+def ladder(work: DataFrame, model: Model, fallback: Model | None = None, formatter: Model | None = None, retries: int = 2, chapter: str = "chapter_id", store: str | None = None) -> DataFrame:
     """Batches with the reply that kept the contract, which rung gave it, and what went wrong on the way.
 
     The model is asked, then asked to repair its reply up to `retries` times; a fallback model is asked as at first;
     a formatter is given the model's last reply to mend. Adds reply, error (null where a reply is good), ratio (ids
     met by the last reply), rung (model, fallback, formatter or heuristic), asks, malformed and failures. Write the
-    result once: whoever reads this plan twice asks the models twice.
+    result once: whoever reads this plan twice asks the models twice. With `store`, the path of a table of replies, each
+    question is asked once, in this run and in later ones (replies.answered); what failed is asked again.
     """
     chunk = F.col(chapter).cast("string")
     source = F.to_json(F.transform("items", lambda x: F.struct(x["id"].alias("id"), x["text"].alias("text"), x["context_before"].alias("context_before"), x["context_after"].alias("context_after"))))
@@ -102,7 +104,11 @@ def ladder(work: DataFrame, model: Model, fallback: Model | None = None, formatt
     for kind, who, system, user, mark in rungs:
         open_ = F.col("error").isNotNull()
         name = F.concat(chunk, F.lit("_p2b"), F.col("batch").cast("string"), F.lit(f"_{mark}"))
-        df = df.withColumn("__a", asked(who, F.lit(system), F.when(open_, user), name))
+        if store is None:
+            df = df.withColumn("__a", asked(who, F.lit(system), F.when(open_, user), name))
+        else:
+            df = df.withColumns({"__s": F.lit(system), "__u": F.when(open_, user), "__n": name})
+            df = replies.answered(df, lambda s, u, n, who=who: asked(who, s, u, n), store, kind, "__s", "__u", "__n", "__a").drop("__s", "__u", "__n")
         df = df.withColumn("__v", F.when(open_, _verdict(F.col("__a.reply"), F.col("items"), chunk)))
         good = open_ & F.col("__v.error").isNull()
         df = df.withColumns({
