@@ -153,6 +153,7 @@ def _candidate(x: Column, raw: Column, expected_id: Column, source_text: Column,
     delimiter = or_else("delimiter_type", T.delimiter_type(source_text))
     sure = F.coalesce(x["confidence"].try_cast("double"), F.when(x["confidence"].isNull(), 1.0).otherwise(0.0))
     begin, end = x["span_start"].try_cast("int"), x["span_end"].try_cast("int")
+    # The error texts of the contract.
     fault = F.coalesce(
         F.when(x.isNull() | ~F.startswith(F.ltrim(raw), F.lit("{")), "candidate is not an object"),
         F.when(T.strip(F.coalesce(x["id"], F.lit(""))) != expected_id, "id mismatch"),

@@ -57,6 +57,7 @@ def _verdict(reply: Column, items: Column, chunk: Column) -> Column:
                 source = F.get(F.filter(items, lambda x: x["id"] == own), F.lit(0))
                 strange = source.isNull() | F.array_contains(F.slice(ids, 1, i), own)
                 said = J.candidate(e, own, source["text"], chunk)["error"]
+                # Fixed values here and below: the error texts of the contract.
                 return F.coalesce(
                     F.when(e.isNull() | ~F.startswith(F.ltrim(e), F.lit("{")), F.struct(F.lit("candidate is not an object").alias("error"), F.lit(0.0).alias("ratio"))),
                     F.when(strange, F.struct(F.concat(F.lit("unexpected or duplicate id: "), F.when(own == "", "<empty>").otherwise(own)).alias("error"), (i / count).alias("ratio"))),

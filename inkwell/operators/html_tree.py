@@ -6,7 +6,7 @@ import re
 from html.parser import HTMLParser
 
 # Elements and class words that are not content.
-NOISE_TAGS = frozenset("script style nav header footer aside form button select input textarea noscript iframe figure figcaption picture source meta link".split())
+NOISE_TAGS = ("script", "style", "nav", "header", "footer", "aside", "form", "button", "select", "input", "textarea", "noscript", "iframe", "figure", "figcaption", "picture", "source", "meta", "link")
 NOISE = re.compile(r"nav|menu|sidebar|header|footer|breadcrumb|social|share|comment|advert|ads?[-_]|banner|popup|modal|overlay|cookie|widget|toolbar|reader[-_]?setting|reader[-_]?control", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 

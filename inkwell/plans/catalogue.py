@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -596,12 +596,14 @@ def placeholder_urls(spark, sf_dir):
 
 
 @query("settings_merge", """
-SELECT k, v FROM (VALUES ('batch', '30'), ('model', 'own'), ('theme', 'dark')) t(k, v)""")
+SELECT o_orderkey, 'priority' AS k, o_orderpriority AS v FROM orders UNION ALL SELECT o_orderkey, 'theme', 'dark' FROM orders
+UNION ALL SELECT o_orderkey, 'status', CASE o_orderstatus WHEN 'F' THEN 'done' ELSE 'open' END FROM orders""")
 def settings_merge(spark, sf_dir):
-    one = table(spark, sf_dir, "region").limit(1)
-    m = lambda *kv: F.create_map(*map(F.lit, kv))
-    merged = ledger.merged_settings(m("batch", "20", "theme", "dark"), m("batch", "30", "model", "own", "json_mode", "1"), ("json_mode",))
-    return one.select(F.explode(merged).alias("k", "v"))
+    text = lambda *kv: F.create_map(*(x if isinstance(x, Column) else F.lit(x) for x in kv))
+    own = text("priority", F.col("o_orderpriority"), "json_mode", "1")
+    stored = F.when(F.col("o_orderstatus") == "F", F.map_concat(own, text("status", "done"))).otherwise(own)
+    merged = ledger.merged_settings(text("priority", "none", "theme", "dark", "status", "open"), stored, ("json_mode",))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.explode(merged).alias("k", "v"))
 
 
 @query("stage_resume", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -798,16 +800,19 @@ def tidy_segments(spark, sf_dir):
     return dialogue.tidy(rows).drop("text")
 
 
-# Expected values by the URL standard's own examples, for the base http://a/b/c/d;p?q.
-_JOINED = (("g", "http://a/b/c/g"), ("./g", "http://a/b/c/g"), ("g/", "http://a/b/c/g/"), ("/g", "http://a/g"), ("//g", "http://g"), ("?y", "http://a/b/c/d;p?y"), ("g?y", "http://a/b/c/g?y"), ("#s", "http://a/b/c/d;p?q#s"), ("g#s", "http://a/b/c/g#s"), (";x", "http://a/b/c/;x"), (".", "http://a/b/c/"), ("./", "http://a/b/c/"), ("..", "http://a/b/"), ("../", "http://a/b/"), ("../g", "http://a/b/g"), ("../..", "http://a/"), ("../../g", "http://a/g"), ("../../../g", "http://a/g"), ("./g/.", "http://a/b/c/g/"), ("g/../h", "http://a/b/c/h"), ("g?y/../x", "http://a/b/c/g?y/../x"), ("mailto:x@y", "mailto:x@y"), ("https://z/q", "https://z/q"))
-
-
-@query("resolved_links", f"""
-SELECT page_id, href, link FROM pages, (VALUES {', '.join(str(x) for x in _JOINED)}) v(href, link) WHERE page_id < 100""")
+@query("resolved_links", r"""
+WITH p AS (SELECT page_id, regexp_extract(url, '^[^:/?#]+://[^/?#]*') AS site, regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+f AS (SELECT *, CASE WHEN path = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END AS folder FROM p)
+SELECT page_id, 'sub/' || page_id AS href, site || folder || 'sub/' || page_id AS link FROM f
+UNION ALL SELECT page_id, '../up' || page_id, site || CASE WHEN folder = '/' THEN '/' ELSE regexp_replace(folder, '[^/]+/$', '') END || 'up' || page_id FROM f
+UNION ALL SELECT page_id, './a/../b?x=../' || page_id, site || folder || 'b?x=../' || page_id FROM f
+UNION ALL SELECT page_id, '?p=' || page_id, site || path || '?p=' || page_id FROM f
+UNION ALL SELECT page_id, '/top/' || page_id || '#f', site || '/top/' || page_id || '#f' FROM f""")
 def resolved_links(spark, sf_dir):
-    hrefs = F.explode(F.array(*(F.lit(h) for h, _ in _JOINED))).alias("href")
-    rows = table(spark, sf_dir, "pages").where("page_id < 100").select("page_id", hrefs)
-    return rows.select("page_id", "href", U.resolve(F.col("href"), F.lit("http://a/b/c/d;p?q")).alias("link"))
+    key = F.col("page_id").cast("string")
+    hrefs = F.array(F.concat(F.lit("sub/"), key), F.concat(F.lit("../up"), key), F.concat(F.lit("./a/../b?x=../"), key), F.concat(F.lit("?p="), key), F.concat(F.lit("/top/"), key, F.lit("#f")))
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", F.explode(hrefs).alias("href"))
+    return rows.select("page_id", "href", U.resolve(F.col("href"), F.col("url")).alias("link"))
 
 
 @query("inline_pages", """
@@ -915,9 +920,10 @@ def character_context(spark, sf_dir):
     return C.context_lines(rows, "s_nationkey").select("s_nationkey", F.md5("context").alias("digest"))
 
 
-@query("alias_tidy", "SELECT s_suppkey, 'Zed|a b|ab' AS aliases FROM supplier")
+@query("alias_tidy", "SELECT s_suppkey, array_to_string(list_sort([s_name, lower(s_name), CAST(s_nationkey AS VARCHAR)]), '|') AS aliases FROM supplier")
 def alias_tidy(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(C.tidy_aliases(F.array(F.lit(" ab "), F.lit(""), F.lit("Zed"), F.lit("a b"))), "|").alias("aliases"))
+    given = F.array(F.concat(F.lit(" "), "s_name", F.lit("\t")), F.lit(""), F.lower("s_name"), F.lit("  "), F.col("s_nationkey").cast("string"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(C.tidy_aliases(given), "|").alias("aliases"))
 
 
 @query("overlays", """
