@@ -23,7 +23,7 @@ SCHEMA = "url string, status int, attempts int, html string, error string"
 
 
 class Fetcher:
-    """Asks for pages one after another: `attempts` times each with `delay` seconds between, `pause` seconds between pages of a host."""
+    """Asks for pages one after another: `attempts` times each with `delay` seconds between, `pause` seconds between an answer of a host and the next request."""
 
     def __init__(self, attempts: int = 3, delay: float = 1.0, timeout: float = 20.0, pause: float = 0.0, headers: dict | None = None, agents=AGENTS):
         self.attempts, self.delay, self.timeout, self.pause = max(1, attempts), delay, timeout, pause
@@ -36,7 +36,11 @@ class Fetcher:
         left = self.last.get(host, -1e9) + self.pause - time.monotonic()
         if left > 0:
             time.sleep(left)
-        self.last = {host: time.monotonic()}  # pages come host by host
+
+    def _answered(self, url: str) -> None:
+        from urllib.parse import urlsplit
+
+        self.last = {urlsplit(url).netloc: time.monotonic()}  # pages come host by host
 
     def page(self, url: str | None) -> tuple:
         """(url, status, attempts, html, error); status is the last answer's, if there was one."""
@@ -54,6 +58,8 @@ class Fetcher:
                         return url, reply.status, attempt, reply.read().decode(reply.headers.get_content_charset() or "utf-8", "replace"), None
                 except Exception as why:  # noqa: BLE001  one page must not end the job
                     status, fault = why.code if isinstance(why, HTTPError) else status, f"{type(why).__name__}: {why}"
+                finally:
+                    self._answered(url)
                 if attempt < self.attempts:
                     time.sleep(self.delay)
         return url, status, self.attempts if url else 0, None, f"Failed to fetch URL after retries: {url} ({fault})"
