@@ -91,6 +91,27 @@ def fault_of(reply, expected: list[str]) -> tuple[str | None, dict]:
     return (None, by_id) if set(by_id) == set(expected) else ("ID mismatch", {})
 
 
+def question(ids, texts, befores, afters) -> str:
+    """The user text of a batch."""
+    import json
+
+    return json.dumps([{"id": i, "text": t, "context_before": b, "context_after": a} for i, t, b, a in zip(ids, texts, befores, afters)])
+
+
+def attempted(model: Callable, plain: bool, attempt: int, error: str, ask: str, expected: list[str], repair, left: int) -> tuple[str | None, dict, int]:
+    """One attempt at a batch: the breach of the contract (null if none), items by id, and how many repairs it took of those that are left."""
+    mended = 0
+    try:
+        reply = model(ask) if plain else model(SYSTEMS[min(attempt, 2)].format(error=error), ask)
+        error, got = fault_of(reply, expected)
+        while error and repair is not None and mended < left:
+            mended += 1
+            error, got = fault_of(repair(str(reply), error), expected)
+        return error, got, mended
+    except Exception as fault:  # noqa: BLE001  any failure of a model is a failed attempt
+        return str(fault) or "failed", {}, mended
+
+
 def classified(segments: DataFrame, model: Callable = heuristic_reply, size: int = 20, limit: int = 3, attempts: int = 3, chapter: str = "chapter_id", repair: Callable[[str, str], str] | None = None, repairs: int = 1) -> DataFrame:
     """Runs a model over each chapter's segments in order.
 
@@ -115,17 +136,11 @@ def classified(segments: DataFrame, model: Callable = heuristic_reply, size: int
             n = 1 if failures >= limit else max(1, size or len(table))
             part = table.iloc[at : at + n]
             expected = [str(i) for i in part["segment_id"]]
-            ask = json.dumps([{"id": i, "text": t, "context_before": b, "context_after": a} for i, t, b, a in zip(part["segment_id"], part["text"], part["context_before"], part["context_after"])])
+            ask = question(expected, part["text"], part["context_before"], part["context_after"])
             error, got, mended = "no reply", {}, 0
             for attempt in range(attempts):
-                try:
-                    reply = model(ask) if plain else model(SYSTEMS[min(attempt, 2)].format(error=error), ask)
-                    error, got = fault_of(reply, expected)
-                    while error and repair is not None and mended < repairs:
-                        mended += 1
-                        error, got = fault_of(repair(str(reply), error), expected)
-                except Exception as fault:  # noqa: BLE001  any failure of a model is a failed attempt
-                    error, got = str(fault) or "failed", {}
+                error, got, more = attempted(model, plain, attempt, error, ask, expected, repair, repairs - mended)
+                mended += more
                 if error is None:
                     break
             failures += error is not None
