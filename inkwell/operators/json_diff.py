@@ -34,6 +34,9 @@ def differences(rows: DataFrame, *keep: str, left: str, right: str) -> DataFrame
     pairs of objects go on to the next level, which is written so that plans stay small, and all other pairs that
     differ are rows. A null or malformed text, and one that is no object, is an empty object. Values are shown as
     compact JSON with sorted keys, texts without quotes. Numbers are equal by value, 1 and 1.0 too.
+
+    Spark takes 2 KB for a VARIANT whatever it holds, so a plan's size without its VARIANTs is guessed far too small: the
+    columns to keep are joined back by sorting, or else the driver would gather and broadcast them for all rows.
     """
     spark = rows.sparkSession
     empty = F.parse_json(F.lit("{}"))
@@ -59,4 +62,4 @@ def differences(rows: DataFrame, *keep: str, left: str, right: str) -> DataFrame
     every = found[0]
     for one in found[1:]:
         every = every.unionByName(one)
-    return every.join(spark.read.parquet(base).select("__row", "__keep"), "__row").select("__keep.*", "path", "a", "b")
+    return every.join(spark.read.parquet(base).select("__row", "__keep").hint("merge"), "__row").select("__keep.*", "path", "a", "b")

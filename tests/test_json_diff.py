@@ -40,3 +40,11 @@ def test_numbers_are_equal_by_value_and_no_python_runs(spark):
     assert [tuple(r) for r in out.collect()] == [(1, "b.c.d", "[1,2]", "[2,1]")]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_kept_columns_are_not_broadcast(spark):
+    """Their size is guessed from that of a VARIANT, so millions of rows would go through the driver."""
+    df = spark.range(1000).selectExpr("id AS i", "concat('{\"a\": ', id, '}') AS l", "'{}' AS r")
+    out = json_diff.differences(df, "i", left="l", right="r")
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in out.collect()) == sorted((i, "a", str(i), MISSING) for i in range(1000))
