@@ -4,7 +4,8 @@ Unit vectors have a cosine of c or more exactly if their distance is at most eps
 orthonormal projection enlarges a distance. Vectors are sorted by the cells of side epsilon of their leading
 principal components (epsilon grid order) and cut into blocks. Intervals of the sorted sequence are joined
 recursively: a pair of intervals whose boxes are over epsilon apart is skipped as a whole, others are halved, down to
-pairs of blocks. Pairs of blocks travel as rows, so no group is gathered in one task. Equal vectors are one row
+pairs of blocks. No group is gathered in one task, and no pair of blocks is stored: tasks read the blocks of two pieces of the
+sequence where they lie, so disk grows with the vectors, not with the pairs. Equal vectors are one row
 with a count, and a pair of blocks returns counts of links and a spanning forest, never all links.
 
 The principal axes come from a bounded sample: any axes give the same links, good ones skip more.
@@ -19,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import connected_components, materialize, scratch_write
+from inkwell.llm.common import connected_components, discard, materialize, scratch_write
 
 #: Vectors that the axes are fitted on, axes that order and skip, vectors of a block.
 FIT_ROWS, AXES, BLOCK_ROWS = 4096, 6, 1024
@@ -40,7 +41,10 @@ def _matrix(blobs: list[bytes], dtype: str, width: int) -> tuple[np.ndarray, np.
 
 
 def _prepare(embeddings: DataFrame, key: str, vector: str, dtype: str) -> DataFrame:
-    """(id, p, q, blob): p and q identify a valid vector's values, all three are null for vectors that link with nothing."""
+    """(id, p, q, blob): p and q identify a valid vector's values, all three are null for vectors that link with nothing.
+
+    It is computed where it is read: stored, the values would lie on disk once more.
+    """
 
     def run(batches: Iterator):
         import pyarrow as pa
@@ -86,8 +90,8 @@ def _projected(classes: DataFrame, axes: np.ndarray, epsilon: float, dtype: str)
 
 
 def _blocks(ordered: DataFrame, k: int) -> DataFrame:
-    """Blocks of a sorted table: part, block, box (lo, hi by axis) and the rows as ids, counts and blobs."""
-    schema = "part int, block int, lo array<double>, hi array<double>, ids array<long>, counts array<long>, blobs array<binary>"
+    """Blocks of a sorted table: part, block, box (lo, hi by axis) and the rows as ids, counts, lengths in bytes and all values in one blob."""
+    schema = "part int, block int, lo array<double>, hi array<double>, ids array<long>, counts array<long>, sizes array<int>, blob binary"
 
     def run(batches: Iterator):
         import pyarrow as pa
@@ -105,10 +109,10 @@ def _blocks(ordered: DataFrame, k: int) -> DataFrame:
 
     def make(pa, table, part, block):
         x = np.stack([table.column(f"x{i}").to_numpy() for i in range(k)], 1)
-        one = lambda v, t: pa.array([v], t)
+        one, blobs = lambda v, t: pa.array([v], t), table.column("blob").to_pylist()
         return pa.RecordBatch.from_arrays(
-            [one(part, pa.int32()), one(block, pa.int32()), one(x.min(0), pa.list_(pa.float64())), one(x.max(0), pa.list_(pa.float64())), one(table.column("id").to_pylist(), pa.list_(pa.int64())), one(table.column("n").to_pylist(), pa.list_(pa.int64())), one(table.column("blob").to_pylist(), pa.list_(pa.binary()))],
-            ["part", "block", "lo", "hi", "ids", "counts", "blobs"],
+            [one(part, pa.int32()), one(block, pa.int32()), one(x.min(0), pa.list_(pa.float64())), one(x.max(0), pa.list_(pa.float64())), one(table.column("id").to_pylist(), pa.list_(pa.int64())), one(table.column("n").to_pylist(), pa.list_(pa.int64())), one([len(b) for b in blobs], pa.list_(pa.int32())), one(b"".join(blobs), pa.binary())],
+            ["part", "block", "lo", "hi", "ids", "counts", "sizes", "blob"],
         )
 
     return ordered.mapInArrow(run, schema)
@@ -184,21 +188,29 @@ def labels(near: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
 def _join_blocks(pairs: DataFrame, dtype: str, width: int, cosine: float) -> DataFrame:
     """kind 0: (a, b) = id and its links in a pair of blocks; kind 1: links (a, b) of a spanning forest."""
 
+    def block(row: dict, side: str):
+        ends = np.cumsum([0, *row[f"sizes_{side}"]])
+        return (*_matrix([row[f"blob_{side}"][i:j] for i, j in zip(ends[:-1], ends[1:])], dtype, width), np.array(row[f"ids_{side}"]), np.array(row[f"counts_{side}"]))
+
     def run(batches: Iterator):
         import pyarrow as pa
 
+        last, left = None, None
         for batch in batches:
-            for row in batch.to_pylist():
-                a, a_size = _matrix(row["blobs_a"], dtype, width)
-                same = row["same"]
-                b, b_size = (a, a_size) if same else _matrix(row["blobs_b"], dtype, width)
-                ids_a, n_a = np.array(row["ids_a"]), np.array(row["counts_a"])
-                ids_b, n_b = (ids_a, n_a) if same else (np.array(row["ids_b"]), np.array(row["counts_b"]))
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                same, name = row["same"], (row["part_a"], row["block_a"])
+                if name != last:
+                    last, left = name, block(row, "a")
+                a, a_size, ids_a, n_a = left
+                b, b_size, ids_b, n_b = left if same else block(row, "b")
                 near = np.zeros((len(a), len(b)), bool)
                 for begin in range(0, len(a), 256):
                     near[begin : begin + 256] = (a[begin : begin + 256] @ b.T >= cosine) & (a_size[begin : begin + 256, None] == b_size)
                 if same:
                     np.fill_diagonal(near, False)
+                if not near.any():
+                    continue
                 sum_a, sum_b = near @ n_b, np.zeros(len(b), np.int64) if same else n_a @ near
                 of_a, of_b = labels(near, same)
                 links = list(zip(ids_a.tolist(), ids_a[of_a].tolist()))
@@ -222,10 +234,14 @@ def components(embeddings: DataFrame, cosine: float = 0.9, key: str = "vec_id",
     spark = embeddings.sparkSession
     dtype = "<f8" if embeddings.schema[vector].dataType.elementType.simpleString() == "double" else "<f4"
     epsilon = float(np.sqrt(2 - 2 * cosine))
-    rows = materialize(_prepare(embeddings, key, vector, dtype))
-    classes = materialize(rows.where("blob is not null").groupBy("p", "q").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("blob").alias("blob")))
+    valued = _prepare(embeddings, key, vector, dtype)
+    rows = materialize(valued.drop("blob"))
+    # Values are written twice only, to meet their equals and as blocks; what else is kept of a vector is its id and print.
+    heap = scratch_write(valued.where("blob is not null").groupBy("p", "q").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("blob").alias("blob")))
+    classes = spark.read.parquet(heap)
     width = classes.agg(F.max(F.octet_length("blob"))).first()[0]
-    named = classes.select("p", "q", "id", "n", F.lit(0).cast("long").alias("links"), F.col("id").alias("component"))
+    groups = rows.where("p is not null").groupBy("p", "q").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    named = groups.select("p", "q", "id", "n", F.lit(0).cast("long").alias("links"), F.col("id").alias("component"))
     if width is not None:
         width //= int(dtype[-1])
         axes = _axes(classes, dtype, width)
@@ -234,22 +250,23 @@ def components(embeddings: DataFrame, cosine: float = 0.9, key: str = "vec_id",
         parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         sequence = _projected(classes, axes, epsilon, dtype).repartitionByRange(parts, *order).sortWithinPartitions(*order)
         blocks = materialize(_blocks(sequence, k))
+        discard(spark, heap)
         # Boxes of the parts: as many rows as parts, a setting.
         boxes = blocks.groupBy("part").agg(*(F.min(F.col("lo")[i]).alias(f"lo{i}") for i in range(k)), *(F.max(F.col("hi")[i]).alias(f"hi{i}") for i in range(k))).orderBy("part").collect()
         lo, hi = (np.array([[r[f"{s}{i}"] for i in range(k)] for r in boxes]) for s in ("lo", "hi"))
         near = _near_parts(spark, [r.part for r in boxes], lo, hi, epsilon)
-        head = blocks.select("part", "block", "lo", "hi")
         side = lambda df, s: df.select(*(F.col(c).alias(f"{c}_{s}") for c in df.columns))
+        reach = near.groupBy("part_a").agg(F.collect_list("part_b").alias("reach"))  # as many rows as parts
         gap = sum((F.pow(F.greatest(F.lit(0.0), F.col("lo_a")[i] - F.col("hi_b")[i], F.col("lo_b")[i] - F.col("hi_a")[i]), 2) for i in range(k)), F.lit(0.0))
-        pairs = near.join(side(head, "a"), "part_a").join(side(head, "b"), "part_b").where((F.col("part_a") < F.col("part_b")) | (F.col("block_a") <= F.col("block_b"))).where(gap <= epsilon**2 * (1 + 1e-9))
-        pairs = materialize(pairs.select("part_a", "block_a", "part_b", "block_b", ((F.col("part_a") == F.col("part_b")) & (F.col("block_a") == F.col("block_b"))).alias("same")))
-        load = blocks.select("part", "block", "ids", "counts", "blobs")
-        loaded = pairs.join(side(load, "a"), ["part_a", "block_a"]).join(side(load, "b"), ["part_b", "block_b"])
-        root = scratch_write(_join_blocks(loaded.select("same", "ids_a", "counts_a", "blobs_a", "ids_b", "counts_b", "blobs_b"), dtype, width, cosine), "kind")
+        met = F.array_contains("reach", F.col("part_b")) & ((F.col("part_a") < F.col("part_b")) | (F.col("block_a") <= F.col("block_b"))) & (gap <= epsilon**2 * (1 + 1e-9))
+        # Every task reads the blocks of two pieces of the table; a join by block numbers would write a copy of both blocks for each pair.
+        loaded = side(blocks, "a").join(F.broadcast(reach), "part_a").join(side(blocks, "b").hint("shuffle_replicate_nl"), met)
+        same = (F.col("part_a") == F.col("part_b")) & (F.col("block_a") == F.col("block_b"))
+        root = scratch_write(_join_blocks(loaded.select("part_a", "block_a", same.alias("same"), *(f"{c}_{s}" for s in "ab" for c in ("ids", "counts", "sizes", "blob"))), dtype, width, cosine), "kind")
         found = spark.read.schema("kind int, a long, b long").parquet(root)
         counts = found.where("kind = 0").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("links"))
         joined = connected_components(found.where("kind = 1").select("a", "b"))
-        named = classes.select("p", "q", "id", "n").join(counts, "id", "left").join(joined, "id", "left").select("p", "q", "id", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component"))
-    out = rows.drop("blob").join(named.withColumnRenamed("id", "first"), ["p", "q"], "left")
+        named = groups.join(counts, "id", "left").join(joined, "id", "left").select("p", "q", "id", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component"))
+    out = rows.join(named.withColumnRenamed("id", "first"), ["p", "q"], "left")
     component = F.when(F.col("p").isNull(), F.col("id")).otherwise(F.coalesce("component", "id"))
     return out.select(F.col("id").alias(key), F.coalesce(F.col("links") + F.col("n") - 1, F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))

@@ -64,3 +64,13 @@ def test_labels_equal_connected_components():
     chain = np.zeros((50, 50), bool)
     chain[np.arange(49), np.arange(1, 50)] = chain[np.arange(1, 50), np.arange(49)] = True
     assert neardup.labels(chain, True)[0].tolist() == [0] * 50
+
+
+def test_no_pair_of_blocks_is_stored(spark, monkeypatch):
+    """Blocks meet where they lie: a shuffle of pairs would write their values once for each pair."""
+    plans, join = [], neardup._join_blocks
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(neardup, "_join_blocks", lambda pairs, *more: plans.append(pairs._jdf.queryExecution().executedPlan().toString()) or join(pairs, *more))
+    rows = _rows(300, 1)
+    assert sorted((tuple(r) for r in neardup.components(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()), key=str) == _brute(rows)
+    assert "CartesianProduct" in plans[0] and not any("Exchange hashpartitioning" in line and "block" in line for line in plans[0].splitlines())
