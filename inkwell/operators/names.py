@@ -10,6 +10,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.sources import scratch
+
 #: Sentences that are scanned together, and names of one automaton.
 BLOCK, SHARD = 500, 10_000
 # Title words before a name, words that are no names, words beside which a word is none.
@@ -58,36 +60,51 @@ def counted(text: str, names: list[str]) -> list[int]:
     return out
 
 
-def _shards(names: DataFrame, doc: str, size: int) -> DataFrame:
-    """(doc, names): each document's distinct names in lists of about `size`."""
-    distinct = names.where(F.col("name") != "").select(doc, "name").distinct()
+def _shards(names: DataFrame, doc: str, size: int, *more: str) -> DataFrame:
+    """(doc, __names): each document's distinct names, with columns `more`, in lists of about `size`."""
+    distinct = names.where(F.col("name") != "").select(doc, "name", *more).distinct()
     parts = distinct.groupBy(doc).agg(F.ceil(F.count("*") / size).cast("int").alias("__of"))
-    return distinct.join(parts, doc).groupBy(doc, F.pmod(F.xxhash64("name"), F.col("__of")).alias("__shard")).agg(F.collect_list("name").alias("__names")).drop("__shard")
+    return distinct.join(parts, doc).groupBy(doc, F.pmod(F.xxhash64("name"), F.col("__of")).alias("__shard")).agg(F.collect_list(F.struct("name", *more)).alias("__names")).drop("__shard")
 
 
-def mentions(sentences: DataFrame, names: DataFrame, doc: str = "doc_id", text: str = "sentence", order: str = "pos", block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+def mentions(sentences: DataFrame, names: DataFrame, doc: str = "doc_id", text: str = "sentence", order: str = "pos", block: int = BLOCK, shard: int = SHARD, more: tuple[str, ...] = ()) -> DataFrame:
     """Sentences with each name of their own document that stands in them, and places: where in the sentence it begins.
 
     names has (doc, name); an empty or null name stands nowhere, a repeated one counts once; other columns of it are
-    left out. order numbers a document's sentences.
+    left out but for `more`, of which a name has one value. order numbers a document's sentences. A block is read
+    text by text and its hits are kept as numbers in flat arrays, so a worker holds little besides the batch.
     """
-    import pandas as pd
+    import pyarrow as pa
+
+    @F.arrow_udf("array<struct<i:int,j:int,places:array<int>>>")
+    def scan(texts: pa.Array, lists: pa.Array) -> pa.Array:
+        from array import array
 
-    @F.pandas_udf("array<struct<i:int,j:int,places:array<int>>>")
-    def scan(texts: pd.Series, lists: pd.Series) -> pd.Series:
-        out, last, found = [], None, None
+        import numpy as np
+
+        last, found = None, None
+        rows, hits, own, which, begins = array("i", [0]), array("i", [0]), array("i"), array("i"), array("i")
         for ts, ns in zip(texts, lists):
-            ns = list(ns)
+            ns = ns.as_py()
             if ns != last:
                 last, found = ns, automaton(ns)
-            out.append([{"i": i, "j": j, "places": at} for i, t in enumerate(ts) if t for j, at in places(found, t).items()])
-        return pd.Series(out)
-
-    packed = sentences.groupBy(doc, F.floor(F.col(order) / block).alias("__block")).agg(F.collect_list(F.struct(*sentences.columns)).alias("__rows"))
-    both = packed.join(_shards(names, doc, shard), doc)
-    hits = both.select("__rows", "__names", F.explode(scan(F.col(f"__rows.{text}"), "__names")).alias("__hit"))
-    rows = hits.select(F.get("__rows", F.col("__hit.i")).alias("__row"), F.get("__names", F.col("__hit.j")).alias("name"), F.col("__hit.places").alias("places"))
-    return rows.select(*(F.col("__row").getField(c).alias(c) for c in sentences.columns), "name", "places")
+            for i, t in enumerate(ts.as_py()):
+                for j, at in places(found, t).items() if t else ():
+                    own.append(i)
+                    which.append(j)
+                    begins.extend(at)
+                    hits.append(len(begins))
+            rows.append(len(own))
+        flat = lambda a: pa.array(np.frombuffer(a, np.int32) if len(a) else [], pa.int32())
+        one = pa.StructArray.from_arrays([flat(own), flat(which), pa.ListArray.from_arrays(flat(hits), flat(begins))], ["i", "j", "places"])
+        return pa.ListArray.from_arrays(flat(rows), one)
+
+    packed = sentences.groupBy(doc, F.floor(F.col(order) / block).alias("__block")).agg(F.collect_list(F.struct(*(c for c in sentences.columns if c != doc))).alias("__rows"))
+    both = packed.join(_shards(names, doc, shard, *more), doc)
+    hits = both.select(doc, "__rows", "__names", F.explode(scan(F.col(f"__rows.{text}"), F.col("__names.name"))).alias("__hit"))
+    rows = hits.select(doc, F.get("__rows", F.col("__hit.i")).alias("__row"), F.get("__names", F.col("__hit.j")).alias("__name"), F.col("__hit.places").alias("places"))
+    # The key stays the join's own column: what is counted for each document next needs no other shuffle.
+    return rows.select(*(F.col(c) if c == doc else F.col("__row").getField(c).alias(c) for c in sentences.columns), *(F.col("__name").getField(c).alias(c) for c in ("name", *more)), "places")
 
 
 def mention_profiles(sentences: DataFrame, names: DataFrame, doc: str = "doc_id", order: str = "pos", text: str = "sentence", contexts: int = 5, size: int = 100) -> DataFrame:
@@ -110,8 +127,9 @@ def pronoun_usage(sentences: DataFrame, names: DataFrame, pronouns: DataFrame, d
     number; no window has to hold a whole document.
     """
     known = names.where(F.col("name") != "").groupBy(doc, "name").agg(F.min(name_order).alias("__o"))
-    found = mentions(sentences, names, doc, text, order).select(doc, order, "name").join(known, [doc, "name"])
-    present = found.groupBy(doc, order).agg(F.array_sort(F.collect_list(F.struct("__o", "name"))).alias("who"))
+    found = mentions(sentences, known, doc, text, order, more=("__o",)).select(doc, order, "name", "__o")
+    # Written once: both who is named and what is handed on are read from it, and the texts are scanned once.
+    present = scratch.materialize(found.groupBy(doc, order).agg(F.array_sort(F.collect_list(F.struct("__o", "name"))).alias("who")))
     handed = present.select(doc, F.col("who")[0]["name"].alias("first"), F.col(order).alias("from"), F.explode(F.sequence(F.col(order) + 1, F.col(order) + window)).alias(order))
     recent = handed.groupBy(doc, order).agg(F.max_by("first", "from").alias("recent"))
     said = pronouns.groupBy(doc, order, "pronoun").agg(F.count("*").alias("n"))
