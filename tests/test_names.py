@@ -63,3 +63,22 @@ def test_candidates(spark):
     texts = [(1, None), (2, ""), (3, "Ann Ann Ann met Ann. The Saint. in Rome. Ann Knight"), (3, "MR. Fox and mrs Hare"), (4, "Éa Bob-Cid é Don Eve")]
     got = [(r.doc_id, r.name, r.n, r["rank"]) for r in N.name_candidates(spark.createDataFrame(texts, "doc_id int, text string")).collect()]
     assert sorted(got) == [(3, "Ann", 5, 1), (3, "Ann Ann Ann", 1, 2), (3, "Ann Knight", 1, 3), (3, "Fox", 1, 1), (3, "Hare", 1, 2), (3, "The Saint", 1, 4), (4, "Bob", 1, 1), (4, "Cid", 1, 2), (4, "Don", 1, 3), (4, "Eve", 1, 4)]
+
+
+def test_hits_come_back_as_flat_arrays(spark):
+    """Hits were Python objects of a whole batch, which pandas held beside its texts."""
+    from pyspark.util import PythonEvalType
+
+    spoken = spark.createDataFrame([(d, p, f"Ann {p} Bob") for d in range(20) for p in range(5)], "doc_id int, pos int, sentence string")
+    dim = spark.createDataFrame([(d, n) for d in range(20) for n in ("Ann", "Bob", "Cid")], "doc_id int, name string")
+    found = N.mentions(spoken, dim)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(rf"ArrowEvalPython \[scan\(.*, {PythonEvalType.SQL_SCALAR_ARROW_UDF}\n", plan)
+    assert sorted((r.doc_id, r.name, r["count"]) for r in found.groupBy("doc_id", "name").count().collect()) == [(d, n, 5) for d in range(20) for n in ("Ann", "Bob")]
+
+
+def test_pronoun_usage_scans_texts_once(spark):
+    spoken = spark.createDataFrame([(1, 0, "Ann he"), (1, 1, "she")], "doc_id int, pos int, sentence string")
+    usage = N.pronoun_usage(spoken, spark.createDataFrame([(1, "Ann", 0)], "doc_id int, name string, ord int"), C.pronoun_rows(spoken, "doc_id", "pos"))
+    assert "scan(" not in usage._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.name, r.pronoun, r.n) for r in usage.collect()) == [("Ann", "he", 1), ("Ann", "she", 1)]
