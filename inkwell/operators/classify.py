@@ -1,7 +1,5 @@
 """Batch classification by a pluggable model, with validation, retries and a heuristic fallback."""
 
-from __future__ import annotations
-
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -122,21 +120,17 @@ def classified(segments: DataFrame, model: Callable = heuristic_reply, size: int
     """
     import inspect
 
-    kind = segments.schema[chapter].dataType.simpleString()
     plain = len(inspect.signature(model).parameters) == 1
 
-    def run(key, table):
+    def answers(table: list[dict]) -> list[tuple]:
         import json
 
-        import pandas as pd
-
-        table = table.sort_values("pos")
         rows, at, failures, batch = [], 0, 0, 0
         while at < len(table):
             n = 1 if failures >= limit else max(1, size or len(table))
-            part = table.iloc[at : at + n]
-            expected = [str(i) for i in part["segment_id"]]
-            ask = question(expected, part["text"], part["context_before"], part["context_after"])
+            part = table[at : at + n]
+            expected = [str(r["segment_id"]) for r in part]
+            ask = question(expected, *([r[c] for r in part] for c in ("text", "context_before", "context_after")))
             error, got, mended = "no reply", {}, 0
             for attempt in range(attempts):
                 error, got, more = attempted(model, plain, attempt, error, ask, expected, repair, repairs - mended)
@@ -144,14 +138,30 @@ def classified(segments: DataFrame, model: Callable = heuristic_reply, size: int
                 if error is None:
                     break
             failures += error is not None
-            for i, pos in zip(expected, part["pos"]):
-                rows.append((key[0], int(pos), batch, len(part), error is None, mended, json.dumps(got[i]) if error is None else None))
+            rows += [(batch, len(part), error is None, mended, json.dumps(got[i]) if error is None else None) for i in expected]
             at, batch = at + n, batch + 1
-        return pd.DataFrame(rows, columns=[chapter, "pos", "batch", "batch_size", "ok", "repair_attempts", "item"])
-
-    answers = segments.groupBy(chapter).applyInPandas(run, f"{chapter} {kind}, pos int, batch int, batch_size int, ok boolean, repair_attempts int, item string")
+        return rows
+
+    import pyarrow as pa
+
+    kind = pa.struct([("batch", pa.int32()), ("batch_size", pa.int32()), ("ok", pa.bool_()), ("repair_attempts", pa.int32()), ("item", pa.string())])
+
+    @F.arrow_udf("array<struct<batch:int,batch_size:int,ok:boolean,repair_attempts:int,item:string>>")
+    def answered(chapters: pa.Array) -> pa.Array:
+        out, total = [], [0]
+        for one in chapters:
+            rows = answers(one.as_py())
+            out.append(pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kind)], fields=list(kind)))
+            total.append(total[-1] + len(rows))
+        return pa.ListArray.from_arrays(pa.array(total, pa.int32()), pa.concat_arrays(out) if out else pa.array([], kind))
+
+    # A chapter is one row: it goes to the model and back beside its texts, so no frame is made and nothing is joined.
+    told = ("segment_id", "text", "context_before", "context_after")
+    whole = segments.groupBy(chapter).agg(F.array_sort(F.collect_list(F.struct("pos", *told, "paragraph_id"))).alias("__s"))
+    asked = whole.withColumn("__a", answered.asNondeterministic()(F.transform("__s", lambda x: F.struct(*(x[c].alias(c) for c in told)))))
+    rows = asked.select(chapter, F.explode(F.arrays_zip("__s", "__a")).alias("__r")).select(chapter, *(F.col(f"__r.__s.{c}").alias(c) for c in ("pos", "text", "paragraph_id")), "__r.__a.*")
     item = J.sanitized(F.from_json("item", f"STRUCT<{J.ITEM}>"))
-    rows = segments.join(answers, [chapter, "pos"]).withColumn("c", F.when(F.col("ok"), item))
+    rows = rows.withColumn("c", F.when(F.col("ok"), item))
     guess = T.heuristic_type(F.col("text"))
     pick = lambda k, default: F.coalesce(F.col(f"c.{k}"), F.lit(default)).alias(k)
     return rows.select(chapter, "pos", "text", F.coalesce("c.type", guess).alias("type"), F.coalesce("c.speaker", T.heuristic_speaker(guess)).alias("speaker"), pick("gender", "unknown"), *(pick(k, 0.0) for k in J.CONFIDENCES), "paragraph_id", "batch", "batch_size", "repair_attempts", F.when(F.col("ok"), OK).otherwise(FALLBACK).alias("llm_status"))

@@ -134,3 +134,12 @@ def test_snippets(spark):
     assert [r.s for r in row] == ['{"a": 1}', None]
     with pytest.raises(Exception, match="no JSON"):
         spark.createDataFrame([("none",)], "r string").select(J.strict_snippet(F.col("r")).alias("s")).collect()
+
+
+def test_classified_joins_nothing_and_keeps_a_chapter_without_key(spark):
+    rows = [(c, p, f"s{p}", '"Hi."' if p % 2 else "He left.", "", "", f"p{p}") for c in (1, None) for p in range(5)]
+    df = spark.createDataFrame(rows, "chapter_id int, pos int, segment_id string, text string, context_before string, context_after string, paragraph_id string")
+    out = classify.classified(df, size=2)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    got = sorted(((r.chapter_id or 0, r.pos, r.type, r.batch, r.batch_size, r.llm_status) for r in out.collect()))
+    assert got == [(c, p, "dialogue" if p % 2 else "narration", p // 2, 1 if p == 4 else 2, "ok") for c in (0, 1) for p in range(5)]
