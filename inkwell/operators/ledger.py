@@ -13,13 +13,23 @@ def with_inventory(books: DataFrame, raw: str = "raw", valid: str = "valid") ->
     return books.withColumn("raw_chapter_count", F.greatest(F.lit(0), F.col(raw))).withColumn("valid_chapter_count", F.greatest(F.lit(0), F.col(valid))).withColumn("last_chapter_count", F.col("valid_chapter_count"))
 
 
+#: Rows of a contract that one task counts.
+CONTRACT_ROWS = 1_000_000
+
+
 def id_contract(expected: DataFrame, got: DataFrame, key: str, item: str) -> DataFrame:
-    """For each key, how many expected items are missing, how many are extra, and how many are given twice."""
-    e = expected.select(key, item).distinct().withColumn("__e", F.lit(1))
-    g = got.groupBy(key, item).agg(F.count("*").alias("__n"))
-    rows = e.join(g, [key, item], "full_outer")
+    """For each key, how many expected items are missing, how many are extra, and how many are given twice.
+
+    Both sides are dealt once, by key and item, to as many tasks as their rows ask for, and meet in one count, so
+    what a task holds does not grow with the tables; a null matches nothing, as in a join.
+    """
+    side = lambda df, mark: df.select(F.col(key), F.col(item), F.lit(mark).cast("tinyint").alias("__e"))
+    both = side(expected, 1).unionByName(side(got, 0))
+    tasks = max(int(expected.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(expected.count() + got.count()) // CONTRACT_ROWS))
+    lone = F.when(F.col(key).isNull() | F.col(item).isNull(), F.col("__e"))
+    rows = both.withColumn("__l", lone).repartition(tasks, key, item).groupBy(key, item, "__l").agg(F.max("__e").alias("__e"), F.sum(1 - F.col("__e")).alias("__n"))
     count = lambda c: F.sum(F.when(c, 1).otherwise(0)).alias
-    return rows.groupBy(key).agg(count(F.col("__n").isNull())("missing"), count(F.col("__e").isNull())("extra"), count(F.col("__n") > 1)("duplicate"))
+    return rows.groupBy(key).agg(count(F.col("__n") == 0)("missing"), count(F.col("__e") == 0)("extra"), count(F.col("__n") > 1)("duplicate"))
 
 
 def merged_settings(defaults: Column, stored: Column, obsolete: tuple[str, ...] = ()) -> Column:
