@@ -28,18 +28,18 @@ class Model(Protocol):
 
 
 def asked(model: Callable[[str, str, str], str], system: Column, user: Column, name: Column) -> Column:
-    """struct<reply, fault>: the model's answer where user is not null. It is not asked twice for a row of one plan."""
-    import pandas as pd
-
-    @F.pandas_udf("reply string, fault string")
-    def ask(systems: pd.Series, users: pd.Series, names: pd.Series) -> pd.DataFrame:
-        rows = []
-        for s, u, n in zip(systems, users, names):
-            try:
-                rows.append((None, None) if u is None else (model(s, u, n), None))
-            except Exception as fault:  # noqa: BLE001  any failure of a model is a failed attempt
-                rows.append((None, f"{n}:{fault}"))
-        return pd.DataFrame(rows, columns=["reply", "fault"], dtype=object)
+    """struct<reply, fault>: the model's answer where user is not null. It is not asked twice for a row of one plan.
+
+    Questions are long and each rung of each task has a worker of its own, so they go there as rows, a hundred at a
+    time: an Arrow batch would hold ten thousand at once, whatever their length.
+    """
+
+    @F.udf("reply string, fault string", useArrow=False)
+    def ask(s: str, u: str, n: str) -> tuple:
+        try:
+            return (None, None) if u is None else (model(s, u, n), None)
+        except Exception as fault:  # noqa: BLE001  any failure of a model is a failed attempt
+            return None, f"{n}:{fault}"
 
     return ask.asNondeterministic()(system, user, name)
 

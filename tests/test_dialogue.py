@@ -143,3 +143,9 @@ def test_classified_joins_nothing_and_keeps_a_chapter_without_key(spark):
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
     got = sorted(((r.chapter_id or 0, r.pos, r.type, r.batch, r.batch_size, r.llm_status) for r in out.collect()))
     assert got == [(c, p, "dialogue" if p % 2 else "narration", p // 2, 1 if p == 4 else 2, "ok") for c in (0, 1) for p in range(5)]
+
+
+def test_a_worker_holds_few_questions_at_once(spark):
+    held = lambda s, u, n: str(int(open("/proc/self/statm").read().split()[1]) * 4096 // 10**6)  # noqa: E731  MB
+    rows = spark.range(3000, numPartitions=1).select(dialogue.asked(held, F.lit(""), F.concat(F.repeat(F.lit("x"), 100_000), F.col("id").cast("string")), F.lit("n")).alias("a"))
+    assert rows.agg(F.max(F.col("a.reply").cast("int"))).first()[0] < 300
