@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import SHINGLE_WORDS, Forest, WordHash, ascii_words, connected_components, discard, scratch_write, shingle_set, text_bytes, unused
+from inkwell.llm.common import SHINGLE_WORDS, Forest, ascii_words, connected_components, discard, scratch_write, shingle_set, text_bytes, unused, word_hashes
 
 #: Bits of the table of shingle counts, and of the table that marks documents whose sets are needed.
 COUNT_BITS, MARK_BITS = 20, 24
@@ -49,11 +49,11 @@ def prefix_length(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1
 
 
-def _sets(batches: Iterator, words: WordHash) -> Iterator[tuple[object, list, list[np.ndarray]]]:
+def _sets(batches: Iterator) -> Iterator[tuple[object, list, list[np.ndarray]]]:
     for whole in batches:
         for begin in range(0, whole.num_rows, PART):
             batch = whole.slice(begin, PART)
-            yield batch, batch.column("__id").to_pylist(), [shingle_set(words.of(ascii_words(t))) for t in batch.column("__text").to_pylist()]
+            yield batch, batch.column("__id").to_pylist(), [shingle_set(word_hashes(ascii_words(t))) for t in batch.column("__text").to_pylist()]
 
 
 def _read(documents: DataFrame, key: str, text: str) -> DataFrame:
@@ -69,9 +69,9 @@ def fingerprints(documents: DataFrame, key: str, text: str) -> DataFrame:
     def run(batches: Iterator):
         import pyarrow as pa
 
-        counts, words = np.zeros(1 << COUNT_BITS, np.int64), WordHash()
+        counts = np.zeros(1 << COUNT_BITS, np.int64)
         schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("h", pa.int64())])
-        for batch, ids, sets in _sets(batches, words):
+        for batch, ids, sets in _sets(batches):
             prints = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
             if sets:
                 counts += np.bincount(_bucket(np.concatenate(sets)), minlength=len(counts))
@@ -98,8 +98,7 @@ def prefixes(documents: DataFrame, shared: Broadcast, key: str, text: str) -> Da
     def run(batches: Iterator):
         import pyarrow as pa
 
-        words = WordHash()
-        for _, ids, sets in _sets(batches, words):
+        for _, ids, sets in _sets(batches):
             least: dict[bytes, int] = {}
             for i, s in enumerate(sets):
                 if len(s) and ids[i] is not None:
@@ -130,7 +129,6 @@ def _marked_sets(documents: DataFrame, wanted: DataFrame, heavy: Broadcast, key:
     def run(batches: Iterator):
         import pyarrow as pa
 
-        words = WordHash()
         for batch in batches:
             marks = shared.value
             slots = batch.column("__slot").to_numpy()
@@ -138,7 +136,7 @@ def _marked_sets(documents: DataFrame, wanted: DataFrame, heavy: Broadcast, key:
             texts, ids = batch.column("__text"), batch.column("__id")
             for begin in range(0, len(keep), 500):
                 some = keep[begin : begin + 500]
-                sets = [ordered(shingle_set(words.of(ascii_words(texts[int(i)].as_py()))), heavy.value).tobytes() for i in some]
+                sets = [ordered(shingle_set(word_hashes(ascii_words(texts[int(i)].as_py()))), heavy.value).tobytes() for i in some]
                 yield pa.RecordBatch.from_arrays([pa.array([ids[int(i)].as_py() for i in some], pa.int64()), pa.array(sets, pa.binary())], ["doc", "set"])
 
     source = _read(documents, key, text).where("__id is not null").withColumn("__slot", slot(F.col("__id")))

@@ -94,3 +94,27 @@ def test_components_of_links(spark):
     got = {r.id: r.component for r in common.connected_components(spark.createDataFrame(links, "a long, b long").repartition(9)).collect()}
     assert got == {x: forest.find(x) for x in forest.parent if any(x in l and l[0] != l[1] for l in links)}
     assert common.connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_a_shingle_set_costs_little_more_than_its_digests():
+    import time
+
+    from xxhash import xxh3_64_intdigest
+
+    words = [b"w%d" % (i % 250_000) for i in range(500_000)]
+    plain = [xxh3_64_intdigest(w) for w in words]
+    hashes = common.word_hashes(words)
+    assert hashes.tolist() == plain and common.word_hashes([]).tolist() == []
+    factors = common._odd(5)
+    runs = sum(hashes[i : len(hashes) - 4 + i] * factors[i] for i in range(5))
+    assert np.array_equal(common.shingle_set(hashes), np.unique(common.mix(runs + np.uint64(5))))
+
+    def least(work):
+        times = []
+        for _ in range(3):
+            begin = time.process_time()
+            work()
+            times.append(time.process_time() - begin)
+        return min(times)
+
+    assert least(lambda: common.shingle_set(common.word_hashes(words))) < 3 * least(lambda: [xxh3_64_intdigest(w) for w in words])
